@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segflux.catalog.views import VIEWS
-from segflux.plans.inputs import NetworkInputs, NetworkOptions, from_binding
+from segflux.plans.inputs import NetworkOptions
 from segflux.session import configure
 from segflux.sources.bindings import Binding
 
@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
     def register(fn: Callable[[Binding], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Binding(configure(spark), sf_dir))
+            return fn(binding(configure(spark), sf_dir))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
@@ -41,8 +41,21 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def inputs_of(b: Binding) -> NetworkInputs:
-    return from_binding(b)
+_BINDINGS: dict[tuple[str, str], Binding] = {}
+
+
+def binding(spark: SparkSession, sf_dir: str) -> Binding:
+    """One binding per session and directory, so its lazy tables are described once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    found = _BINDINGS.get(key)
+    if found is None or found.spark is not spark:
+        found = _BINDINGS[key] = Binding(spark, sf_dir)
+    return found
+
+
+def inputs_of(b: Binding) -> Binding:
+    """A binding offers every role of ``NetworkInputs`` lazily, so it serves as one."""
+    return b
 
 
 def rounded(df: DataFrame, keys: str, **digits: int) -> DataFrame:

@@ -14,12 +14,11 @@ from segflux.sources import ingest
 
 @query(
     "discharge_floor",
-    rounded_sql("comid month stat", "discharge", {"value": floor_q("value")}, value=9),
+    rounded_sql("comid month stat value", "discharge", {"value": floor_q("value")}),
 )
 def discharge_floor(b):
-    return rounded(
-        b.discharge.withColumn("value", hydraulics.discharge_floor(F.col("value"))), "comid month stat", value=9
-    )
+    """No rounding here: the values lie on a decimal grid, where rounding would only break ties."""
+    return b.discharge.withColumn("value", hydraulics.discharge_floor(F.col("value")))
 
 
 @query("water_temperature", rounded_sql("comid month", "reach_temp", tw=6))

@@ -35,10 +35,10 @@ def scan_regions(b):
     return rounded(table, "region n first_comid", slope_sum=7)
 
 
-@query("discharge_bind", rounded_sql("region comid month", "reach JOIN q_month USING (comid)", q=8))
+@query("discharge_bind", rounded_sql("region comid month q", "reach JOIN q_month USING (comid)"))
 def discharge_bind(b):
     """Monthly mean discharge bound to segments by key."""
-    return rounded(ingest.bind_discharge(b.reach, b.discharge), "region comid month", q=8)
+    return rounded(ingest.bind_discharge(b.reach, b.discharge), "region comid month q")
 
 
 @query("sink_roundtrip", rounded_sql("region comid month", "reach_k", k=4))

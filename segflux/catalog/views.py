@@ -376,3 +376,76 @@ VIEWS = {
                  + CASE WHEN b.eff = 0 THEN 0e0 ELSE b.eff * b.flux END) / (a.eff + b.eff) END AS flux
         FROM part_1 a LEFT JOIN part_2 b USING (hybas_id, month)""",
 }
+
+# --- measurement sites ------------------------------------------------------------------
+_SOIL = ("sgravel", "ssand", "ssilt", "sclay", "sdensity", "soc", "sph", "scec", "sbs", "steb", "scaco3", "scaso4",
+         "ssodicity", "sconductivity")
+_DAYS = {mon: d for _, mon, d, _, _ in MONTH_ROWS}
+_MONS = [mon for _, mon, _, _, _ in MONTH_ROWS]
+
+
+def own_month(prefix: str, annual: str, per_month: str = "{x}") -> str:
+    """CASE over the row's month label, with a formula for monthly values."""
+    whens = " ".join(
+        f"WHEN '{mon}' THEN " + per_month.format(x=f"{prefix}_{_MM[i]}", d=_DAYS[mon]) for i, mon in enumerate(_MONS)
+    )
+    return f"CASE mon {whens} WHEN 'Ann' THEN {annual} END"
+
+
+def log_inf(x: str) -> str:
+    return f"CASE WHEN {x} = 0 THEN CAST('-inf' AS DOUBLE) WHEN {x} > 0 THEN ln({x}) END"
+
+
+LOGGED = ("area", "elev", "slop", "soc", "scec", "steb", "scaco3", "scaso4", "popdens")
+STATIC = ("area", "popdens", "tavg_ann", "prec_ann", "gpp", "npp", "ar_ann", "hr_ann", "wetland", "elev", "slop", *_SOIL, "k")
+LONG_COLUMNS = (
+    "tavg_00", "prec_00", "gpp_00", "npp_00", "sr_00", "ar_ann", "hr_ann", "area", "slop", "elev", "wetland", "popdens",
+    *("sgravel", "ssand", "ssilt", "sclay", "sdensity", "soc", "sph", "scec", "sbs", "steb", "scaco3", "scaso4",
+      "ssodicity", "sconductivity"),
+)
+
+VIEWS["site_wide"] = f"""
+    SELECT o.site_no, CASE WHEN o.so = 0 THEN -1 WHEN o.so = 255 THEN 0 ELSE o.so END AS so, a.area,
+           (p.p1 + p.p2 + p.p3 + p.p4) / 4e0 AS popdens, c.* EXCLUDE (site_no), n.* EXCLUDE (site_no),
+           s.* EXCLUDE (site_no), w.wetland * 100e0 AS wetland, t.elev, tan(t.slop * pi() / 180e0) AS slop,
+           {', '.join(f'nullif(i.{c}, 0e0) AS {c}' for c in _SOIL)}, 2841e0 * f.slope * {velocity('f.ann_q')} + 2.02e0 AS k
+    FROM site_order o LEFT JOIN site_area a USING (site_no) LEFT JOIN site_pop p USING (site_no)
+         LEFT JOIN site_climate c USING (site_no) LEFT JOIN site_npp n USING (site_no)
+         LEFT JOIN site_soil_resp s USING (site_no) LEFT JOIN site_wetland w USING (site_no)
+         LEFT JOIN site_terrain t USING (site_no) LEFT JOIN site_soil i USING (site_no) LEFT JOIN site_flow f USING (site_no)"""
+VIEWS["train"] = f"""
+    SELECT m.row_id, m.site_no, m.lat, m.mon, m.co2_uatm, ln(m.co2_uatm) AS lnco2, w.so, {', '.join('w.' + c for c in STATIC)},
+           {own_month('tavg', 'tavg_ann')} AS tavg_00,
+           {own_month('prec', 'prec_ann', '{x} * (365e0 / {d}e0)')} AS prec_00,
+           {own_month('gpp', 'gpp')} AS gpp_00, {own_month('npp', 'npp')} AS npp_00,
+           {own_month('sr', 'sr_ann', '{x} * 365e0')} AS sr_00
+    FROM site_meas m JOIN site_wide w ON w.site_no = m.site_no WHERE w.so <> -1"""
+VIEWS["train_log"] = f"""
+    SELECT * REPLACE ({', '.join(f'{log_inf(c)} AS {c}' for c in LOGGED)}) FROM train"""
+VIEWS["train_long"] = f"""
+    SELECT lnco2, popdens_raw, predictor, value FROM (
+      UNPIVOT (SELECT l.*, t.popdens AS popdens_raw FROM train_log l JOIN (SELECT row_id, popdens FROM train) AS t USING (row_id))
+      ON {', '.join(LONG_COLUMNS)} INTO NAME predictor VALUE value) AS u
+    WHERE value IS NOT NULL AND isfinite(value)"""
+VIEWS["cycle_located"] = """
+    SELECT m.row_id, m.lat, m.mon, m.co2_uatm AS pco2, TRY_CAST(s.comid_txt AS BIGINT) AS comid
+    FROM site_meas m JOIN site_reach s USING (site_no) WHERE TRY_CAST(s.comid_txt AS BIGINT) IS NOT NULL"""
+VIEWS["cycle_observed"] = f"""
+    SELECT comid, month, {band('lat', SHORT)} AS lat_band, co2n, row_id
+    FROM (SELECT *, pco2 / avg(pco2) OVER (PARTITION BY comid) AS co2n FROM cycle_located) AS c JOIN months USING (mon)"""
+VIEWS["cycle_modelled"] = f"""
+    SELECT p.comid, p.month, {band('l.lat', SHORT)} AS lat_band,
+           p.pco2 / avg(p.pco2) OVER (PARTITION BY p.comid)
+             * CASE WHEN {band('l.lat', SHORT)} = 'S Temperate' THEN
+               [1.04e0, 1.14e0, 1.11e0, 1.05e0, 0.98e0, 0.97e0, 0.94e0, 0.94e0, 0.96e0, 0.98e0, 1.01e0, 1.02e0][p.month]
+               ELSE 1e0 END AS co2n
+    FROM reach_pco2 p JOIN (SELECT comid, avg(lat) AS lat FROM cycle_located WHERE mon <> 'Ann' GROUP BY comid) AS l USING (comid)"""
+VIEWS["cycle"] = """
+    SELECT 'observed' AS source, lat_band, month, comid, co2n, row_id FROM cycle_observed
+    UNION ALL SELECT 'modelled', lat_band, month, comid, co2n, CAST(NULL AS BIGINT) FROM cycle_modelled"""
+# Fixed linear predictor of the planted signal; residuals are known in closed form.
+VIEWS["residuals"] = """
+    SELECT row_id, site_no, lat, mon, ln(co2_uatm) AS lnco2, quantity, discount, psize,
+           6.5e0 + 2e-2 * quantity - 3e0 * discount + 1e-2 * psize AS pred,
+           6.5e0 + 2e-2 * quantity - 3e0 * discount + 1e-2 * psize - ln(co2_uatm) AS res
+    FROM site_meas"""

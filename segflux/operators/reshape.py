@@ -47,20 +47,33 @@ def to_wide(df: DataFrame, ids: Sequence[str], key: str, levels: Sequence, value
     return df.groupBy(*ids).agg(*cells)
 
 
-def select_by_month(mon: Column, columns: Mapping[str, Column]) -> Column:
-    """The value of the row's own month label: one of twelve months or the annual label."""
-    chosen = None
-    for label, value in columns.items():
-        hit = mon == label
-        chosen = F.when(hit, value) if chosen is None else chosen.when(hit, value)
-    return chosen
-
-
-def month_columns(prefix: str, annual: str) -> dict[str, Column]:
-    """Label to column for a wide covariate ``prefix_01..prefix_12`` plus its annual column."""
-    out = {m: F.col(f"{prefix}_{i + 1:02d}") for i, m in enumerate(dims.MONTHS)}
-    out[dims.ANNUAL] = F.col(annual)
-    return out
+def own_month_table(
+    df: DataFrame,
+    ids: Sequence[str],
+    covariates: Mapping[str, tuple[str, str]],
+    scale: Mapping[str, Sequence[float]] | None = None,
+) -> DataFrame:
+    """Wide monthly covariates to one row per id and month label, the annual label included.
+
+    ``covariates`` maps an output name to ``(prefix, annual column)``; the twelve values come
+    from ``prefix_01 .. prefix_12``.  ``scale`` multiplies the monthly values (not the annual
+    one).  Rows of another table pick the value of their own month with a join on (id, label),
+    which spreads a busy site over thirteen keys.
+    """
+    scale = scale or {}
+    parts = []
+    for i, mon in enumerate(dims.MONTHS):
+        fields = [F.lit(mon).alias("mon")]
+        for out, (prefix, _) in covariates.items():
+            value = F.col(f"{prefix}_{i + 1:02d}")
+            if out in scale:
+                value = value * F.lit(float(scale[out][i]))
+            fields.append(value.alias(out))
+        parts.append(F.struct(*fields))
+    annual = [F.lit(dims.ANNUAL).alias("mon")]
+    annual += [F.col(name).alias(out) for out, (_, name) in covariates.items()]
+    parts.append(F.struct(*annual))
+    return df.select(*ids, F.inline(F.array(*parts)))
 
 
 def row_mean(columns: Sequence[str]) -> Column:

@@ -6,7 +6,7 @@ expressions are plain SQL so that another engine can evaluate the very same proj
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,30 +25,31 @@ MONTH_ROWS = (
 
 
 def _months(df: DataFrame) -> DataFrame:
-    items = F.array(
-        *[
-            F.struct(
-                F.lit(m).alias("month"), F.lit(mon).alias("mon"), F.lit(d).alias("days"),
-                F.lit(qf).alias("qf"), F.lit(tg).alias("tg"),
-            )
-            for m, mon, d, qf, tg in MONTH_ROWS
-        ]
+    """Repeat every row for the twelve months."""
+    items = ", ".join(
+        f"struct({m} as month, '{mon}' as mon, {d} as days, {qf!r}D as qf, {tg!r}D as tg)"
+        for m, mon, d, qf, tg in MONTH_ROWS
     )
-    return df.select("*", F.inline(items))
+    return df.selectExpr("*", f"inline(array({items}))")
 
 
 class Binding:
     """Input tables over one data directory.  Every attribute is a lazy DataFrame."""
 
+    reach_k = None  # computed by the plans, not delivered
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     # --- basins ---------------------------------------------------------------------------
-    @property
+    @cached_property
     def basin(self) -> DataFrame:
         return self.table("customer").selectExpr(
             "cast(c_custkey as string) as hybas_id",
@@ -59,27 +60,27 @@ class Binding:
             "1000e0 + c_custkey % 500 as basin_area",
         )
 
-    @property
+    @cached_property
     def basin_hemis(self) -> DataFrame:
         return self.basin.select("hybas_id", "hemis")
 
-    @property
+    @cached_property
     def basin_runoff(self) -> DataFrame:
         return self.basin.select("hybas_id", "runoff")
 
-    @property
+    @cached_property
     def basin_regime(self) -> DataFrame:
         return self.basin.select("hybas_id", "frclass")
 
-    @property
+    @cached_property
     def basin_centroid(self) -> DataFrame:
         return self.basin.select("hybas_id", "lat")
 
-    @property
+    @cached_property
     def basin_area(self) -> DataFrame:
         return self.basin.select("hybas_id", "basin_area")
 
-    @property
+    @cached_property
     def basin_climate(self) -> DataFrame:
         """Monthly temperature and precipitation of a basin."""
         return _months(self.basin).selectExpr(
@@ -89,7 +90,7 @@ class Binding:
             "20e0 + 5e0 * month + coalesce(runoff, 0e0) / 2e1 as prec",
         )
 
-    @property
+    @cached_property
     def basin_annual(self) -> DataFrame:
         return self.basin.selectExpr(
             "hybas_id",
@@ -97,7 +98,7 @@ class Binding:
             "630e0 + coalesce(runoff, 0e0) as ann_prec",
         )
 
-    @property
+    @cached_property
     def basin_npp(self) -> DataFrame:
         return _months(self.basin).selectExpr(
             "hybas_id",
@@ -106,11 +107,11 @@ class Binding:
             "400e0 + 1e0 * lat * tg as npp",
         )
 
-    @property
+    @cached_property
     def basin_soil_resp(self) -> DataFrame:
         return _months(self.basin).selectExpr("hybas_id", "month", "1e0 + 5e-3 * lat * tg as prs")
 
-    @property
+    @cached_property
     def basin_ice(self) -> DataFrame:
         return _months(self.basin).selectExpr(
             "hybas_id",
@@ -118,7 +119,7 @@ class Binding:
             "case when abs(lat) > 50e0 and lat * tg < 0e0 then 0.8e0 else 0e0 end as ice",
         )
 
-    @property
+    @cached_property
     def wk_climate(self) -> DataFrame:
         """Working-basin climate: mean over the basins of a working basin."""
         keyed = self.basin.select(
@@ -134,7 +135,7 @@ class Binding:
         )
 
     # --- segments -------------------------------------------------------------------------
-    @property
+    @cached_property
     def segment(self) -> DataFrame:
         """All static attributes of a segment in one table (source of the ones below)."""
         order = (
@@ -163,19 +164,26 @@ class Binding:
             "then 1e-2 when comid % 103 = 0 then 1e3 else 1e0 end as uparea",
         )
 
-    @property
+    @cached_property
     def reach(self) -> DataFrame:
         return self.segment.select("region", "comid", "strm_order", "slope", "length_m")
 
-    @property
+    @cached_property
     def reach_basin(self) -> DataFrame:
         return self.segment.select("comid", "hybas_id")
 
-    @property
+    @cached_property
+    def reach_pco2_wide(self) -> DataFrame:
+        """Modelled concentration in its delivery layout, one column per month."""
+        return self.reach.selectExpr(
+            "comid", *[f"300e0 + 40e0 * (comid % 97) + 20e0 * {m} as co2_{m:02d}" for m in range(1, 13)]
+        )
+
+    @cached_property
     def uparea(self) -> DataFrame:
         return self.segment.select("comid", "uparea")
 
-    @property
+    @cached_property
     def discharge(self) -> DataFrame:
         seg = self.segment
         annual = seg.selectExpr(
@@ -187,27 +195,27 @@ class Binding:
         )
         return annual.unionByName(monthly)
 
-    @property
+    @cached_property
     def air_temp(self) -> DataFrame:
         located = self.reach_basin.join(self.basin.select("hybas_id", "lat"), "hybas_id")
         return _months(located).selectExpr(
             "comid", "month", "27e0 - 0.45e0 * abs(lat) + 0.3e0 * lat * tg as ta"
         )
 
-    @property
+    @cached_property
     def reach_pco2(self) -> DataFrame:
         return _months(self.reach.select("comid")).selectExpr(
             "comid", "month", "300e0 + 40e0 * (comid % 97) + 20e0 * month as pco2"
         )
 
-    @property
+    @cached_property
     def observed_width(self) -> DataFrame:
         return self.table("lineitem").selectExpr(
             "l_orderkey as comid", "l_extendedprice / 5e2 as width_mean"
         )
 
     # --- measurement sites ------------------------------------------------------------------
-    @property
+    @cached_property
     def site_meas(self) -> DataFrame:
         labels = dims.month_label(F.month("l_shipdate"))
         rows = (
@@ -237,21 +245,21 @@ class Binding:
     def _supplier(self, *exprs: str) -> DataFrame:
         return self.table("supplier").selectExpr("s_suppkey as site_no", *exprs)
 
-    @property
+    @cached_property
     def site_order(self) -> DataFrame:
         return self._supplier(
             "case s_suppkey % 6 when 0 then 0 when 5 then 255 else cast(s_suppkey % 6 as int) end as so"
         )
 
-    @property
+    @cached_property
     def site_area(self) -> DataFrame:
         return self._supplier("10e0 + s_suppkey * 7e0 as area")
 
-    @property
+    @cached_property
     def site_pop(self) -> DataFrame:
         return self._supplier(*[f"(s_suppkey % 11) * {i}e0 as p{i}" for i in range(1, 5)])
 
-    @property
+    @cached_property
     def site_climate(self) -> DataFrame:
         tavg = [f"s_acctbal / 500e0 + {m} as tavg_{m:02d}" for m in range(1, 13)]
         prec = [f"10e0 * {m} + s_suppkey % 40 as prec_{m:02d}" for m in range(1, 13)]
@@ -259,7 +267,7 @@ class Binding:
             *tavg, "s_acctbal / 500e0 as tavg_ann", *prec, "s_acctbal / 500e0 as prec_ann"
         )
 
-    @property
+    @cached_property
     def site_npp(self) -> DataFrame:
         gpp = [f"60e0 * {m} + s_suppkey % 30 as gpp_{m:02d}" for m in range(1, 13)]
         npp = [f"25e0 * {m} + s_suppkey % 20 as npp_{m:02d}" for m in range(1, 13)]
@@ -267,7 +275,7 @@ class Binding:
             "s_acctbal / 500e0 as gpp", "s_acctbal / 1000e0 as npp", *gpp, *npp
         )
 
-    @property
+    @cached_property
     def site_soil_resp(self) -> DataFrame:
         sr = [f"2e-1 * {m} + (s_suppkey % 13) * 1e-1 as sr_{m:02d}" for m in range(1, 13)]
         return self._supplier(
@@ -275,15 +283,15 @@ class Binding:
             "s_acctbal / 1100e0 as hr_ann",
         )
 
-    @property
+    @cached_property
     def site_wetland(self) -> DataFrame:
         return self._supplier("(s_suppkey % 17) * 1e-2 as wetland")
 
-    @property
+    @cached_property
     def site_terrain(self) -> DataFrame:
         return self._supplier("1e0 + s_suppkey * 3e0 as elev", "1e-1 * (1 + s_suppkey % 50) as slop")
 
-    @property
+    @cached_property
     def site_soil(self) -> DataFrame:
         return self._supplier(
             "(s_suppkey % 4) * 3e0 as sgravel", "(s_suppkey % 5) * 1e1 as ssand",
@@ -295,13 +303,13 @@ class Binding:
             "(s_suppkey % 18) * 5e-1 as ssodicity", "(s_suppkey % 19) * 2.5e-2 as sconductivity",
         )
 
-    @property
+    @cached_property
     def site_flow(self) -> DataFrame:
         return self._supplier(
             "(1 + s_suppkey % 37) * 1e-3 as slope", "5e-1 + (s_suppkey % 23) * 2e0 as ann_q"
         )
 
-    @property
+    @cached_property
     def site_reach(self) -> DataFrame:
         return self._supplier(
             "case when s_suppkey % 10 = 0 then 'unknown' else cast(s_suppkey * 3 as string) end as comid_txt"
@@ -312,6 +320,3 @@ def two_parts(df: DataFrame, key: str = "site_no") -> tuple[DataFrame, DataFrame
     """Split a table into the two deliveries that real inputs arrive in (no row is lost)."""
     first = F.col(key) % 2 == 0
     return df.filter(first), df.filter(~first)
-
-
-BindingFactory = Callable[[SparkSession, str], Binding]
