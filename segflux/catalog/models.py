@@ -1 +1,231 @@
-"""(filled in below)"""
+"""Regression and forest models of log concentration."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from segflux import dims
+from segflux.catalog.base import inputs_of, query, rounded
+from segflux.catalog.sites import table_of
+from segflux.functions import nulls
+from segflux.operators import forest, groups, regression, reshape
+from segflux.plans import training
+from segflux.sources import sink
+
+# Smaller than the library defaults (500 and 200 trees) so that a check takes seconds.
+TREES = 20
+DEPTH = 8
+PLANTED = ("quantity", "discount")
+
+_SPLIT = "((row_id % 6553600) * 1103515245 + 12345)"
+
+
+def residual_table(b) -> DataFrame:
+    """Measurements with a fixed linear predictor and its residual."""
+    model = regression.Fit("lnco2", ("quantity", "discount", "psize"), 6.5, (0.02, -3.0, 0.01), 0, 0.0, 1.0)
+    rows = b.site_meas.withColumn("lnco2", F.log("co2_uatm"))
+    return regression.with_prediction(rows, model, "pred", "res")
+
+
+@query(
+    "train_test_split",
+    f"SELECT row_id, CAST(CASE WHEN {_SPLIT} % 6553600 < 4915200 THEN 1 ELSE 0 END AS INT) AS train FROM site_meas",
+)
+def train_test_split(b):
+    """Repeatable 75/25 split by row key."""
+    return b.site_meas.select("row_id", forest.is_training(F.col("row_id")).cast("int").alias("train"))
+
+
+@query(
+    "cv_folds",
+    f"SELECT CAST({_SPLIT} // 65536 % 10 AS INT) AS fold, count(*) AS n FROM site_meas GROUP BY ALL",
+)
+def cv_folds(b):
+    """Rows per cross-validation fold."""
+    return b.site_meas.groupBy(forest.fold_of(F.col("row_id")).alias("fold")).agg(F.count("*").alias("n"))
+
+
+_OLS_SQL = """
+    SELECT term, round(CASE term WHEN 'intercept' THEN my - b1 * m1 - b2 * m2 WHEN 'quantity' THEN b1 ELSE b2 END, 6) + 0e0 AS estimate,
+           n, round(r2, 7) + 0e0 AS r2, round(1e0 - (1e0 - r2) * (n - 1) / (n - 3), 7) + 0e0 AS adj_r2
+    FROM (SELECT *, (b1 * c1 + b2 * c2) / vy AS r2 FROM (
+            SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2
+            FROM (SELECT count(*) AS n, avg(quantity) AS m1, avg(discount) AS m2, avg(ln(co2_uatm)) AS my,
+                         var_pop(quantity) AS v1, var_pop(discount) AS v2, var_pop(ln(co2_uatm)) AS vy,
+                         covar_pop(quantity, discount) AS c12, covar_pop(quantity, ln(co2_uatm)) AS c1,
+                         covar_pop(discount, ln(co2_uatm)) AS c2 FROM site_meas) AS s) AS t) AS u,
+         (VALUES ('intercept'), ('quantity'), ('discount')) AS k(term)"""
+
+
+@query("multi_ols", _OLS_SQL)
+def multi_ols(b):
+    """Multiple regression from one pass of moments: coefficients and fit quality."""
+    rows = b.site_meas.withColumn("lnco2", F.log("co2_uatm"))
+    model = regression.fit(regression.moments(rows, "lnco2", PLANTED), PLANTED)
+    terms = [("intercept", model.intercept), *zip(model.predictors, model.slopes, strict=True)]
+    data = [(t, v, model.n, model.r2, model.adjusted_r2) for t, v in terms]
+    table = b.spark.createDataFrame(data, "term string, estimate double, n long, r2 double, adj_r2 double")
+    return rounded(table, "term n", estimate=6, r2=7, adj_r2=7)
+
+
+@query(
+    "ols_fitted",
+    f"""SELECT row_id, round(p, 6) + 0e0 AS fitted, round(p - y, 6) + 0e0 AS residual
+        FROM (SELECT row_id, ln(co2_uatm) AS y, my + b1 * (quantity - m1) + b2 * (discount - m2) AS p FROM site_meas,
+              (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2
+               FROM (SELECT avg(quantity) AS m1, avg(discount) AS m2, avg(ln(co2_uatm)) AS my, var_pop(quantity) AS v1,
+                            var_pop(discount) AS v2, covar_pop(quantity, discount) AS c12,
+                            covar_pop(quantity, ln(co2_uatm)) AS c1, covar_pop(discount, ln(co2_uatm)) AS c2
+                     FROM site_meas) AS s) AS t) AS u""",
+)
+def ols_fitted(b):
+    """Fitted values and residuals of the multiple regression on every row."""
+    rows = b.site_meas.withColumn("lnco2", F.log("co2_uatm"))
+    model = regression.fit(regression.moments(rows, "lnco2", PLANTED), PLANTED)
+    table = regression.with_prediction(rows, model, "fitted", "residual")
+    return rounded(table, "row_id", fitted=6, residual=6)
+
+
+@query("vif", """
+    SELECT k.term, round(1e0 / (1e0 - r * r), 7) + 0e0 AS vif
+    FROM (SELECT corr(quantity, discount) AS r FROM site_meas) AS c, (VALUES ('quantity'), ('discount')) AS k(term)""")
+def vif(b):
+    rows = b.site_meas.withColumn("lnco2", F.log("co2_uatm"))
+    factors = regression.inflation_factors(regression.moments(rows, "lnco2", PLANTED), PLANTED)
+    return rounded(b.spark.createDataFrame(list(factors.items()), "term string, vif double"), "term", vif=7)
+
+
+@query("stepwise_aic")
+def stepwise_aic(b):
+    """Four rounds of stepwise selection: coefficients, inflation factors, criterion, fit."""
+    rounds = training.stepwise_rounds(sink.materialize(table_of(b), "training"))
+    rows = []
+    for i, (model, factors, _) in enumerate(rounds):
+        summary = (model.n, model.aic, model.r2, model.adjusted_r2)
+        rows.append((i + 1, "intercept", model.intercept, None, *summary))
+        rows += [
+            (i + 1, p, s, factors[p], *summary) for p, s in zip(model.predictors, model.slopes, strict=True)
+        ]
+    table = b.spark.createDataFrame(
+        rows, "round int, term string, estimate double, vif double, n long, aic double, r2 double, adj_r2 double"
+    )
+    return rounded(table, "round term n", estimate=6, vif=5, aic=3, r2=6, adj_r2=6)
+
+
+@query(
+    "prediction_r2",
+    """SELECT mon, count(*) AS n, round(regr_r2(lnco2, pred), 6) + 0e0 AS r2, round(regr_r2(exp(lnco2), exp(pred)), 6) + 0e0 AS r2_exp
+       FROM residuals GROUP BY mon""",
+)
+def prediction_r2(b):
+    """Truth regressed on prediction, per month, in log and in original space."""
+    return rounded(regression.prediction_r2(residual_table(b), ["mon"], "lnco2", "pred"), "mon n", r2=6, r2_exp=6)
+
+
+@query(
+    "residual_columns",
+    """SELECT row_id, round(pred, 7) + 0e0 AS pred, round(res, 8) + 0e0 AS res, round(exp(pred) - exp(lnco2), 3) + 0e0 AS pco2diff,
+              round((exp(pred) - exp(lnco2)) / exp(lnco2) * 100e0, 5) + 0e0 AS pco2d FROM residuals""",
+)
+def residual_columns(b):
+    """Residual, back-transformed difference and percent difference."""
+    table = residual_table(b).withColumn("pco2diff", F.exp("pred") - F.exp("lnco2"))
+    table = table.withColumn("pco2d", F.col("pco2diff") / F.exp("lnco2") * 100.0)
+    return rounded(table, "row_id", pred=7, res=8, pco2diff=3, pco2d=5)
+
+
+@query(
+    "rmse_by_month",
+    """SELECT mon, count(*) AS n, round(sqrt(sum((exp(pred) - exp(lnco2)) * (exp(pred) - exp(lnco2))) / 2e0 / count(*)), 4) + 0e0 AS rmse
+       FROM residuals GROUP BY mon""",
+)
+def rmse_by_month(b):
+    """Root mean square difference per month, halved inside as published."""
+    diff = F.exp("pred") - F.exp("lnco2")
+    table = residual_table(b).groupBy("mon").agg(F.count("*").alias("n"), groups.root_mean_square(diff).alias("rmse"))
+    return rounded(table, "mon n", rmse=4)
+
+
+@query(
+    "normal_fit",
+    "SELECT mon, round(avg(res), 8) + 0e0 AS mean, round(stddev_pop(res), 7) + 0e0 AS sd FROM residuals GROUP BY mon",
+)
+def normal_fit(b):
+    """Normal distribution fitted to the residuals of every month."""
+    table = residual_table(b).groupBy("mon").agg(*groups.normal_fit(F.col("res")))
+    return rounded(table, "mon", mean=8, sd=7)
+
+
+@query(
+    "residuals_long",
+    """SELECT row_id, predictor, value, round(res, 8) + 0e0 AS res FROM (
+         UNPIVOT (SELECT row_id, res, quantity, discount, CAST(psize AS DOUBLE) AS psize FROM residuals)
+         ON quantity, discount, psize INTO NAME predictor VALUE value) AS u""",
+)
+def residuals_long(b):
+    """Residuals against each predictor, long."""
+    table = residual_table(b).withColumn("psize", F.col("psize").cast("double"))
+    long = reshape.to_long(table, ["row_id", "res"], ["quantity", "discount", "psize"], "predictor", "value")
+    return rounded(long, "row_id predictor value", res=8)
+
+
+def _forest_rows(b) -> DataFrame:
+    table = training.regression_rows(table_of(b))
+    return sink.materialize(table.select("row_id", "lat", "mon", "lnco2", *dims.FOREST_PREDICTORS), "forest-rows")
+
+
+@query("rf_train_predict")
+def rf_train_predict(b):
+    """Forest on 15 predictors, scored on the held-out quarter."""
+    rows = _forest_rows(b)
+    train = forest.is_training(F.col("row_id"))
+    model = forest.train(rows.filter(train), "lnco2", dims.FOREST_PREDICTORS, TREES, DEPTH)
+    table = forest.score(model, rows.filter(~train), dims.FOREST_PREDICTORS, ["row_id", "mon", "lnco2"], "pred_rf")
+    return rounded(table, "row_id mon", lnco2=6, pred_rf=6)
+
+
+@query("rf_importance")
+def rf_importance(b):
+    """Permutation importance of the 15 predictors, most important first."""
+    rows = _forest_rows(b)
+    train = forest.is_training(F.col("row_id"))
+    model = forest.train(rows.filter(train), "lnco2", dims.FOREST_PREDICTORS, TREES, DEPTH)
+    table = forest.permutation_importance(model, rows.filter(~train), "row_id", "lnco2", dims.FOREST_PREDICTORS)
+    return rounded(table, "pred", importance=6).orderBy(F.desc("importance"))
+
+
+@query("cv_summary")
+def cv_summary(b):
+    """10-fold cross-validation per month: r-squared, mean error and spread, averaged over folds."""
+    rows = _forest_rows(b)
+    scored = forest.cross_validate(
+        rows, "row_id", "lnco2", dims.FOREST_PREDICTORS, ["mon"], trees=TREES, depth=5
+    )
+    metrics = forest.fold_metrics(scored.filter(F.col("mon") != dims.ANNUAL), "mon", "lnco2")
+    return rounded(forest.fold_summary(metrics, "mon"), "mon", r2=6, mnerr=6, sderr=6)
+
+
+SHARED = ("tavg_00", "prec_00", "area", "slop")
+
+
+@query("score_reaches")
+def score_reaches(b):
+    """Concentration of every segment and month from the fitted forest."""
+    i = inputs_of(b)
+    rows = training.regression_rows(table_of(b)).select("lnco2", *SHARED)
+    model = forest.train(sink.materialize(rows, "forest-rows"), "lnco2", SHARED, TREES, DEPTH)
+    climate = i.basin_climate.select("hybas_id", "month", F.col("prec").alias("prec_00"))
+    table = (
+        i.reach.join(i.uparea, "comid")
+        .join(i.reach_basin, "comid")
+        .join(i.air_temp, "comid")
+        .join(climate, ["hybas_id", "month"])
+        .select(
+            "comid", "month", "prec_00", F.col("ta").alias("tavg_00"),
+            nulls.log_positive("uparea").alias("area"), nulls.log_positive("slope").alias("slop"),
+        )
+    )
+    scored = forest.score(model, table, SHARED, ["comid", "month"], "ln_pco2")
+    return rounded(scored.withColumn("pco2", F.exp("ln_pco2")), "comid month", pco2=4)
+
