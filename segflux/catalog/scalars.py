@@ -50,7 +50,7 @@ def schmidt_number(b):
 def gas_transfer_velocity(b):
     """Velocity, energy dissipation and exchange of every segment and month."""
     q = ingest.monthly_statistic(b.discharge)
-    table = b.reach.join(q, "comid").join(b.air_temp, ["comid", "month"], "left")
+    table = b.reach.join(q.hint("merge"), "comid").join(b.air_temp.hint("merge"), ["comid", "month"], "left")
     table = table.withColumn("v", hydraulics.flow_velocity(F.col("q")))
     table = table.withColumns(
         {

@@ -13,19 +13,19 @@ def _col(x: Column | str) -> Column:
 def strict_sum(x: Column | str) -> Column:
     """Sum that is NULL as soon as one input is NULL."""
     x = _col(x)
-    return F.when(F.count_if(x.isNull()) == 0, F.sum(x))
+    return F.when(F.count(x) == F.count("*"), F.sum(x))
 
 
 def strict_sum_where(x: Column | str, keep: Column) -> Column:
     """``strict_sum`` over the rows where ``keep`` is true; NULL when there are none."""
-    x = _col(x)
-    return F.when(F.count_if(keep & x.isNull()) == 0, F.sum(F.when(keep, x)))
+    kept = F.when(keep, _col(x))
+    return F.when(F.count(kept) == F.count_if(keep), F.sum(kept))
 
 
 def strict_mean(x: Column | str) -> Column:
     """Mean that is NULL as soon as one input is NULL."""
     x = _col(x)
-    return F.when(F.count_if(x.isNull()) == 0, F.avg(x))
+    return F.when(F.count(x) == F.count("*"), F.avg(x))
 
 
 def loose_sum(x: Column | str) -> Column:

@@ -25,46 +25,49 @@ def network_cells(reach_month: DataFrame, keys: Sequence[str] = CELL_KEYS) -> Da
     Needs ``length_m, width, dryout, k, co2, pco2``; when ``width_obs`` and ``keep`` are present
     too, the sums of the observed network (prefix ``obs_``) are built in the same pass.
     """
-    length, dry = F.col("length_m"), F.col("dryout")
-
-    def parts(width: Column) -> dict[str, Column]:
-        area = hydraulics.surface_area(length, width)
-        return {"area": area, "dry": area * dry, "eff": area * (1.0 - dry)}
-
-    width = F.col("width")
-    flag = hydraulics.is_channel(width)
-    model = parts(width)
-    wet = model["area"] - model["dry"]
-    aggs = [
-        F.count("*").alias("n"),
-        nulls.strict_sum(length * flag / 1000.0).alias("length_km"),
-        nulls.strict_sum(width * flag).alias("width_sum"),
-        nulls.strict_sum(model["area"]).alias("area_km2"),
-        nulls.strict_sum(model["dry"]).alias("dry_km2"),
-        nulls.loose_sum(F.col("k") * wet).alias("k_area"),
-        nulls.loose_sum(F.col("co2") * wet).alias("co2_area"),
-        nulls.loose_sum(F.col("pco2") * wet).alias("pco2_area"),
-    ]
-    if {"width_obs", "keep"} <= set(reach_month.columns):
-        keep = F.col("keep")
-        seen = parts(F.col("width_obs"))
-        aggs += [F.count_if(keep).alias("obs_n")] + [
-            nulls.strict_sum_where(expr, keep).alias(name) for name, expr in _observed(seen).items()
-        ]
-    return reach_month.groupBy(*keys).agg(*aggs)
-
-
-def _observed(seen: dict[str, Column]) -> dict[str, Column]:
-    eff = seen["eff"]
-    k, co2, pco2 = F.col("k"), F.col("co2"), F.col("pco2")
-    return {
-        "obs_area": seen["area"],
-        "obs_dry": seen["dry"],
-        "obs_eff": eff,
-        "obs_pco2_eff": pco2 * eff,
-        "obs_k_eff": k * eff,
-        "obs_flux_eff": gas.areal_flux(co2, k) * eff,
+    # The products are columns of their own, so every aggregate below reads a plain value.
+    observed = {"width_obs", "keep"} <= set(reach_month.columns)
+    terms = _wet_terms(F.col("width"), "")
+    weights = {
+        "length_km": F.col("length_m") * F.col("__flag") / 1000.0,
+        "width_sum": F.col("width") * F.col("__flag"),
+        "area_km2": F.col("__area"),
+        "dry_km2": F.col("__dry"),
     }
+    wet = {c: F.col(c) * (F.col("__area") - F.col("__dry")) for c in ("k", "co2", "pco2")}
+    rows = reach_month.withColumns(terms[0]).withColumns(terms[1])
+    aggs = [F.count("*").alias("n")]
+    aggs += [nulls.strict_sum(e).alias(c) for c, e in weights.items()]
+    aggs += [nulls.loose_sum(e).alias(f"{c}_area") for c, e in wet.items()]
+    if observed:
+        keep = F.col("keep")
+        seen = _wet_terms(F.when(keep, F.col("width_obs")), "obs_")
+        rows = rows.withColumns(seen[0]).withColumns(seen[1])
+        eff = F.col("__obs_area") - F.col("__obs_dry")
+        flux = gas.areal_flux(F.col("co2"), F.col("k"))
+        rows = rows.withColumns(
+            {
+                "obs_area": F.col("__obs_area"),
+                "obs_dry": F.col("__obs_dry"),
+                "obs_eff": eff,
+                "obs_pco2_eff": F.col("pco2") * eff,
+                "obs_k_eff": F.col("k") * eff,
+                "obs_flux_eff": flux * eff,
+            }
+        )
+        aggs.append(F.count_if(keep).alias("obs_n"))
+        aggs += [nulls.strict_sum_where(F.col(c), keep).alias(c) for c in OBSERVED_SUMS]
+    return rows.groupBy(*keys).agg(*aggs)
+
+
+def _wet_terms(width: Column, prefix: str) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Channel flag, surface and dry area, in two steps because the second uses the first."""
+    flag, area, dry = f"__{prefix}flag", f"__{prefix}area", f"__{prefix}dry"
+    surface = F.col("length_m") * width * F.col(flag) / hydraulics.M2_PER_KM2
+    return (
+        {flag: hydraulics.is_channel(width)},
+        {area: surface, dry: surface * F.col("dryout")},
+    )
 
 
 OBSERVED_SUMS = ("obs_area", "obs_dry", "obs_eff", "obs_pco2_eff", "obs_k_eff", "obs_flux_eff")

@@ -74,17 +74,29 @@ def order_statistics(
 
 def _narrow(values: DataFrame, x: Column, searches: Sequence[_Search], accuracy: int) -> None:
     """One round: sketch the interval of every search, then count around the new end points."""
+    # Searches over one interval (all of them in the first round) share one sketch.
+    slack = 2.0 / accuracy
+    intervals: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        intervals.setdefault((s.low, s.high, s.open_low, s.open_high), []).append(s)
     sketches = []
-    for i, s in enumerate(searches):
-        p = (s.rank - s.below) / max(s.inside - 1, 1)
-        slack = 2.0 / accuracy
-        ends = F.array(F.lit(max(p - slack, 0.0)), F.lit(min(p + slack, 1.0)))
-        sketches.append(F.percentile_approx(F.when(s.member(x), x), ends, F.lit(accuracy)).alias(f"b{i}"))
-    brackets = values.agg(*sketches).first()
+    for i, group in enumerate(intervals.values()):
+        ends = []
+        for s in group:
+            p = (s.rank - s.below) / max(s.inside - 1, 1)
+            ends += [F.lit(max(p - slack, 0.0)), F.lit(min(p + slack, 1.0))]
+        kept = F.when(group[0].member(x), x)
+        sketches.append(F.percentile_approx(kept, F.array(*ends), F.lit(accuracy)).alias(f"b{i}"))
+    row = values.agg(*sketches).first()
+    brackets = {
+        s.rank: row[f"b{i}"][2 * j : 2 * j + 2]
+        for i, group in enumerate(intervals.values())
+        for j, s in enumerate(group)
+    }
 
     counts = []
     for i, s in enumerate(searches):
-        low, high = map(F.lit, brackets[f"b{i}"])
+        low, high = map(F.lit, brackets[s.rank])
         member = s.member(x)
         counts += [
             F.count_if(member & (x < low)).alias(f"under{i}"),
@@ -94,7 +106,7 @@ def _narrow(values: DataFrame, x: Column, searches: Sequence[_Search], accuracy:
         ]
     row = values.agg(*counts).first()
     for i, s in enumerate(searches):
-        low, high = brackets[f"b{i}"]
+        low, high = brackets[s.rank]
         position = s.rank - s.below
         under, at_low, mid = row[f"under{i}"], row[f"low{i}"], row[f"mid{i}"]
         at_high = row[f"high{i}"] if high > low else 0

@@ -14,6 +14,15 @@ from segflux.sources import ingest, sink
 APRIL = 4
 
 
+def _monthly(table: DataFrame) -> DataFrame:
+    """Mark a segment-month table as a large join side.
+
+    It has twelve rows per segment, so it is never the side to broadcast, whatever a size
+    estimate taken before the months were expanded may say.
+    """
+    return table.hint("merge")
+
+
 def transfer_velocity(slope: Column, q: Column, air_temperature: Column, min_slope: float | None = None) -> Column:
     """Gas transfer velocity straight from the raw inputs of one segment and month."""
     if min_slope is not None:
@@ -27,8 +36,8 @@ def gas_transfer_by_reach(inputs: NetworkInputs, options: NetworkOptions | None
     options = options or NetworkOptions()
     q = ingest.monthly_statistic(inputs.discharge)
     return (
-        inputs.reach.join(q, "comid")
-        .join(inputs.air_temp, ["comid", "month"], "left")
+        inputs.reach.join(_monthly(q), "comid")
+        .join(_monthly(inputs.air_temp), ["comid", "month"], "left")
         .select(
             "region",
             "comid",
@@ -99,15 +108,15 @@ def assemble_reach_months(
     options = options or NetworkOptions()
     reach = assemble_reaches(inputs, options) if reaches is None else reaches
     table = (
-        reach.join(ingest.monthly_statistic(inputs.discharge), "comid")
-        .join(inputs.air_temp, ["comid", "month"], "left")
-        .join(inputs.reach_pco2, ["comid", "month"], "left")
+        reach.join(_monthly(ingest.monthly_statistic(inputs.discharge)), "comid")
+        .join(_monthly(inputs.air_temp), ["comid", "month"], "left")
+        .join(_monthly(inputs.reach_pco2), ["comid", "month"], "left")
     )
     if inputs.reach_k is None:
         k = transfer_velocity(F.col("slope"), F.col("q"), F.col("ta"), options.min_slope)
         table = table.withColumn("k", k)
     else:
-        table = table.join(inputs.reach_k.select("comid", "month", "k"), ["comid", "month"], "left")
+        table = table.join(_monthly(inputs.reach_k.select("comid", "month", "k")), ["comid", "month"], "left")
     q = F.col("q")
     table = table.withColumn("tw", gas.water_temperature(F.col("ta")))
     return table.withColumns(

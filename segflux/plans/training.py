@@ -12,6 +12,7 @@ from segflux import dims
 from segflux.functions import gas, hydraulics, nulls
 from segflux.operators import quantiles, regression, reshape, updates
 from segflux.operators.joins import lookup
+from segflux.sources import sink
 from segflux.sources.bindings import two_parts
 from segflux.sources.ingest import union_parts
 
@@ -126,7 +127,8 @@ def predictor_values(table: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 def histogram_values(table: DataFrame, low_quantile: float = 0.01) -> DataFrame:
     """Long table for histograms: acidity is cut at a quantile instead of a fixed limit."""
-    rows = transformed(table)
+    # Read again by the quantile search and by whatever is computed on the result.
+    rows = sink.materialize(transformed(table).select(*dims.PREDICTOR_LABELS), "predictors")
     floor = quantiles.exact_quantiles(rows, "sph", [low_quantile])[low_quantile]
     limits = dict(dims.OUTLIER_LIMITS, sph=(floor, None))
     long = reshape.to_long(rows, [], list(dims.PREDICTOR_LABELS), "predictor", "value")

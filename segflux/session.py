@@ -13,10 +13,32 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # A table hashed on the segment key also serves a join on (segment key, month).
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # Methods above 8000 bytecodes are never compiled by the JVM; such a stage is better split
+    # into operators than run interpreted.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
 }
 
 
+TASK_BYTES = 192 * 1024 * 1024
+MAX_SHUFFLE_PARTITIONS = 100_000
+
+
+def shuffle_partitions_for(input_bytes: int, task_bytes: int = TASK_BYTES) -> int:
+    """Shuffle partitions that keep one task's share of the input near ``task_bytes``.
+
+    Adaptive execution merges what turns out smaller, so the number may err on the high side.
+    """
+    return max(8, min(MAX_SHUFFLE_PARTITIONS, -(-input_bytes // task_bytes)))
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
+    """Set the shuffle width of a session from the size of its largest input."""
+    n = shuffle_partitions_for(input_bytes)
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    return n
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session made elsewhere."""
     for key, value in RUNTIME_CONF.items():

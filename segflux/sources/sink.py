@@ -52,15 +52,12 @@ def write_regions(
 ) -> None:
     """Write chosen columns, one zero-padded ``region=NN`` directory per region.
 
-    The rows are not repartitioned by region: with few regions one of them may hold a large
-    share of all rows, so every task writes its own file into each directory instead.
+    Rows are rebalanced by region: a region with a large share of all rows is split over many
+    tasks and files, small ones share a task.
     """
     keep = [c for c in columns if c != region]
-    writer = (
-        df.select(*keep, F.lpad(F.col(region).cast("string"), 2, "0").alias(region))
-        .write.mode("errorifexists")
-        .partitionBy(region)
-    )
+    padded = df.select(*keep, F.lpad(F.col(region).cast("string"), 2, "0").alias(region))
+    writer = padded.hint("rebalance", region).write.mode("errorifexists").partitionBy(region)
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.format(fmt).save(path)
