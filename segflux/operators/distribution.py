@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segflux.functions import nulls
-from segflux.operators.joins import attach_small
+from segflux.operators.joins import attach_stats
 
 
 def histogram_by_group(df: DataFrame, keys: Sequence[str], value: str, bins: int = 50) -> DataFrame:
@@ -26,7 +26,7 @@ def histogram_by_group(df: DataFrame, keys: Sequence[str], value: str, bins: int
         F.least(F.floor(nulls.ratio(x - low, width)).cast("int"), F.lit(bins - 1))
     )
     return (
-        attach_small(rows, ranges, keys)
+        attach_stats(rows, ranges, keys)
         .groupBy(*keys, "low", "high", slot.alias("bin"))
         .agg(F.count("*").alias("n"))
     )
@@ -82,27 +82,27 @@ def kde_by_group(
     """
     rows = df.select(*keys, value).filter(nulls.is_finite(value))
     centre = (F.floor(F.col(value) / bin_width) + 0.5) * bin_width
-    binned = rows.groupBy(*keys, centre.alias("c")).agg(F.count("*").alias("w"))
+    binned = rows.groupBy(*keys, centre.alias("__c")).agg(F.count("*").alias("__w"))
 
     window = Window.partitionBy(*keys)
-    upto = window.orderBy("c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = window.orderBy("__c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = binned.withColumns(
-        {"upto": F.sum("w").over(upto), "n": F.sum("w").over(window)}
+        {"upto": F.sum("__w").over(upto), "n": F.sum("__w").over(window)}
     )
     position = {p: (F.col("n") - 1) * p for p in (0.25, 0.75)}
 
     def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("upto") > rank, F.col("c")))
+        return F.min(F.when(F.col("upto") > rank, F.col("__c")))
 
     def quantile(p: float) -> Column:
         low_rank = F.floor(position[p])
         below, above = at(low_rank), at(F.ceil(position[p]))
         return below + (above - below) * F.max(position[p] - low_rank)
 
-    w, c = F.col("w"), F.col("c")
+    w, c = F.col("__w"), F.col("__c")
     mean = F.sum(w * c) / F.sum(w)
     moments = ranked.groupBy(*keys).agg(
-        F.sum("w").alias("n"), mean.alias("mean"), (quantile(0.75) - quantile(0.25)).alias("iqr")
+        F.sum("__w").alias("n"), mean.alias("mean"), (quantile(0.75) - quantile(0.25)).alias("iqr")
     )
     centred = binned.join(moments, list(keys))
     spread = centred.groupBy(*keys, "n", "iqr").agg(
@@ -113,13 +113,13 @@ def kde_by_group(
 
     step = (high - low) / (points - 1)
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    spread_out = binned.join(width, list(keys)).select(*keys, "c", "w", "n", "bw", grid.alias("g"))
-    x = F.col("g") * step + low
+    spread_out = binned.join(width, list(keys)).select(*keys, "__c", "__w", "n", "bw", grid.alias("point"))
+    x = F.col("point") * step + low
     kernel = w * normal_density(x, c, F.col("bw"))
     return (
-        spread_out.groupBy(*keys, "g", "n", "bw")
+        spread_out.groupBy(*keys, "point", "n", "bw")
         .agg(F.sum(kernel).alias("mass"))
-        .select(*keys, "g", x.alias("x"), "n", "bw", nulls.ratio(F.col("mass"), F.col("n").cast("double")).alias("density"))
+        .select(*keys, "point", x.alias("x"), "n", "bw", nulls.ratio(F.col("mass"), F.col("n").cast("double")).alias("density"))
     )
 
 

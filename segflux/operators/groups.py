@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segflux.functions import nulls
+from segflux.operators.joins import attach_stats
 
 
 def normalize_by_group(df: DataFrame, keys: Sequence[str], value: str, output: str) -> DataFrame:
@@ -17,7 +18,7 @@ def normalize_by_group(df: DataFrame, keys: Sequence[str], value: str, output: s
     is pre-aggregated on every task and split on the join, where a window would gather it.
     """
     means = df.groupBy(*keys).agg(nulls.strict_mean(value).alias("__mean"))
-    joined = df.join(means, list(keys), "left")
+    joined = attach_stats(df, means, keys)
     return joined.withColumn(output, nulls.ratio(value, "__mean")).drop("__mean")
 
 
@@ -25,7 +26,7 @@ def share_of_group(df: DataFrame, keys: Sequence[str], value: str, output: str,
     """Value over its (strict) group total; the total stays when ``total`` names it."""
     name = total or "__total"
     totals = df.groupBy(*keys).agg(nulls.strict_sum(value).alias(name))
-    joined = df.join(totals, list(keys), "left").withColumn(output, nulls.ratio(value, name))
+    joined = attach_stats(df, totals, keys).withColumn(output, nulls.ratio(value, name))
     return joined if total else joined.drop(name)
 
 

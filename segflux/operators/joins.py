@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from segflux.sources import sink
 
-SMALL_ROWS = 10_000
-
 
 def lookup(df: DataFrame, table: DataFrame, on: str | Sequence[str], unique: bool = False) -> DataFrame:
     """Left lookup.  ``unique=True`` first verifies that the right side has one row per key.
@@ -31,19 +29,17 @@ def require_unique(table: DataFrame, keys: Sequence[str]) -> None:
         raise ValueError(f"lookup key {list(keys)} repeats, e.g. {[tuple(r)[:-1] for r in clash]}")
 
 
-def attach_small(df: DataFrame, stats: DataFrame, on: Sequence[str], limit: int = SMALL_ROWS) -> DataFrame:
-    """Attach per-group statistics without shuffling the large side, when groups are few.
+def attach_stats(df: DataFrame, stats: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Put per-group statistics back on the rows; a NULL key is a group like any other.
 
-    The grouped table is computed once.  Up to ``limit`` rows it is broadcast; beyond that it is
-    kept as a table and joined by the optimizer's own choice.
+    The grouped table is written first.  Its true size then decides: below the session threshold
+    it is broadcast and the rows are not shuffled; above it both sides are plain shuffles, which
+    adaptive execution can split at a hot key (it cannot when one side is an aggregate already
+    placed by that key).
     """
-    on = list(on)
-    rows = stats.limit(limit + 1).collect()
-    spark = df.sparkSession
-    if len(rows) <= limit:
-        small = spark.createDataFrame(rows, stats.schema)
-        return df.join(F.broadcast(small), on, "left")
-    return df.join(sink.materialize(stats, "group-stats"), on, "left")
+    small = sink.materialize(stats, "group-stats").withColumnsRenamed({k: f"__key_{k}" for k in on})
+    same = [df[k].eqNullSafe(small[f"__key_{k}"]) for k in on]
+    return df.join(small, same, "left").drop(*[f"__key_{k}" for k in on])
 
 
 def keep_matched(df: DataFrame, table: DataFrame, on: str | Sequence[str], required: str) -> DataFrame:

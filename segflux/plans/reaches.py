@@ -73,7 +73,10 @@ def assemble_reaches(inputs: NetworkInputs, options: NetworkOptions | None = Non
     )
     reach = lookup(inputs.reach, annual, "comid", unique=options.check_keys)
     reach = lookup(reach, inputs.uparea, "comid", unique=options.check_keys)
-    reach = reach.join(placed, "comid").join(basin_classes(inputs), "hybas_id")
+    # Written first: a scan on this side is broadcast by its true size, or else lets adaptive
+    # execution split a basin that holds a large share of the segments.
+    classes = sink.materialize(basin_classes(inputs), "basin-classes")
+    reach = reach.join(placed, "comid").join(classes, "hybas_id")
     reach = updates.patch_by_key(reach, "comid", "uparea", options.uparea_patches)
     reach = reach.withColumn("q_cv", hydraulics.coefficient_of_variation(F.col("q_std"), F.col("q_year")))
     reach = sink.materialize(reach, "reach")

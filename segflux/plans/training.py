@@ -93,11 +93,13 @@ STATIC = (
 def training_table(inputs: SiteInputs, check_keys: bool = False) -> DataFrame:
     """Measurements with the covariates of their site and month; open water is dropped.
 
-    One join on (site, month label).  A site with very many measurements is spread over its
-    months, and adaptive execution splits what is still large.
+    One join on (site, month label: twelve months or ``Ann``).  The covariate table is written
+    first, so its size decides between broadcast and shuffle; a site with very many measurements
+    is spread over its months, and adaptive execution splits what is still large.
     """
     covariates = site_covariates(inputs, check_keys)
     monthly = reshape.own_month_table(covariates, ["site_no", *STATIC], MONTHLY, SCALES)
+    monthly = sink.materialize(monthly, "site-months")
     meas = inputs.meas.withColumn("lnco2", nulls.log_or_inf("co2_uatm"))
     return meas.join(monthly, ["site_no", "mon"])
 

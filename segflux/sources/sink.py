@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from segflux import dims
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_local_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,10 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise RuntimeError(f"{CHECKPOINT_KEY} is not set")
-        folder = tempfile.mkdtemp(prefix="segflux-")
-        spark.conf.set(CHECKPOINT_KEY, folder)
+        folder = _local_folders.setdefault(context.applicationId, "")
+        if not folder:
+            folder = _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="segflux-")
     return folder.rstrip("/")
 
 
