@@ -18,7 +18,7 @@ from segflux.plans import training
 @query(
     "histogram_by_group",
     """SELECT predictor, bin, count(*) AS n, round(lo, 7) + 0e0 AS low, round(hi, 7) + 0e0 AS high FROM (
-         SELECT predictor, lo, hi, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((value - lo) / ((hi - lo) / 50e0)), 49) END AS INT) AS bin
+         SELECT predictor, lo, hi, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((value - lo) / ((hi - lo) / 50e0) + 1e-8), 49) END AS INT) AS bin
          FROM (SELECT predictor, value, min(value) OVER (PARTITION BY predictor) AS lo, max(value) OVER (PARTITION BY predictor) AS hi
                FROM (UNPIVOT train_log ON lnco2, """
     + ", ".join(training.PREDICTORS)
@@ -36,7 +36,7 @@ def histogram_by_group(b):
 
 @query(
     "histogram_log",
-    f"""SELECT clmregion, CAST(floor(log10(co2_uatm) / 0.06e0) AS INT) AS bin, count(*) AS n
+    f"""SELECT clmregion, CAST(floor(log10(co2_uatm) / 0.06e0 + 1e-8) AS INT) AS bin, count(*) AS n
         FROM (SELECT {band('lat', SHORT)} AS clmregion, co2_uatm FROM site_meas WHERE co2_uatm BETWEEN 30e0 AND 20000e0) AS t
         GROUP BY ALL""",
 )
@@ -49,7 +49,7 @@ def histogram_log(b):
 @query(
     "histogram_density",
     """SELECT mon, bin, n, round(n / (sum(n) OVER (PARTITION BY mon) * (4e0 / 30e0)), 7) + 0e0 AS density FROM (
-         SELECT mon, CAST(least(floor((res + 2e0) / (4e0 / 30e0)), 29) AS INT) AS bin, count(*) AS n
+         SELECT mon, CAST(least(floor((res + 2e0) / (4e0 / 30e0) + 1e-8), 29) AS INT) AS bin, count(*) AS n
          FROM residuals WHERE res BETWEEN -2e0 AND 2e0 GROUP BY ALL) AS t""",
 )
 def histogram_density(b):
@@ -61,7 +61,7 @@ def histogram_density(b):
 @query(
     "histogram_density_overall",
     """SELECT bin, n, round(n / (sum(n) OVER () * 0.12e0), 7) + 0e0 AS density FROM (
-         SELECT CAST(least(floor((res + 3e0) / 0.12e0), 49) AS INT) AS bin, count(*) AS n
+         SELECT CAST(least(floor((res + 3e0) / 0.12e0 + 1e-8), 49) AS INT) AS bin, count(*) AS n
          FROM residuals WHERE res BETWEEN -3e0 AND 3e0 GROUP BY ALL) AS t""",
 )
 def histogram_density_overall(b):

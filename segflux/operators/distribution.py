@@ -1,7 +1,8 @@
 """Distribution statistics: histograms, densities, seasonal smooths.
 
 Bins are half-open ``[low, high)``; the last bin of a histogram also takes its upper edge.
-Values are reduced to bins or to months before anything is put together, so a group of any
+A value within 1e-8 bin widths below an edge counts as lying on it, so that the last bit of a
+logarithm does not decide the bin.  Values are reduced to bins or to months before anything is put together, so a group of any
 size ends up as a few hundred rows.
 """
 
@@ -16,6 +17,13 @@ from pyspark.sql import functions as F
 from segflux.functions import nulls
 from segflux.operators.joins import attach_stats
 
+EDGE_FUZZ = 1e-8  # of a bin width
+
+
+def bin_number(position: Column) -> Column:
+    """Bin of a position measured in bin widths."""
+    return F.floor(position + EDGE_FUZZ).cast("int")
+
 
 def histogram_by_group(df: DataFrame, keys: Sequence[str], value: str, bins: int = 50) -> DataFrame:
     """Equal-width bins over each group's own range; missing and infinite values are dropped."""
@@ -23,7 +31,7 @@ def histogram_by_group(df: DataFrame, keys: Sequence[str], value: str, bins: int
     ranges = rows.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"))
     x, low, width = F.col(value), F.col("low"), (F.col("high") - F.col("low")) / float(bins)
     slot = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor(nulls.ratio(x - low, width)).cast("int"), F.lit(bins - 1))
+        F.least(bin_number(nulls.ratio(x - low, width)), F.lit(bins - 1))
     )
     return (
         attach_stats(rows, ranges, keys)
@@ -38,7 +46,7 @@ def histogram_log(
     """Counts on a log10 axis; values outside the limits are removed before binning."""
     x = F.col(value)
     rows = df.filter((x >= low) & (x <= high))
-    return rows.groupBy(*keys, F.floor(F.log10(x) / width).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return rows.groupBy(*keys, bin_number(F.log10(x) / width).alias("bin")).agg(F.count("*").alias("n"))
 
 
 def histogram_density(
@@ -46,7 +54,7 @@ def histogram_density(
 ) -> DataFrame:
     """Histogram over fixed limits scaled to unit area per group (limits applied first)."""
     x, width = F.col(value), (high - low) / bins
-    slot = F.least(F.floor((x - low) / width).cast("int"), F.lit(bins - 1))
+    slot = F.least(bin_number((x - low) / width), F.lit(bins - 1))
     counts = (
         df.filter((x >= low) & (x <= high)).groupBy(*keys, slot.alias("bin")).agg(F.count("*").alias("n"))
     )

@@ -115,6 +115,14 @@ def test_histogram_counts_every_value(spark):
     assert counts[("b", 0)] == 1
 
 
+def test_last_bit_below_an_edge_does_not_decide_the_bin(spark):
+    ends = [0.0, math.log(9.0)]
+    near = [math.log(3.0), math.nextafter(math.log(3.0), 0.0)]
+    df = spark.createDataFrame([("g", x) for x in ends + near], "g string, x double")
+    out = {r.bin: r.n for r in distribution.histogram_by_group(df, ["g"], "x", 50).collect()}
+    assert out == {0: 1, 25: 2, 49: 1}
+
+
 def test_density_histogram_has_unit_area(spark):
     df = spark.createDataFrame([(float(x),) for x in np.random.default_rng(0).normal(size=500)], "x double")
     out = distribution.histogram_density(df, [], "x", -2.0, 2.0, 30)
