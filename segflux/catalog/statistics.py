@@ -99,7 +99,7 @@ def normal_density_grid(b):
                    GROUP BY m.lat_band, m.month, m.n),
          kde_bw AS (SELECT lat_band, month, n, 0.9e0 * CASE WHEN iqr > 0 THEN least(sd, iqr / 1.34e0) ELSE sd END * pow(CAST(n AS DOUBLE), -0.2e0) AS bw FROM kde_width)
        SELECT b.lat_band, b.month, CAST(g AS INT) AS point, round(g * 0.05e0, 6) + 0e0 AS x, round(bw, 6) + 0e0 AS bw,
-              round(sum(w * exp(-0.5e0 * ((g * 0.05e0 - c) / bw) * ((g * 0.05e0 - c) / bw)) / (bw * sqrt(2e0 * pi()))) / h.n, 6) + 0e0 AS density
+              round(sum(w * exp(-0.5e0 * ((g * 0.05e0 - c) / nullif(bw, 0e0)) * ((g * 0.05e0 - c) / nullif(bw, 0e0))) / (nullif(bw, 0e0) * sqrt(2e0 * pi()))) / h.n, 6) + 0e0 AS density
        FROM kde_binned b JOIN kde_bw h ON h.month = b.month AND h.lat_band IS NOT DISTINCT FROM b.lat_band, range(45) AS r(g)
        GROUP BY b.lat_band, b.month, g, bw, h.n""",
 )
