@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segflux.llm import common, decontam, language, packing, sharding, simhash, token_store
+from segflux.llm import common, decontam, language, packing, sharding, simhash, suffix_dedup, token_store
 from segflux.llm.ship import ship
 from segflux.sources import sink
 
@@ -51,6 +51,11 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(store, with_ids=False)
 
 
+@query
+def op6_induced_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(common.table(spark, sf_dir, "documents"), with_kept=False)
+
+
 @query
 def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), with_ids=False)
