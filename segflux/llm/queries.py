@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segflux.llm import common, decontam, language, packing, sharding, simhash, suffix_dedup, token_store
+from segflux.llm import common, decontam, language, lm_scoring, maxscore, packing, pii, sharding, simhash, suffix_dedup, token_store
 from segflux.llm.ship import ship
 from segflux.sources import sink
 
@@ -26,6 +26,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return run
 
 
+@query
+def op1_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = common.table(spark, sf_dir, "documents")
+    return lm_scoring.score(documents, *lm_scoring.train(documents))
+
+
 @query
 def op2_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards in random order; law ``key``."""
@@ -43,6 +49,30 @@ def op2_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op3_maxscore_top_k"] = """
+WITH usable AS (
+    SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+           CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+    FROM usable q JOIN usable c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+    WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+FROM scored
+QUALIFY row_number() OVER w <= 5
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+"""
+
+
 @query
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written to a store and read back."""
@@ -51,6 +81,23 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(store, with_ids=False)
 
 
+@query
+def op5_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and hash are of the patterns' spans; ``spans`` holds those the random field adds too."""
+    documents = common.table(spark, sf_dir, "documents")
+    found = pii.find_spans(documents, pii.train(documents))
+
+    def count(kind: str, spans: str):
+        return F.size(F.filter(F.split(spans, ","), lambda s: s.startswith(f"{kind}:"))).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[count(kind, "base").alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
+        "spans",
+    )
+
+
 @query
 def op6_induced_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(common.table(spark, sf_dir, "documents"), with_kept=False)
