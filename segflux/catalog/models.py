@@ -8,14 +8,10 @@ from pyspark.sql import functions as F
 from segflux import dims
 from segflux.catalog.base import inputs_of, query, rounded
 from segflux.catalog.sites import table_of
-from segflux.functions import nulls
 from segflux.operators import forest, groups, regression, reshape
 from segflux.plans import training
 from segflux.sources import sink
 
-# Smaller than the library defaults (500 and 200 trees) so that a check takes seconds.
-TREES = 20
-DEPTH = 8
 PLANTED = ("quantity", "discount")
 
 _SPLIT = "((row_id % 6553600) * 1103515245 + 12345)"
@@ -175,12 +171,24 @@ def _forest_rows(b) -> DataFrame:
     return sink.materialize(table.select("row_id", "lat", "mon", "lnco2", *dims.FOREST_PREDICTORS), "forest-rows")
 
 
+_MODELS: dict[tuple[str, str], tuple] = {}
+
+
+def _fitted(b):
+    """Rows and the forest fitted on their training quarters, once per session and directory."""
+    key = (b.spark.sparkContext.applicationId, b.sf_dir)
+    if key not in _MODELS:
+        rows = _forest_rows(b)
+        model = forest.train(rows.filter(forest.is_training(F.col("row_id"))), "lnco2", dims.FOREST_PREDICTORS)
+        _MODELS[key] = rows, model
+    return _MODELS[key]
+
+
 @query("rf_train_predict")
 def rf_train_predict(b):
     """Forest on 15 predictors, scored on the held-out quarter."""
-    rows = _forest_rows(b)
+    rows, model = _fitted(b)
     train = forest.is_training(F.col("row_id"))
-    model = forest.train(rows.filter(train), "lnco2", dims.FOREST_PREDICTORS, TREES, DEPTH)
     table = forest.score(model, rows.filter(~train), dims.FOREST_PREDICTORS, ["row_id", "mon", "lnco2"], "pred_rf")
     return rounded(table, "row_id mon", lnco2=6, pred_rf=6)
 
@@ -188,9 +196,8 @@ def rf_train_predict(b):
 @query("rf_importance")
 def rf_importance(b):
     """Permutation importance of the 15 predictors, most important first."""
-    rows = _forest_rows(b)
+    rows, model = _fitted(b)
     train = forest.is_training(F.col("row_id"))
-    model = forest.train(rows.filter(train), "lnco2", dims.FOREST_PREDICTORS, TREES, DEPTH)
     table = forest.permutation_importance(model, rows.filter(~train), "row_id", "lnco2", dims.FOREST_PREDICTORS)
     return rounded(table, "pred", importance=6).orderBy(F.desc("importance"))
 
@@ -200,32 +207,41 @@ def cv_summary(b):
     """10-fold cross-validation per month: r-squared, mean error and spread, averaged over folds."""
     rows = _forest_rows(b)
     scored = forest.cross_validate(
-        rows, "row_id", "lnco2", dims.FOREST_PREDICTORS, ["mon"], trees=TREES, depth=5
+        rows, "row_id", "lnco2", dims.FOREST_PREDICTORS, ["mon"]
     )
     metrics = forest.fold_metrics(scored.filter(F.col("mon") != dims.ANNUAL), "mon", "lnco2")
     return rounded(forest.fold_summary(metrics, "mon"), "mon", r2=6, mnerr=6, sderr=6)
 
 
-SHARED = ("tavg_00", "prec_00", "area", "slop")
+@query(
+    "forest_rows",
+    f"""SELECT row_id, mon, round(lnco2, 7) + 0e0 AS lnco2,
+               CAST(CASE WHEN {_SPLIT} % 6553600 < 4915200 THEN 1 ELSE 0 END AS INT) AS train,
+               CAST({_SPLIT} // 65536 % 10 AS INT) AS fold, true AS in_range
+        FROM train WHERE {' AND '.join(f'{p} IS NOT NULL' for p in dims.FOREST_PREDICTORS)}""",
+)
+def forest_rows(b):
+    """Rows the forests see: training or held out, fold, and whether a prediction lies in the range of all responses."""
+    rows, model = _fitted(b)
+    train = forest.is_training(F.col("row_id"))
+    low, high = rows.filter(train).agg(F.min("lnco2"), F.max("lnco2")).first()
+    kept = ["row_id", "mon", "lnco2"]
+    table = forest.score(model, rows, dims.FOREST_PREDICTORS, kept, "pred_rf").select(
+        *kept,
+        train.cast("int").alias("train"),
+        forest.fold_of(F.col("row_id")).alias("fold"),
+        F.col("pred_rf").between(low, high).alias("in_range"),
+    )
+    return rounded(table, "row_id mon train fold in_range", lnco2=7)
 
 
 @query("score_reaches")
 def score_reaches(b):
-    """Concentration of every segment and month from the fitted forest."""
+    """Concentration of every segment and month from the forest on all 15 predictors."""
     i = inputs_of(b)
-    rows = training.regression_rows(table_of(b)).select("lnco2", *SHARED)
-    model = forest.train(sink.materialize(rows, "forest-rows"), "lnco2", SHARED, TREES, DEPTH)
-    climate = i.basin_climate.select("hybas_id", "month", F.col("prec").alias("prec_00"))
-    table = (
-        i.reach.join(i.uparea, "comid")
-        .join(i.reach_basin, "comid")
-        .join(i.air_temp, "comid")
-        .join(climate, ["hybas_id", "month"])
-        .select(
-            "comid", "month", "prec_00", F.col("ta").alias("tavg_00"),
-            nulls.log_positive("uparea").alias("area"), nulls.log_positive("slope").alias("slop"),
-        )
+    _, model = _fitted(b)
+    features = training.reach_features(
+        i.reach.join(i.reach_basin, "comid"), i.uparea, i.air_temp, i.basin_climate, i.basin_npp, i.basin_soil_resp, i.basin_static
     )
-    scored = forest.score(model, table, SHARED, ["comid", "month"], "ln_pco2")
+    scored = forest.score(model, features, dims.FOREST_PREDICTORS, ["comid", "month"], "ln_pco2")
     return rounded(scored.withColumn("pco2", F.exp("ln_pco2")), "comid month", pco2=4)
-

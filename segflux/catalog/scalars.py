@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from segflux.catalog.base import OPTIONS, inputs_of, query, rounded, rounded_sql
-from segflux.catalog.views import DRY_ALT, floor_q, qlevel, schmidt, velocity
+from segflux.catalog.views import DRY_ALT, floor_q, qlevel, schmidt, velocity, excess
 from segflux.functions import classify, gas, hydraulics
 from segflux.operators import quantiles
 from segflux.plans import reaches
@@ -82,10 +82,16 @@ def discharge_cv(b):
     return rounded(annual.withColumn("q_cv", cv), "comid", q_cv=8)
 
 
-@query("co2_excess", rounded_sql("comid month", "reach_month", co2=5))
+@query(
+    "co2_excess",
+    f"""SELECT p.comid, p.month, round({excess('p.pco2', 't.tw')}, 5) + 0e0 AS co2
+        FROM reach_pco2 p LEFT JOIN reach_temp t ON t.comid = p.comid AND t.month = p.month""",
+)
 def co2_excess(b):
-    table = reaches.assemble_reach_months(inputs_of(b), OPTIONS)
-    return rounded(table, "comid month", co2=5)
+    i = inputs_of(b)
+    table = i.reach.select("comid").join(i.reach_pco2, "comid").join(i.air_temp, ["comid", "month"], "left")
+    excess = gas.excess_co2(F.col("pco2"), gas.water_temperature(F.col("ta")))
+    return rounded(table.withColumn("co2", excess), "comid month", co2=5)
 
 
 @query("annual_width", rounded_sql("comid qlevel", "reach_b", width_year=5))

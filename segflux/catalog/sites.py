@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segflux import dims
@@ -11,12 +12,23 @@ from segflux.functions import nulls
 from segflux.operators import joins, reshape, updates
 from segflux.plans import seasonality as season
 from segflux.plans import training
-from segflux.sources.ingest import union_parts
 from segflux.sources.bindings import two_parts
 
 
+def site_inputs(b) -> training.SiteInputs:
+    """Site tables of a binding, covariates in the two parts they are delivered in."""
+    names = ("order", "area", "pop", "climate", "npp", "soil_resp", "wetland", "terrain", "soil")
+    parts = {name: two_parts(getattr(b, f"site_{name}")) for name in names}
+    return training.SiteInputs(meas=b.site_meas, flow=b.site_flow, **parts)
+
+
+def clean_of(b) -> DataFrame:
+    """Measurements off open water."""
+    return training.clean_measurements(b.site_meas, two_parts(b.site_order))
+
+
 def table_of(b):
-    return training.training_table(training.from_binding(b))
+    return training.training_table(site_inputs(b))
 
 
 _TRAIN = {"co2_uatm": 4, "lnco2": 7, **{c: 6 for c in STATIC}, "tavg_00": 6, "prec_00": 6, "gpp_00": 6, "npp_00": 6, "sr_00": 6}
@@ -43,12 +55,12 @@ def unit_normalize(b):
 
 @query(
     "sentinel_recode",
-    """SELECT o.site_no, CAST(CASE WHEN so = 0 THEN -1 WHEN so = 255 THEN 0 ELSE so END AS INT) AS so,
+    """SELECT o.site_no, CAST(CASE WHEN o.site_no % 2 <> 0 THEN so WHEN so = 0 THEN -1 WHEN so = 255 THEN 0 ELSE so END AS INT) AS so,
               nullif(i.ssand, 0e0) AS ssand, nullif(i.soc, 0e0) AS soc
        FROM site_order o LEFT JOIN site_soil i ON i.site_no = o.site_no""",
 )
 def sentinel_recode(b):
-    order = union_parts(two_parts(b.site_order)).withColumn("so", updates.recode(F.col("so"), training.ORDER_CODES))
+    order = training.stream_orders(two_parts(b.site_order))
     soil = updates.zero_to_null(b.site_soil.select("site_no", "ssand", "soc"), ["ssand", "soc"])
     return joins.lookup(order, soil, "site_no").select("site_no", "so", "ssand", "soc")
 
@@ -154,26 +166,26 @@ def predictor_r2(b):
 @query("seasonality", rounded_sql("source lat_band month comid row_id", "cycle", co2n=7))
 def seasonality(b):
     """Observed and modelled concentration over the segment mean, by climate band and month."""
-    table = season.seasonality(b.site_meas, b.site_reach, b.reach_pco2_wide)
+    table = season.seasonality(clean_of(b), b.site_reach, b.reach_pco2_wide)
     return rounded(table, "source lat_band month comid row_id", co2n=7)
 
 
 @query("normalize_by_group", rounded_sql("row_id comid month", "cycle_observed", co2n=7))
 def normalize_by_group(b):
     """Measurement over its segment mean, which includes annual values."""
-    table = season.observed_cycle(season.located_measurements(b.site_meas, b.site_reach))
+    table = season.observed_cycle(season.located_measurements(clean_of(b), b.site_reach))
     return rounded(table, "row_id comid month", co2n=7)
 
 
 @query("month_calibration", rounded_sql("comid month lat_band", "cycle_modelled", co2n=7))
 def month_calibration(b):
-    located = season.located_measurements(b.site_meas, b.site_reach)
+    located = season.located_measurements(clean_of(b), b.site_reach)
     return rounded(season.modelled_cycle(located, b.reach_pco2_wide), "comid month lat_band", co2n=7)
 
 
 @query("mean_lat_by_reach", "SELECT comid, round(avg(lat), 7) + 0e0 AS lat FROM cycle_located WHERE mon <> 'Ann' GROUP BY comid")
 def mean_lat_by_reach(b):
-    located = season.located_measurements(b.site_meas, b.site_reach).filter(F.col("mon") != dims.ANNUAL)
+    located = season.located_measurements(clean_of(b), b.site_reach).filter(F.col("mon") != dims.ANNUAL)
     return rounded(located.groupBy("comid").agg(F.avg("lat").alias("lat")), "comid", lat=7)
 
 

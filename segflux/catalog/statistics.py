@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from segflux import dims
 from segflux.catalog.base import query, rounded
 from segflux.catalog.models import residual_table
-from segflux.catalog.sites import table_of
+from segflux.catalog.sites import clean_of, table_of
 from segflux.catalog.views import SHORT, band
 from segflux.functions import classify
 from segflux.operators import distribution, groups
@@ -37,12 +37,12 @@ def histogram_by_group(b):
 @query(
     "histogram_log",
     f"""SELECT clmregion, CAST(floor(log10(co2_uatm) / 0.06e0 + 1e-8) AS INT) AS bin, count(*) AS n
-        FROM (SELECT {band('lat', SHORT)} AS clmregion, co2_uatm FROM site_meas WHERE co2_uatm BETWEEN 30e0 AND 20000e0) AS t
+        FROM (SELECT {band('lat', SHORT)} AS clmregion, co2_uatm FROM site_clean WHERE co2_uatm BETWEEN 30e0 AND 20000e0) AS t
         GROUP BY ALL""",
 )
 def histogram_log(b):
     """Counts on a log axis by climate region."""
-    table = b.site_meas.withColumn("clmregion", classify.climate_band(F.col("lat"), dims.BANDS_SHORT))
+    table = clean_of(b).withColumn("clmregion", classify.climate_band(F.col("lat"), dims.BANDS_SHORT))
     return distribution.histogram_log(table, ["clmregion"], "co2_uatm").select("clmregion", "bin", "n")
 
 
@@ -105,7 +105,7 @@ def normal_density_grid(b):
 )
 def kde_by_group(b):
     """Kernel density of the modelled cycle per climate band and month."""
-    located = season.located_measurements(b.site_meas, b.site_reach)
+    located = season.located_measurements(clean_of(b), b.site_reach)
     cycle = season.modelled_cycle(located, b.reach_pco2_wide)
     table = distribution.kde_by_group(cycle, ["lat_band", "month"], "co2n")
     return rounded(table, "lat_band month point", x=6, bw=6, density=6)
@@ -127,7 +127,7 @@ def kde_by_group(b):
 )
 def seasonal_loess(b):
     """Local quadratic smooth of the modelled cycle over the year, per climate band."""
-    located = season.located_measurements(b.site_meas, b.site_reach)
+    located = season.located_measurements(clean_of(b), b.site_reach)
     cycle = season.modelled_cycle(located, b.reach_pco2_wide)
     return rounded(distribution.seasonal_loess(cycle, ["lat_band"], "month", "co2n"), "lat_band month", smooth=6)
 
@@ -135,11 +135,11 @@ def seasonal_loess(b):
 @query(
     "count_by_region",
     f"""SELECT clmregion, n, 'N = ' || format('{{:,}}', n) AS label
-        FROM (SELECT {band('lat', SHORT)} AS clmregion, count(*) AS n FROM site_meas GROUP BY ALL) AS t""",
+        FROM (SELECT {band('lat', SHORT)} AS clmregion, count(*) AS n FROM site_clean GROUP BY ALL) AS t""",
 )
 def count_by_region(b):
     """Measurements per climate region with a display label."""
-    table = b.site_meas.groupBy(
+    table = clean_of(b).groupBy(
         classify.climate_band(F.col("lat"), dims.BANDS_SHORT).alias("clmregion")
     ).agg(F.count("*").alias("n"))
     return table.select("clmregion", "n", F.concat(F.lit("N = "), F.format_number("n", 0)).alias("label"))
@@ -151,5 +151,5 @@ def count_by_region(b):
 )
 def seasonal_cycle_summary(b):
     """Mean cycle per source, climate band and month."""
-    cycle = season.seasonality(b.site_meas, b.site_reach, b.reach_pco2_wide)
+    cycle = season.seasonality(clean_of(b), b.site_reach, b.reach_pco2_wide)
     return rounded(season.cycle_summary(cycle), "source lat_band month n", co2n=7)

@@ -158,16 +158,15 @@ VIEWS = {
     "site_meas": """
         SELECT row_id, site_no, lat, mon, quantity, discount, psize,
                exp(6e0 + 2e-2 * quantity - 3e0 * discount + 1e-2 * psize + price / 1e5) AS co2_uatm
-        FROM (SELECT l_orderkey * 10 + l_linenumber AS row_id, min(l_suppkey) AS site_no,
-                     min(s_nationkey) * 6e0 - 72e0 AS lat,
-                     CASE WHEN (l_orderkey * 10 + l_linenumber) % 13 = 0 THEN 'Ann' ELSE min(m.mon) END AS mon,
-                     min(l_quantity) AS quantity, min(l_discount) AS discount, min(p_size) AS psize,
-                     min(l_extendedprice) AS price
+        FROM (SELECT ((l_orderkey * 10 + l_linenumber) * 200003 + l_partkey) * 4001
+                       + date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS row_id, l_suppkey AS site_no,
+                     s_nationkey * 6e0 - 72e0 AS lat,
+                     CASE WHEN (l_orderkey * 10 + l_linenumber) % 13 = 0 THEN 'Ann' ELSE m.mon END AS mon,
+                     l_quantity AS quantity, l_discount AS discount, p_size AS psize, l_extendedprice AS price
               FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey
-                   JOIN months m ON m.month = month(l_shipdate)
-              GROUP BY l_orderkey, l_linenumber) AS s""",
+                   JOIN months m ON m.month = month(l_shipdate)) AS s""",
     "site_order": """
-        SELECT s_suppkey AS site_no, CAST(CASE s_suppkey % 6 WHEN 0 THEN 0 WHEN 5 THEN 255 ELSE s_suppkey % 6 END AS INT) AS so
+        SELECT s_suppkey AS site_no, CAST(CASE WHEN s_suppkey % 6 IN (0, 5) THEN 0 WHEN s_suppkey % 12 = 4 THEN 255 ELSE s_suppkey % 6 END AS INT) AS so
         FROM supplier""",
     "site_area": "SELECT s_suppkey AS site_no, 10e0 + s_suppkey * 7e0 AS area FROM supplier",
     "site_pop": "SELECT s_suppkey AS site_no, "
@@ -405,7 +404,7 @@ LONG_COLUMNS = (
 )
 
 VIEWS["site_wide"] = f"""
-    SELECT o.site_no, CASE WHEN o.so = 0 THEN -1 WHEN o.so = 255 THEN 0 ELSE o.so END AS so, a.area,
+    SELECT o.site_no, CASE WHEN o.site_no % 2 <> 0 THEN o.so WHEN o.so = 0 THEN -1 WHEN o.so = 255 THEN 0 ELSE o.so END AS so, a.area,
            (p.p1 + p.p2 + p.p3 + p.p4) / 4e0 AS popdens, c.* EXCLUDE (site_no), n.* EXCLUDE (site_no),
            s.* EXCLUDE (site_no), w.wetland * 100e0 AS wetland, t.elev, tan(t.slop * pi() / 180e0) AS slop,
            {', '.join(f'nullif(i.{c}, 0e0) AS {c}' for c in _SOIL)}, 2841e0 * f.slope * {velocity('f.ann_q')} + 2.02e0 AS k
@@ -427,9 +426,11 @@ VIEWS["train_long"] = f"""
       UNPIVOT (SELECT l.*, t.popdens AS popdens_raw FROM train_log l JOIN (SELECT row_id, popdens FROM train) AS t USING (row_id))
       ON {', '.join(LONG_COLUMNS)} INTO NAME predictor VALUE value) AS u
     WHERE value IS NOT NULL AND isfinite(value)"""
+# Measurements off open water.
+VIEWS["site_clean"] = "SELECT m.* FROM site_meas m JOIN site_wide w ON w.site_no = m.site_no WHERE w.so <> -1"
 VIEWS["cycle_located"] = """
     SELECT m.row_id, m.lat, m.mon, m.co2_uatm AS pco2, TRY_CAST(s.comid_txt AS BIGINT) AS comid
-    FROM site_meas m JOIN site_reach s USING (site_no) WHERE TRY_CAST(s.comid_txt AS BIGINT) IS NOT NULL"""
+    FROM site_clean m JOIN site_reach s USING (site_no) WHERE TRY_CAST(s.comid_txt AS BIGINT) IS NOT NULL"""
 VIEWS["cycle_observed"] = f"""
     SELECT comid, month, {band('lat', SHORT)} AS lat_band, co2n, row_id
     FROM (SELECT *, pco2 / avg(pco2) OVER (PARTITION BY comid) AS co2n FROM cycle_located) AS c JOIN months USING (mon)"""

@@ -79,6 +79,13 @@ def normal_density_grid(
     return rows.select(*keys, "x", normal_density(F.col("x"), F.col(mean), F.col(sd)).alias("density"))
 
 
+def _same_group(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the statistics of their group; a NULL key is a group like any other."""
+    named = stats.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]
+    return df.join(named, same).drop(*[f"__key_{k}" for k in keys])
+
+
 def kde_by_group(
     df: DataFrame, keys: Sequence[str], value: str,
     low: float = 0.0, high: float = 2.2, points: int = 45, bin_width: float = 0.01,
@@ -112,7 +119,7 @@ def kde_by_group(
     moments = ranked.groupBy(*keys).agg(
         F.sum("__w").alias("n"), mean.alias("mean"), (quantile(0.75) - quantile(0.25)).alias("iqr")
     )
-    centred = binned.join(moments, list(keys))
+    centred = _same_group(binned, moments, keys)
     spread = centred.groupBy(*keys, "n", "iqr").agg(
         F.sqrt(nulls.ratio(F.sum(w * (c - F.col("mean")) * (c - F.col("mean"))), F.col("n") - 1.0)).alias("sd")
     )
@@ -121,7 +128,7 @@ def kde_by_group(
 
     step = (high - low) / (points - 1)
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    spread_out = binned.join(width, list(keys)).select(*keys, "__c", "__w", "n", "bw", grid.alias("point"))
+    spread_out = _same_group(binned, width, keys).select(*keys, "__c", "__w", "n", "bw", grid.alias("point"))
     x = F.col("point") * step + low
     kernel = w * normal_density(x, c, F.col("bw"))
     return (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,19 @@ def require_unique(table: DataFrame, keys: Sequence[str]) -> None:
         raise ValueError(f"lookup key {list(keys)} repeats, e.g. {[tuple(r)[:-1] for r in clash]}")
 
 
+def require_unique_keys(tables: Sequence[tuple[DataFrame, Sequence[str]]]) -> None:
+    """The same for many lookup tables: one aggregate per table, all in one job."""
+    clashes = []
+    for i, (table, keys) in enumerate(tables):
+        repeated = table.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+        shown = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+        clashes.append(repeated.select(F.lit(i).alias("table"), shown.alias("key")).limit(1))
+    found = reduce(DataFrame.unionByName, clashes).collect() if clashes else []
+    if found:
+        texts = [f"{list(tables[r['table']][1])} repeats, e.g. {r['key']}" for r in found]
+        raise ValueError(f"lookup key {'; '.join(texts)}")
+
+
 def attach_stats(df: DataFrame, stats: DataFrame, on: Sequence[str]) -> DataFrame:
     """Put per-group statistics back on the rows; a NULL key is a group like any other.
 
@@ -65,4 +79,4 @@ def relabel(df: DataFrame, column: str, levels: DataFrame, label: str, order: st
     dim = levels.select(
         F.col("code").alias(column), F.col("label").alias(label), F.col("ord").alias(order)
     )
-    return df.join(F.broadcast(dim), column, "left")
+    return df.join(dim, column, "left")

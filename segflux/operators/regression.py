@@ -89,8 +89,23 @@ def moments(df: DataFrame, response: str, predictors: Sequence[str]) -> Moments:
     return Moments(names, n, np.array([row[f"m{i}"] for i in range(len(names))]), cross)
 
 
+def independent(m: Moments, predictors: Sequence[str], tolerance: float = 1e-10) -> list[str]:
+    """The predictors that are no linear combination of those before them (and not constant)."""
+    kept: list[str] = []
+    for p in predictors:
+        own = float(m.cross[m.index([p])[0], m.index([p])[0]])
+        left = own
+        if kept:
+            x, (j,) = m.index(kept), m.index([p])
+            left = own - float(m.cross[j, x] @ np.linalg.solve(m.cross[np.ix_(x, x)], m.cross[x, j]))
+        if own > 0 and left > tolerance * own:
+            kept.append(p)
+    return kept
+
+
 def fit(m: Moments, predictors: Sequence[str]) -> Fit:
-    """Solve the normal equations of a subset of the predictors."""
+    """Solve the normal equations of a subset of the predictors; aliased ones are set aside."""
+    predictors = independent(m, predictors)
     x, y = m.index(predictors), len(m.names) - 1
     tss = float(m.cross[y, y])
     if x:
@@ -134,7 +149,13 @@ def stepwise(
 
 
 def inflation_factors(m: Moments, predictors: Sequence[str]) -> dict[str, float]:
-    """Variance inflation: diagonal of the inverse correlation matrix of the predictors."""
+    """Variance inflation: diagonal of the inverse correlation matrix of the predictors.
+
+    An aliased predictor is reported as NaN and left out of the others' factors.
+    """
+    known = independent(m, predictors)
+    if len(known) < len(predictors):
+        return {p: float("nan") for p in predictors} | (inflation_factors(m, known) if known else {})
     x = m.index(predictors)
     block = m.cross[np.ix_(x, x)]
     scale = np.sqrt(np.diag(block))

@@ -47,6 +47,10 @@ def to_wide(df: DataFrame, ids: Sequence[str], key: str, levels: Sequence, value
     return df.groupBy(*ids).agg(*cells)
 
 
+NO_MONTH = ""
+"""Label of the row that serves measurements without a known month."""
+
+
 def own_month_table(
     df: DataFrame,
     ids: Sequence[str],
@@ -58,7 +62,7 @@ def own_month_table(
     ``covariates`` maps an output name to ``(prefix, annual column)``; the twelve values come
     from ``prefix_01 .. prefix_12``.  ``scale`` multiplies the monthly values (not the annual
     one).  Rows of another table pick the value of their own month with a join on (id, label),
-    which spreads a busy site over thirteen keys.
+    which spreads a busy site over fourteen keys: the last, ``NO_MONTH``, has no monthly values.
     """
     scale = scale or {}
     parts = []
@@ -73,6 +77,8 @@ def own_month_table(
     annual = [F.lit(dims.ANNUAL).alias("mon")]
     annual += [F.col(name).alias(out) for out, (_, name) in covariates.items()]
     parts.append(F.struct(*annual))
+    nothing = [F.lit(None).cast("double").alias(out) for out in covariates]
+    parts.append(F.struct(F.lit(NO_MONTH).alias("mon"), *nothing))
     return df.select(*ids, F.inline(F.array(*parts)))
 
 

@@ -10,7 +10,7 @@ from segflux.functions import classify, nulls
 from segflux.operators import groups, network
 from segflux.operators.joins import lookup
 from segflux.plans import reaches
-from segflux.plans.inputs import NetworkInputs, NetworkOptions
+from segflux.plans.inputs import NetworkInputs, NetworkOptions, check
 from segflux.sources import sink
 
 METRICS = ("area", "dry", "ice_area", "eff", "emission", "pco2", "k", "flux")
@@ -22,6 +22,8 @@ def basin_cells(inputs: NetworkInputs, options: NetworkOptions | None = None) ->
     Fit depth, stream-order table, basin list and observed totals are all roll-ups of it, so the
     large table is read a single time.
     """
+    check(inputs, options or NetworkOptions(), "wk_climate", "basin_centroid", "basin_area", "basin_annual", "basin_npp",
+          "basin_soil_resp", "basin_ice")
     cells = network.network_cells(reaches.observed_reach_months(inputs, options))
     return sink.materialize(cells, "basin-cells")
 

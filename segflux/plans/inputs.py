@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from segflux import dims
+from segflux.operators.joins import require_unique_keys
+from segflux.session import size_for
 
 
 @dataclass
@@ -46,7 +48,25 @@ class NetworkOptions:
     exponent_quantile: float = 0.01
     min_observed_width: float = 90.0
     max_width_ratio: float = 2.0
-    check_keys: bool = False
+    check_keys: bool = True
+
+
+LOOKUP_KEYS = {
+    "air_temp": ("comid", "month"), "uparea": ("comid",), "reach_basin": ("comid",), "reach_pco2": ("comid", "month"),
+    "reach_k": ("comid", "month"), "basin_hemis": ("hybas_id",), "basin_runoff": ("hybas_id",), "basin_regime": ("hybas_id",),
+    "wk_climate": ("wkbasin", "month"), "basin_centroid": ("hybas_id",), "basin_area": ("hybas_id",),
+    "basin_annual": ("hybas_id",), "basin_npp": ("hybas_id", "month"), "basin_soil_resp": ("hybas_id", "month"),
+    "basin_ice": ("hybas_id", "month"),
+}
+"""The key of every table that is looked up; a repeated one would multiply rows."""
+
+
+def check(inputs, options: NetworkOptions, *names: str) -> None:
+    """Size the shuffles for the inputs and, unless told not to, verify the keys of the named lookups."""
+    size_for(inputs.reach, inputs.discharge)
+    if options.check_keys:
+        tables = [(getattr(inputs, n), LOOKUP_KEYS[n]) for n in names if getattr(inputs, n, None) is not None]
+        require_unique_keys(tables)
 
 
 def from_binding(binding) -> NetworkInputs:

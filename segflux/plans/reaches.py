@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from segflux.functions import classify, gas, hydraulics, nulls
 from segflux.operators import quantiles, updates
 from segflux.operators.joins import lookup
-from segflux.plans.inputs import NetworkInputs, NetworkOptions
+from segflux.plans.inputs import NetworkInputs, NetworkOptions, check
 from segflux.sources import ingest, sink
 
 APRIL = 4
@@ -34,9 +34,9 @@ def transfer_velocity(slope: Column, q: Column, air_temperature: Column, min_slo
 def gas_transfer_by_reach(inputs: NetworkInputs, options: NetworkOptions | None = None) -> DataFrame:
     """Gas transfer velocity per segment and month (long; pivot with ``sink.wide_months``)."""
     options = options or NetworkOptions()
-    q = ingest.monthly_statistic(inputs.discharge)
+    check(inputs, options, "air_temp")
     return (
-        inputs.reach.join(_monthly(q), "comid")
+        with_discharge(inputs.reach, inputs.discharge)
         .join(_monthly(inputs.air_temp), ["comid", "month"], "left")
         .select(
             "region",
@@ -47,6 +47,12 @@ def gas_transfer_by_reach(inputs: NetworkInputs, options: NetworkOptions | None
     )
 
 
+def with_discharge(reach: DataFrame, discharge: DataFrame) -> DataFrame:
+    """Every segment in every month with its discharge, which is NULL where none is given."""
+    months = reach.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    return months.join(_monthly(ingest.monthly_statistic(discharge)), ["comid", "month"], "left")
+
+
 def basin_classes(inputs: NetworkInputs) -> DataFrame:
     """Runoff class and working basin of every basin that has a flow regime."""
     table = lookup(inputs.basin_regime.filter(F.col("frclass").isNotNull()), inputs.basin_hemis, "hybas_id")
@@ -67,12 +73,13 @@ def assemble_reaches(inputs: NetworkInputs, options: NetworkOptions | None = Non
     the exact quantiles scan its columns several times.
     """
     options = options or NetworkOptions()
+    check(inputs, options, "uparea", "reach_basin", "basin_hemis", "basin_runoff", "basin_regime")
     annual = ingest.annual_statistics(inputs.discharge, {"Qmean": "q_year", "Qstd": "q_std"})
     placed = inputs.reach_basin.filter(
         F.col("hybas_id").isNotNull() & ~nulls.in_list("hybas_id", options.no_basin)
     )
-    reach = lookup(inputs.reach, annual, "comid", unique=options.check_keys)
-    reach = lookup(reach, inputs.uparea, "comid", unique=options.check_keys)
+    reach = lookup(inputs.reach, annual, "comid")
+    reach = lookup(reach, inputs.uparea, "comid")
     # Written first: a scan on this side is broadcast by its true size, or else lets adaptive
     # execution split a basin that holds a large share of the segments.
     classes = sink.materialize(basin_classes(inputs), "basin-classes")
@@ -110,8 +117,9 @@ def assemble_reach_months(
     """
     options = options or NetworkOptions()
     reach = assemble_reaches(inputs, options) if reaches is None else reaches
+    check(inputs, options, "air_temp", "reach_pco2", "reach_k")
     table = (
-        reach.join(_monthly(ingest.monthly_statistic(inputs.discharge)), "comid")
+        with_discharge(reach, inputs.discharge)
         .join(_monthly(inputs.air_temp), ["comid", "month"], "left")
         .join(_monthly(inputs.reach_pco2), ["comid", "month"], "left")
     )

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from segflux import dims
 from segflux.functions import gas, hydraulics, nulls
 from segflux.operators import quantiles, regression, reshape, updates
-from segflux.operators.joins import lookup
+from segflux.operators.joins import in_table, lookup, require_unique_keys
 from segflux.sources import sink
-from segflux.sources.bindings import two_parts
 from segflux.sources.ingest import union_parts
 
 # --- fixed values -----------------------------------------------------------------------
@@ -52,20 +51,21 @@ class SiteInputs:
     flow: DataFrame
 
 
-def from_binding(b) -> SiteInputs:
-    return SiteInputs(
-        meas=b.site_meas,
-        flow=b.site_flow,
-        **{
-            name: two_parts(getattr(b, f"site_{name}"))
-            for name in ("order", "area", "pop", "climate", "npp", "soil_resp", "wetland", "terrain", "soil")
-        },
-    )
+def stream_orders(parts: Sequence[DataFrame]) -> DataFrame:
+    """Stream order of every site.  Only the first part comes with the codes that stand for others."""
+    first, *others = parts
+    recoded = first.withColumn("so", updates.recode(F.col("so"), ORDER_CODES))
+    return union_parts([recoded, *others])
+
+
+def clean_measurements(meas: DataFrame, order: Sequence[DataFrame]) -> DataFrame:
+    """Measurements at sites that are no open water."""
+    return in_table(meas, stream_orders(order).filter(F.col("so") != OPEN_WATER), "site_no")
 
 
-def site_covariates(inputs: SiteInputs, check_keys: bool = False) -> DataFrame:
+def site_covariates(inputs: SiteInputs, check_keys: bool = True) -> DataFrame:
     """All covariates at site grain.  Eleven lookups meet here, before any measurement row does."""
-    order = union_parts(inputs.order).withColumn("so", updates.recode(F.col("so"), ORDER_CODES))
+    order = stream_orders(inputs.order)
     pop = union_parts(inputs.pop).select(
         "site_no", reshape.row_mean(["p1", "p2", "p3", "p4"]).alias("popdens")
     )
@@ -75,12 +75,15 @@ def site_covariates(inputs: SiteInputs, check_keys: bool = False) -> DataFrame:
     velocity = hydraulics.flow_velocity(F.col("ann_q"))
     flow = inputs.flow.select("site_no", gas.k600_low_energy(F.col("slope"), velocity).alias("k"))
 
-    table = order.filter(F.col("so") != OPEN_WATER)
-    for other in (
+    others = (
         union_parts(inputs.area), pop, union_parts(inputs.climate), union_parts(inputs.npp),
         union_parts(inputs.soil_resp), wetland, terrain, soil, flow,
-    ):
-        table = lookup(table, other, "site_no", unique=check_keys)
+    )
+    if check_keys:
+        require_unique_keys([(t, ["site_no"]) for t in (order, *others)])
+    table = order.filter(F.col("so") != OPEN_WATER)
+    for other in others:
+        table = lookup(table, other, "site_no")
     return table
 
 
@@ -90,9 +93,12 @@ STATIC = (
 )
 
 
-def training_table(inputs: SiteInputs, check_keys: bool = False) -> DataFrame:
+def training_table(inputs: SiteInputs, check_keys: bool = True) -> DataFrame:
     """Measurements with the covariates of their site and month; open water is dropped.
 
+    A measurement whose month label is missing or unknown keeps the covariates of its site and has
+    no monthly ones.
+
     One join on (site, month label: twelve months or ``Ann``).  The covariate table is written
     first, so its size decides between broadcast and shuffle; a site with very many measurements
     is spread over its months, and adaptive execution splits what is still large.
@@ -101,7 +107,9 @@ def training_table(inputs: SiteInputs, check_keys: bool = False) -> DataFrame:
     monthly = reshape.own_month_table(covariates, ["site_no", *STATIC], MONTHLY, SCALES)
     monthly = sink.materialize(monthly, "site-months")
     meas = inputs.meas.withColumn("lnco2", nulls.log_or_inf("co2_uatm"))
-    return meas.join(monthly, ["site_no", "mon"])
+    known = F.col("mon").isin(*dims.MONTHS, dims.ANNUAL)
+    meas = meas.withColumn("__label", F.when(known, F.col("mon")).otherwise(reshape.NO_MONTH))
+    return meas.join(monthly.withColumnRenamed("mon", "__label"), ["site_no", "__label"]).drop("__label")
 
 
 def transformed(table: DataFrame) -> DataFrame:
@@ -156,3 +164,29 @@ def stepwise_rounds(table: DataFrame, rounds: Sequence[Sequence[str]] = dims.STE
         model, steps = regression.stepwise(m, predictors, direction=direction)
         out.append((model, regression.inflation_factors(m, model.predictors), steps))
     return out
+
+
+def reach_features(
+    reach: DataFrame,
+    uparea: DataFrame,
+    air_temp: DataFrame,
+    climate: DataFrame,
+    npp: DataFrame,
+    soil_resp: DataFrame,
+    static: DataFrame,
+) -> DataFrame:
+    """The forest's 15 predictors for every segment and month, scaled and logged like the training rows.
+
+    ``reach`` has ``comid``, ``hybas_id`` and ``slope``; ``uparea`` and ``air_temp`` are by segment, the
+    other tables by basin.  Basin tables meet at basin grain before they meet the segments.
+    """
+    days = F.element_at(F.array(*[F.lit(365.0 / d) for d in dims.MONTH_DAYS]), F.col("month"))
+    basin = (
+        climate.select("hybas_id", "month", (F.col("prec") * days).alias("prec_00"))
+        .join(npp.select("hybas_id", "month", F.col("gpp").alias("gpp_00"), F.col("npp").alias("npp_00")), ["hybas_id", "month"], "left")
+        .join(soil_resp.select("hybas_id", "month", (F.col("prs") * 365.0).alias("sr_00")), ["hybas_id", "month"], "left")
+    )
+    basin = sink.materialize(lookup(basin, static, "hybas_id"), "basin-features")
+    placed = lookup(reach.select("comid", "hybas_id", F.col("slope").alias("slop")), uparea.withColumnRenamed("uparea", "area"), "comid")
+    months = lookup(placed, air_temp.select("comid", "month", F.col("ta").alias("tavg_00")), "comid")
+    return regression_rows(months.join(basin, ["hybas_id", "month"], "left"))

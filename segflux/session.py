@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
     # Runtime re-planning: small sides become broadcasts once their size is measured,
@@ -20,8 +20,8 @@ RUNTIME_CONF = {
 }
 
 
+MOST_BYTES = 1 << 60
 TASK_BYTES = 192 * 1024 * 1024
-MAX_SHUFFLE_PARTITIONS = 100_000
 
 
 def shuffle_partitions_for(input_bytes: int, task_bytes: int = TASK_BYTES) -> int:
@@ -29,16 +29,27 @@ def shuffle_partitions_for(input_bytes: int, task_bytes: int = TASK_BYTES) -> in
 
     Adaptive execution merges what turns out smaller, so the number may err on the high side.
     """
-    return max(8, min(MAX_SHUFFLE_PARTITIONS, -(-input_bytes // task_bytes)))
+    return max(8, -(-input_bytes // task_bytes))
 
 
 def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
-    """Set the shuffle width of a session from the size of its largest input."""
-    n = shuffle_partitions_for(input_bytes)
+    """Widen the shuffles of a session for its largest input; a width that is set and larger stays."""
+    n = max(shuffle_partitions_for(input_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     return n
 
 
+def size_for(*inputs: DataFrame) -> int:
+    """Size the shuffles for the largest of some inputs, by the optimizer's own estimate of it.
+
+    Scans know the bytes of their files; an input without an estimate (larger than any table) is
+    left out.
+    """
+    sizes = [int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in inputs]
+    known = [n for n in sizes if n < MOST_BYTES]
+    return size_shuffles(inputs[0].sparkSession, max(known, default=0))
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session made elsewhere."""
     for key, value in RUNTIME_CONF.items():

@@ -111,6 +111,16 @@ class Binding:
     def basin_soil_resp(self) -> DataFrame:
         return _months(self.basin).selectExpr("hybas_id", "month", "1e0 + 5e-3 * lat * tg as prs")
 
+    @cached_property
+    def basin_static(self) -> DataFrame:
+        """Terrain, wetland, population and soil of a basin."""
+        return self.table("customer").selectExpr(
+            "cast(c_custkey as string) as hybas_id",
+            "1e0 + c_custkey % 300 * 3e0 as elev", "(c_custkey % 17) * 1e0 as wetland", "(c_custkey % 11) * 2.5e0 as popdens",
+            "(1 + c_custkey % 3) * 3e0 as sgravel", "(1 + c_custkey % 4) * 1e1 as ssand", "(1 + c_custkey % 6) * 5e-1 as soc",
+            "4e0 + (c_custkey % 7) * 5e-1 as sph", "4e1 + (c_custkey % 3) * 2e1 as sbs",
+        )
+
     @cached_property
     def basin_ice(self) -> DataFrame:
         return _months(self.basin).selectExpr(
@@ -222,19 +232,16 @@ class Binding:
             self.table("lineitem")
             .join(self.table("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
             .join(self.table("part"), F.col("p_partkey") == F.col("l_partkey"))
-            .groupBy("l_orderkey", "l_linenumber")
-            .agg(
-                F.min("l_suppkey").alias("site_no"),
-                F.min("s_nationkey").alias("nation"),
-                F.min(labels).alias("mon"),
-                F.min("l_quantity").alias("quantity"),
-                F.min("l_discount").alias("discount"),
-                F.min("p_size").alias("psize"),
-                F.min("l_extendedprice").alias("price"),
+            .select(
+                "l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("site_no"),
+                F.datediff("l_shipdate", F.lit("1992-01-01").cast("date")).alias("day"),
+                F.col("s_nationkey").alias("nation"), labels.alias("mon"), F.col("l_quantity").alias("quantity"),
+                F.col("l_discount").alias("discount"), F.col("p_size").alias("psize"), F.col("l_extendedprice").alias("price"),
             )
         )
         return rows.selectExpr(
-            "l_orderkey * 10 + l_linenumber as row_id",
+            # Order, line, part and day name a row; every row is a measurement of its own.
+            "((l_orderkey * 10 + l_linenumber) * 200003 + l_partkey) * 4001 + day as row_id",
             "site_no",
             "nation * 6e0 - 72e0 as lat",
             "case when (l_orderkey * 10 + l_linenumber) % 13 = 0 then 'Ann' else mon end as mon",
@@ -248,7 +255,8 @@ class Binding:
     @cached_property
     def site_order(self) -> DataFrame:
         return self._supplier(
-            "case s_suppkey % 6 when 0 then 0 when 5 then 255 else cast(s_suppkey % 6 as int) end as so"
+            # Open water (0) and small streams (255) of the first delivery, and a stream coded 0 in the second.
+            "case when s_suppkey % 6 in (0, 5) then 0 when s_suppkey % 12 = 4 then 255 else cast(s_suppkey % 6 as int) end as so"
         )
 
     @cached_property

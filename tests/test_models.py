@@ -155,3 +155,39 @@ def test_root_mean_square_counts_all_rows(spark):
     df = spark.createDataFrame([(3.0,), (None,), (4.0,)], "d double")
     assert df.agg(groups.root_mean_square(F.col("d"))).first()[0] == pytest.approx(math.sqrt(25 / 2 / 3))
     assert df.agg(groups.root_mean_square(F.col("d"), 1.0)).first()[0] == pytest.approx(math.sqrt(25 / 3))
+
+
+def test_aliased_predictors_are_set_aside(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=200), rng.normal(size=200)
+    rows = [(float(x), float(z), float(x + 2 * z), 1.0, float(3 * x - z)) for x, z in zip(a, b)]
+    df = spark.createDataFrame(rows, "a double, b double, both double, same double, y double")
+    names = ("a", "b", "both", "same")
+    m = regression.moments(df, "y", names)
+    model = regression.fit(m, names)
+    assert model.predictors == ("a", "b") and model.slopes == pytest.approx((3.0, -1.0))
+    factors = regression.inflation_factors(m, names)
+    assert math.isnan(factors["both"]) and math.isnan(factors["same"]) and factors["a"] == pytest.approx(factors["b"], rel=1e-6)
+
+
+def test_permutation_moves_every_predictor(spark):
+    """Also in blocks whose size divides the old offsets."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 9))
+    rows = [(i, *map(float, x[i]), float(x[i].sum())) for i in range(400)]
+    names = tuple(f"p{j}" for j in range(9))
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{n} double" for n in names) + ", y double")
+    model = forest.train(df, "y", names, trees=10, depth=6)
+    got = forest.permutation_importance(model, df, "id", "y", names, block_rows=8).collect()
+    assert len(got) == 9 and all(r.importance > 0 for r in got)
+
+
+def test_fit_sample_is_bounded_and_repeatable(spark):
+    df = spark.range(3000).selectExpr("double(id % 100) AS x", "double(id % 100) * 2 + id / 1e6 AS y")
+    one, two = (forest.train(df, "y", ("x",), trees=3, depth=4, fit_rows=300) for _ in range(2))
+    assert one.toDebugString.split("\n")[1:] == two.toDebugString.split("\n")[1:]
+
+
+def test_kernel_density_keeps_the_group_without_a_key(spark):
+    df = spark.createDataFrame([(k, float(i % 7) / 5) for i in range(40) for k in (None, "A")], "g string, x double")
+    assert {r.g for r in distribution.kde_by_group(df, ["g"], "x").collect()} == {None, "A"}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from segflux.catalog.base import OPTIONS
 from segflux.operators import groups, network
 from segflux.plans import basins, reaches, training
+from segflux.catalog.sites import site_inputs
 from segflux.plans.inputs import from_binding
 from segflux.sources.bindings import Binding
 
@@ -59,7 +60,7 @@ def test_filters_and_columns_reach_the_scan(stored):
 
 
 def test_no_python_in_any_row_path(b):
-    for df in (reaches.gas_transfer_by_reach(b), training.training_table(training.from_binding(b))):
+    for df in (reaches.gas_transfer_by_reach(b), training.training_table(site_inputs(b))):
         assert "Python" not in physical_plan(df)
 
 
@@ -127,3 +128,44 @@ def test_key_checks_pass_on_the_test_data(stored):
     from dataclasses import replace
 
     assert reaches.assemble_reaches(stored, replace(OPTIONS, check_keys=True)).count() > 0
+
+
+def test_a_repeated_lookup_key_raises(stored):
+    from dataclasses import replace
+
+    twice = stored.reach_basin.unionByName(stored.reach_basin.limit(1))
+    with pytest.raises(ValueError, match="repeats"):
+        basins.basin_emission(replace(stored, reach_basin=twice), OPTIONS)
+
+
+def test_segments_without_discharge_stay(stored):
+    from dataclasses import replace
+
+    few = stored.discharge.filter("comid % 10 <> 3")
+    n = stored.reach.count()
+    lost = stored.reach.filter("comid % 10 = 3").count()
+    out = reaches.gas_transfer_by_reach(replace(stored, discharge=few))
+    assert out.count() == 12 * n and out.filter("k is null").count() >= 12 * lost > 0
+
+
+def test_measurements_of_unknown_months_stay(b):
+    from dataclasses import replace
+
+    inputs = site_inputs(b)
+    odd = F.when(F.col("row_id") % 5 == 0, F.lit("January")).when(F.col("row_id") % 5 == 1, F.lit(None)).otherwise(F.col("mon"))
+    whole, changed = (training.training_table(replace(inputs, meas=m)) for m in (inputs.meas, inputs.meas.withColumn("mon", odd)))
+    assert changed.count() == whole.count()
+    unknown = changed.filter("mon is null or mon = 'January'")
+    assert unknown.count() > 0 and unknown.filter("tavg_00 is not null or elev is null").count() == 0
+
+
+def test_only_the_first_part_has_coded_orders(spark):
+    parts = [spark.createDataFrame([(2, 0), (4, 255), (6, 3)], "site_no long, so int"), spark.createDataFrame([(1, 0), (3, 2)], "site_no long, so int")]
+    assert {r.site_no: r.so for r in training.stream_orders(parts).collect()} == {2: -1, 4: 0, 6: 3, 1: 0, 3: 2}
+
+
+def test_shuffle_width_follows_the_input():
+    from segflux.session import TASK_BYTES, shuffle_partitions_for
+
+    assert shuffle_partitions_for(100 * 10**12) * TASK_BYTES >= 100 * 10**12
+    assert shuffle_partitions_for(1) == 8

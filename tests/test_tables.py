@@ -121,7 +121,7 @@ def test_own_month_takes_scale_and_annual(spark):
     row = (1, *[float(i) for i in range(1, 13)], 99.0)
     df = spark.createDataFrame([row], "site long, " + ", ".join(f"p_{i:02d} double" for i in range(1, 13)) + ", p_ann double")
     got = reshape.own_month_table(df, ["site"], {"p": ("p", "p_ann")}, {"p": [2.0] * 12})
-    assert {r.mon: r.p for r in got.collect()} == {**{m: 2.0 * (i + 1) for i, m in enumerate(dims.MONTHS)}, "Ann": 99.0}
+    assert {r.mon: r.p for r in got.collect()} == {**{m: 2.0 * (i + 1) for i, m in enumerate(dims.MONTHS)}, "Ann": 99.0, reshape.NO_MONTH: None}
 
 
 def test_prefix_rename(spark):
@@ -156,4 +156,13 @@ def test_key_mismatch(spark):
 
 def test_shuffle_width_grows_with_the_input():
     assert shuffle_partitions_for(10**6) == 8
-    assert 400_000 > shuffle_partitions_for(100 * 10**12) >= 100_000
+    assert 600_000 > shuffle_partitions_for(100 * 10**12) >= 400_000
+
+
+def test_many_lookup_keys_are_checked_at_once(spark):
+    good = spark.createDataFrame([(1, 1), (2, 1), (None, 1)], "k int, v int")
+    bad = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "name string, month int")
+    joins.require_unique_keys([(good, ["k"])])
+    joins.require_unique_keys([])
+    with pytest.raises(ValueError, match="month.*a, 1"):
+        joins.require_unique_keys([(good, ["k"]), (bad, ["name", "month"])])
