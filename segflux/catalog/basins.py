@@ -170,28 +170,34 @@ def ephemeral_status(b):
     return fits.select("wkbasin", "month", status.alias("status"))
 
 
-@query(
-    "basin_attributes",
+_ATTRIBUTES_SQL = (
     """SELECT s.hybas_id, s.wkbasin, """
     + "CASE WHEN b.lat > 56 THEN 'Polar' WHEN b.lat > 23.5e0 THEN 'North Temperate' WHEN b.lat >= -23.5e0 THEN 'Tropical' ELSE 'South Temperate' END AS climzone, "
     """CASE WHEN b.runoff < 50 THEN 'Arid' WHEN b.runoff < 500 THEN 'Mod' WHEN b.runoff >= 500 THEN 'Wet' END AS wetness,
        s.basin_area, s.wkbasin_area, round(s.area_ratio, 8) + 0e0 AS area_ratio, b.lat,
        round(a.ann_temp, 6) + 0e0 AS ann_temp, round(a.ann_prec, 6) + 0e0 AS ann_prec,
        round(n.gpp, 6) + 0e0 AS gpp, round(n.npp, 6) + 0e0 AS npp, """
-    + ", ".join(f"round(p.prs_{m}, 6) + 0e0 AS prs_{m}" for m in MONTHS)
+    + ", ".join(f"round(p.{v}_{m}, 6) + 0e0 AS {v}_{m}" for v in ("gpp", "npp") for m in MONTHS) + ", "
+    + ", ".join(f"round(q.prs_{m}, 6) + 0e0 AS prs_{m}" for m in MONTHS)
     + """ FROM basin_share s LEFT JOIN basin b USING (hybas_id) LEFT JOIN basin_annual a USING (hybas_id)
        LEFT JOIN (SELECT hybas_id, avg(gpp) AS gpp, avg(npp) AS npp FROM basin_npp GROUP BY hybas_id) AS n USING (hybas_id)
        LEFT JOIN (SELECT hybas_id, """
+    + ", ".join(f"max(CASE WHEN month = {i + 1} THEN {v} END) AS {v}_{m}" for v in ("gpp", "npp") for i, m in enumerate(MONTHS))
+    + """ FROM basin_npp GROUP BY hybas_id) AS p USING (hybas_id)
+       LEFT JOIN (SELECT hybas_id, """
     + ", ".join(f"max(CASE WHEN month = {i + 1} THEN prs * 365e0 END) AS prs_{m}" for i, m in enumerate(MONTHS))
-    + " FROM basin_soil_resp GROUP BY hybas_id) AS p USING (hybas_id)",
+    + " FROM basin_soil_resp GROUP BY hybas_id) AS q USING (hybas_id)"
 )
+_PLACE = "hybas_id wkbasin climzone wetness basin_area wkbasin_area lat"
+_ATTRIBUTES = {"area_ratio": 8, "ann_temp": 6, "ann_prec": 6, "gpp": 6, "npp": 6}
+_ATTRIBUTES |= {f"{v}_{m}": 6 for v in ("gpp", "npp", "prs") for m in MONTHS}
+
+
+@query("basin_attributes", _ATTRIBUTES_SQL)
 def basin_attributes(b):
+    """Location, zone, area and share, climate, annual and monthly productivity, monthly respiration."""
     i, cells = cells_of(b)
-    table = basins.basin_attributes(cells, i)
-    return rounded(
-        table, "hybas_id wkbasin climzone wetness basin_area wkbasin_area lat", area_ratio=8, ann_temp=6, ann_prec=6,
-        gpp=6, npp=6, **{f"prs_{m}": 6 for m in MONTHS},
-    )
+    return rounded(basins.basin_attributes(cells, i), _PLACE, **_ATTRIBUTES)
 
 
 _PART = {"area": 6, "dry": 7, "ice_area": 6, "eff": 6, "emission": 4, "pco2": 3, "k": 4, "flux": 2}
@@ -223,13 +229,16 @@ _WIDE = {f"{m}_{mon}": d for m, d in _PART.items() for mon in MONTHS}
 
 @query(
     "basin_emission_wide",
-    "SELECT s.hybas_id, s.wkbasin, "
+    f"SELECT a.*, w.* EXCLUDE (hybas_id) FROM ({_ATTRIBUTES_SQL}) AS a LEFT JOIN (SELECT hybas_id, "
     + ", ".join(
         f"round(max(CASE WHEN month = {i + 1} THEN {m} END), {d}) + 0e0 AS {m}_{mon}"
         for m, d in _PART.items() for i, mon in enumerate(MONTHS)
     )
-    + " FROM basin_share s LEFT JOIN combined c ON c.hybas_id = s.hybas_id GROUP BY s.hybas_id, s.wkbasin",
+    + " FROM combined GROUP BY hybas_id) AS w USING (hybas_id)",
 )
 def basin_emission_wide(b):
-    """Final output layout: one row per basin, 8 metrics x 12 months."""
-    return rounded(basins.basin_emission_wide(inputs_of(b), OPTIONS), "hybas_id wkbasin", **_WIDE)
+    """Final output layout: one row per basin, its attributes and 8 metrics x 12 months, written and read back."""
+    table = rounded(basins.basin_emission_wide(inputs_of(b), OPTIONS), _PLACE, **_ATTRIBUTES, **_WIDE)
+    path = sink.new_path(b.spark, "basin-emission")
+    basins.write_emission(table, path)
+    return b.spark.read.schema(table.schema).option("header", True).csv(path)

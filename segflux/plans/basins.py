@@ -51,7 +51,7 @@ def basin_shares(basins: DataFrame, inputs: NetworkInputs) -> DataFrame:
 def basin_attributes(cells: DataFrame, inputs: NetworkInputs) -> DataFrame:
     """Attribute table: location, zone, area and share, climate, wetness, productivity, respiration.
 
-    Monthly covariates are averaged over the year here; ``sink.wide_months`` gives all twelve.
+    Productivity comes as the mean of the year and for all twelve months.
     """
     table = basin_shares(basin_list(cells), inputs)
     table = lookup(table, inputs.basin_centroid, "hybas_id")
@@ -61,6 +61,7 @@ def basin_attributes(cells: DataFrame, inputs: NetworkInputs) -> DataFrame:
     table = table.withColumn("wetness", classify.wetness_class(F.col("runoff")))
     npp = inputs.basin_npp.groupBy("hybas_id").agg(F.avg("gpp").alias("gpp"), F.avg("npp").alias("npp"))
     table = lookup(table, npp, "hybas_id")
+    table = lookup(table, sink.wide_months(inputs.basin_npp, ["hybas_id"], ["gpp", "npp"]), "hybas_id")
     respiration = sink.wide_months(
         inputs.basin_soil_resp.withColumn("prs", F.col("prs") * 365.0), ["hybas_id"], ["prs"]
     )
