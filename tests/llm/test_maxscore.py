@@ -37,6 +37,17 @@ def test_query(spark):
     assert found(QUERIES["op3_maxscore_top_k"](spark, sf)) == brute(rows, lambda i: i % 50 == 0)
 
 
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    from segflux.llm.queries import ORACLES
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.01/embeddings.parquet'")
+    wanted = con.execute(ORACLES["op3_maxscore_top_k"]).fetchall()
+    assert found(QUERIES["op3_maxscore_top_k"](spark, "/root/testdata/sf0.01")) == sorted(wanted, key=str)
+
+
 def test_many_shards_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(maxscore, "SHARD_ROWS", 60)
     monkeypatch.setattr(maxscore, "QUERY_ROWS", 10)
