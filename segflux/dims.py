@@ -109,20 +109,6 @@ OUTLIER_LIMITS = {
 # ----------------------------------------------------------------------------------------
 
 
-def month_labels(with_annual: bool = False) -> tuple[str, ...]:
-    return MONTHS + (ANNUAL,) if with_annual else MONTHS
-
-
-def month_dim(spark: SparkSession, with_annual: bool = False) -> DataFrame:
-    """One row per month: number, label, long name, days, two-digit code."""
-    rows = [
-        (i + 1, mon, MONTH_NAMES[i], MONTH_DAYS[i], f"{i + 1:02d}") for i, mon in enumerate(MONTHS)
-    ]
-    if with_annual:
-        rows.append((13, ANNUAL, "Annual", 365, "ann"))
-    return spark.createDataFrame(rows, "month int, mon string, name string, days int, code string")
-
-
 def literal_map(pairs: Mapping) -> Column:
     """A small fixed mapping as one literal map column (lookups stay inside codegen)."""
     items = [F.lit(v) for kv in pairs.items() for v in kv]

@@ -74,11 +74,6 @@ def is_finite(x: Column | str) -> Column:
     return F.coalesce(F.abs(x) < float("inf"), F.lit(False))
 
 
-def finite_or_null(x: Column | str) -> Column:
-    x = _col(x)
-    return F.when(is_finite(x), x)
-
-
 def in_list(x: Column | str, values) -> Column:
     """Membership that is false, not NULL, for a NULL value."""
     values = list(values)

@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segflux import dims
 from segflux.functions import hydraulics
 from segflux.sources.schemas import SCHEMAS
 
@@ -87,14 +86,3 @@ def _statistic(discharge: DataFrame, stat: str) -> DataFrame:
 def bind_discharge(reach: DataFrame, discharge: DataFrame, stat: str = "Qmean") -> DataFrame:
     """Attach a monthly statistic to segments by key (one row per segment and month)."""
     return reach.join(monthly_statistic(discharge, stat), "comid", "left")
-
-
-def expand_months(df: DataFrame) -> DataFrame:
-    """Repeat every row for the twelve months, with label and number of days."""
-    items = F.array(
-        *[
-            F.struct(F.lit(i + 1).alias("month"), F.lit(m).alias("mon"), F.lit(d).alias("days"))
-            for i, (m, d) in enumerate(zip(dims.MONTHS, dims.MONTH_DAYS, strict=True))
-        ]
-    )
-    return df.select("*", F.inline(items))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from segflux import dims
 
 
 def _mm(prefix: str, kind: str = "double") -> str:
@@ -46,6 +45,3 @@ SCHEMAS = {
     "site_flow": "site_no long, slope double, ann_q double",
     "site_reach": "site_no long, comid_txt string",
 }
-
-# Labels of the long month layout used in file names and wide columns.
-MONTH_CODES = tuple(f"{i:02d}" for i in range(1, len(dims.MONTHS) + 1))
