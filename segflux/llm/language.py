@@ -8,7 +8,7 @@ whose prototype has the highest cosine with it, which is also its score.
 
 Prototypes come from labelled rows only, at most about ``TRAIN_ROWS`` of them, chosen by a hash of
 the id; the prediction sees nothing but the text.  Sums are of integers, so order does not matter.
-Words are bound once per slice of texts, then added up by their places; texts are used whole.
+Texts are used whole.
 
 Defined results: a null text, and one without letters, is ``und`` with score 0, as is every text
 when no row is labelled; a cosine below 0 counts as 0; equal cosines go to the first language in
@@ -36,7 +36,8 @@ TRAIN_ROWS = 20_000
 UNKNOWN = "und"
 _DIRECT = 0x250  # letters below have a vector each; others share _SHARED ones
 _SHARED = 1024
-_ROWS = 1 << 13  # vectors gathered at once
+_SLICE = 1 << 20  # text bytes whose distinct trigrams are bound at once (or one text)
+_CELLS = 1 << 22  # trigram counts held at once
 
 
 @lru_cache(maxsize=1)
@@ -56,53 +57,48 @@ def letter_vectors(dimensions: int, seed: int) -> np.ndarray:
 def trigram_vectors(trigrams: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
     """Bound vectors of rows (first, second, third letter code)."""
     v = letter_vectors(dimensions, seed)
-    bound = np.roll(v[trigrams[:, 0]], 2, axis=1) * np.roll(v[trigrams[:, 1]], 1, axis=1) * v[trigrams[:, 2]]
-    return bound.astype(np.int32)
-
-
-def _sums(vectors: np.ndarray, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sum of ``vectors[rows[a:b]]`` for consecutive bounds a, b; some thousand rows at a time."""
-    n = len(bounds) - 1
-    out = np.zeros((n, vectors.shape[1]), dtype=np.int64)
-    at = 0
-    while at < n:
-        stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _ROWS, side="right")) - 1)
-        if stop == at + 1:
-            for low in range(bounds[at], bounds[stop], _ROWS):
-                out[at] += vectors[rows[low : min(low + _ROWS, bounds[stop])]].sum(axis=0, dtype=np.int64)
-        else:
-            some = np.flatnonzero(np.diff(bounds[at : stop + 1]))
-            if len(some):
-                part = vectors[rows[bounds[at] : bounds[stop]]]
-                out[at + some] = np.add.reduceat(part, bounds[at + some] - bounds[at], axis=0)
-        at = stop
-    return out
+    first, second = np.roll(v, 2, axis=1), np.roll(v, 1, axis=1)
+    return first[trigrams[:, 0]] * second[trigrams[:, 1]] * v[trigrams[:, 2]]
 
 
 def text_vectors(texts: pa.Array, dimensions: int = DIMENSIONS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Bundles of all texts, and which texts have letters."""
-    words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-    coded = words.flatten().dictionary_encode()
-    chunks = coded.dictionary
-    joined = " ".join(pc.utf8_lower(chunks).to_pylist())
-    points = np.frombuffer(f" {joined} ".encode("utf-32-le", "replace"), dtype="<u4")
+    """Bundles of all texts, and which texts have letters.
+
+    The distinct trigrams of the texts are bound once; their counts in each text weigh them in a
+    matrix product, some texts at a time.
+    """
+    lower = [t.lower() for t in pc.fill_null(texts.cast(pa.large_string()), "").to_pylist()]
+    points = np.frombuffer((" " + " ".join(lower) + " ").encode("utf-32-le", "replace"), dtype="<u4")
     code = letter_codes()[points]
     middle = np.flatnonzero(code[1:-1]) + 1
-    size = _DIRECT + _SHARED
-    packed = (code[middle - 1].astype(np.int64) * size + code[middle]) * size + code[middle + 1]
-    unique, place = np.unique(packed, return_inverse=True)
-    letters = np.stack((unique // (size * size), unique // size % size, unique % size), axis=1)
-    bound = trigram_vectors(letters, dimensions, seed)
-    sizes = pc.utf8_length(pc.utf8_lower(chunks)).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends = np.cumsum(sizes + 1) if len(sizes) else np.zeros(0, np.int64)
+    # Letters that occur get small numbers, so a table tells which trigrams occur.
+    seen = np.flatnonzero(np.bincount(code, minlength=_DIRECT + _SHARED))
+    small = np.zeros(_DIRECT + _SHARED, dtype=np.int64)
+    small[seen] = np.arange(len(seen))
+    s, n = small[code], len(seen)
+    packed = (s[middle - 1] * n + s[middle]) * n + s[middle + 1]
+    if n**3 <= 1 << 24:
+        present = np.zeros(n**3, dtype=bool)
+        present[packed] = True
+        unique = np.flatnonzero(present)
+        number = np.zeros(n**3, dtype=np.int32)
+        number[unique] = np.arange(len(unique))
+        place = number[packed].astype(np.int64)
+    else:
+        unique, place = np.unique(packed, return_inverse=True)
+    letters = seen[np.stack((unique // (n * n), unique // n % n, unique % n), axis=1)]
+    ends = np.cumsum([len(t) + 1 for t in lower])
     bounds = np.searchsorted(middle, np.concatenate(([0], ends)), side="right")
-    per_word = _sums(bound, place, bounds).astype(np.int32)
-    offsets = words.offsets.to_numpy().astype(np.int64)
-    offsets = offsets - offsets[0]
-    rows = coded.indices.to_numpy(zero_copy_only=False)
-    lettered = np.diff(bounds) > 0
-    some = np.concatenate(([0], np.cumsum(lettered[rows])))
-    return _sums(per_word, rows, offsets), some[offsets[1:]] > some[offsets[:-1]]
+    exact = np.float32 if len(middle) < 1 << 24 else np.float64  # whole numbers stay whole
+    bound = trigram_vectors(letters, dimensions, seed).astype(exact)
+    out = np.zeros((len(lower), dimensions), dtype=np.int64)
+    step = max(1, _CELLS // max(1, len(unique)))
+    for low in range(0, len(lower) if len(unique) else 0, step):
+        high = min(low + step, len(lower))
+        row = np.repeat(np.arange(high - low), np.diff(bounds[low : high + 1]))
+        cells = np.bincount(row * len(unique) + place[bounds[low] : bounds[high]], minlength=(high - low) * len(unique))
+        out[low:high] = np.rint(cells.reshape(high - low, len(unique)).astype(exact) @ bound)
+    return out, np.diff(bounds) > 0
 
 
 def remainder(doc_id: Column) -> Column:
@@ -133,7 +129,7 @@ def train(
     def start():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             sums: dict[str, np.ndarray] = {}
-            for part in common.text_slices(batch):
+            for part in common.text_slices(batch, most=_SLICE):
                 vectors, _ = text_vectors(part.column("text"), dimensions, seed)
                 labels = np.array(part.column("label").to_pylist(), dtype=object)
                 for label in set(labels.tolist()):
@@ -170,7 +166,7 @@ def identify(
 
     def start():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for part in common.text_slices(batch):
+            for part in common.text_slices(batch, most=_SLICE):
                 found, score = predict(part.column("text"), names, prototypes)
                 yield common.record_batch([part.column("doc_id"), found, score], schema)
 
@@ -186,7 +182,7 @@ def keep_identified(
 
     def start():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for part in common.text_slices(batch, text_col):
+            for part in common.text_slices(batch, text_col, _SLICE):
                 found, score = predict(part.column(text_col).cast(pa.string()), names, prototypes)
                 good = np.array([f != UNKNOWN for f in found]) & (score >= least)
                 yield part.filter(pa.array(good))
