@@ -201,7 +201,7 @@ def vocabulary_of(docs: DataFrame, words: int = WORDS) -> list[str]:
             for b in held.to_batches(max_chunksize=50_000):
                 yield common.record_batch([b.column(0), b.column(1)], schema)
 
-    counts = docs.select("text").mapInArrow(count, schema).groupBy("word").agg(F.sum("n").alias("n"))
+    counts = common.map_tasks(docs.select("text"), count, schema).groupBy("word").agg(F.sum("n").alias("n"))
     return [r.word for r in counts.orderBy(F.col("n").desc(), "word").limit(words).collect()]
 
 
@@ -234,7 +234,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
 
     for r in range(rounds):
         turn = F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(rounds)) == r
-        gathered = docs.where(turn).select("text").mapInArrow(walk(net), schema)
+        gathered = common.map_tasks(docs.where(turn).select("text"), walk(net), schema)
         means = gathered.groupBy("i").agg((F.sum(F.col("w") * F.col("tokens")) / F.sum("tokens")).alias("w"))
         found = sink.materialize(means, "network").toPandas()
         if len(found):

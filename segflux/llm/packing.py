@@ -165,7 +165,7 @@ def pack_documents(
         if waiting:
             yield _rows([(0, 0, p) for p in waiting], 0, first, keys, with_ids, task // REST_TASKS)
 
-    packed = sink.materialize(docs.mapInArrow(pack_task, first), "packed")
+    packed = sink.materialize(common.map_tasks(docs, pack_task, first), "packed")
     final = _output(docs, with_ids, rest=False)
 
     def pack_rest(table: pa.Table) -> pa.Table:

@@ -23,8 +23,13 @@ def _archive() -> tempfile.TemporaryDirectory:
     return folder
 
 
+BATCH_ROWS = "2000"
+"""Rows of an Arrow batch: whole texts are large, so fewer than Spark's default go to a worker at once."""
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, once per application; Spark serves the file itself."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         context.addPyFile(f"{_archive().name}/segflux.zip")

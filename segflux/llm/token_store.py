@@ -38,7 +38,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segflux.llm import common, tokens
-from segflux.sources import sink
 
 MARK, TRAILER_MARK, VERSION = b"TOKSTOR1", b"TOKSTEND", 1
 HEADER, ENTRY, TRAILER = struct.Struct("<8sIIQ"), struct.Struct("<QII"), struct.Struct("<QQ8s")
@@ -196,7 +195,7 @@ def write_store(
             yield common.record_batch([[number], [name], [len(flat)], [total], lists], schema)
 
     ordered = docs.orderBy(F.col("doc_id").asc_nulls_first())
-    ordered.mapInArrow(write_task, schema).write.parquet(f"{path}/manifest")
+    common.map_tasks(ordered, write_task, schema).write.parquet(f"{path}/manifest")
     return open_store(spark, path, schema)
 
 

@@ -17,9 +17,12 @@ import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 600_000
 """Distinct words an encoder remembers; beyond that it starts afresh (results do not change)."""
 
+LINE_WORDS = 1024
+"""Words given to the tokenizer in one line."""
+
 # Chunks of these characters: letters below U+0250 are stable under composition and lower
 # case alone, save U+0130; the controls U+0080 to U+00A0 hold white space of other kinds.
 _PLAIN = r"^[\t\n\r\x20-\x7E\x{A1}-\x{12F}\x{131}-\x{24F}]*$"
@@ -53,20 +56,19 @@ class WordEncoder:
         """Ids of words in one list, and the number of each word's ids."""
         ids: list[int] = []
         counts: list[int] = []
-        for encoded in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
-            got = encoded.ids
-            ids += got
-            counts.append(len(got))
+        for at in range(0, len(words), LINE_WORDS):
+            for encoded in self.tokenizer.encode_batch_fast(words[at : at + LINE_WORDS], add_special_tokens=False):
+                got = encoded.ids
+                ids += got
+                counts.append(len(got))
         return ids, counts
 
     def _encode_lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for single pieces, many to a call: the last id of a piece is a word end."""
-        lines = [words[at : at + 512] for at in range(0, len(words), 512)]
         ids, counts = [], []
-        for line, encoded in zip(
-            lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True
-        ):
-            got = np.array(encoded.ids, dtype=np.uint32)
+        for at in range(0, len(words), LINE_WORDS):
+            line = words[at : at + LINE_WORDS]
+            got = np.array(self.tokenizer.encode_batch_fast([" ".join(line)], add_special_tokens=False)[0].ids, dtype=np.uint32)
             ends = np.flatnonzero(self.ends_word[got])
             if len(ends) == len(line) and ends[-1] == len(got) - 1:
                 sizes = np.diff(ends, prepend=-1)
