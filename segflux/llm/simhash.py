@@ -237,7 +237,7 @@ def _compare(filed: DataFrame, radius: int) -> DataFrame:
             low, high = fp[i].view(np.int64)[~earlier], fp[j].view(np.int64)[~earlier]
             yield common.record_batch([np.minimum(low, high), np.maximum(low, high)], schema)
 
-    return filed.mapInArrow(run, schema)
+    return common.map_tasks(filed, run, schema)
 
 
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -290,4 +290,6 @@ def near_duplicates(
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     linked = linked.join(lowest, "root").select("fp", "component_id")
     by_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    # Written, so that both sides below are plain scans and a frequent fingerprint can be split.
+    by_fp = sink.materialize(by_fp, "fingerprint-components")
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
