@@ -46,6 +46,8 @@ SHARD_BYTES = 1024 * 1024
 ROUTE_SEGMENTS = 1000
 PARTS = (8, 64, None)
 """Parts a full route's windows are split into, step by step; None: one part per window."""
+LEVEL = 3
+"""zstandard level of texts on their way."""
 _BLOCK = 1 << 18  # windows routed at once
 _LOW = np.uint64((1 << 20) - 1)
 _rng = np.random.default_rng(400)
@@ -131,6 +133,33 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _compressed(docs: DataFrame) -> DataFrame:
+    """The documents with their texts as zstandard frames, so that less travels for the two joins."""
+    schema = common.schema_of(*common.fields(docs, "k1", "k2", "doc_id"), ("frame", T.BinaryType()))
+
+    def start():
+        import zstandard
+
+        compress = zstandard.ZstdCompressor(level=LEVEL).compress
+
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for part in common.text_slices(batch):
+                frames = [compress(t) for t in common.strings(part.column("text"))]
+                yield common.record_batch([*(part.column(c) for c in ("k1", "k2", "doc_id")), frames], schema)
+
+        return step
+
+    return common.map_batches(docs.select("k1", "k2", "doc_id", "text"), schema, start)
+
+
+def _texts(frames: pa.Array) -> Iterator[bytes]:
+    import zstandard
+
+    decompress = zstandard.ZstdDecompressor().decompress
+    for frame in frames:
+        yield decompress(frame.as_py())
+
+
 def _segments_of(docs: DataFrame, length: int) -> DataFrame:
     schema = common.schema_of(*SEGMENT)
 
@@ -170,14 +199,14 @@ def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of wanted segments, from the documents they lie in."""
     names = [n for n, _ in TEXT_SEGMENT[2:-1]]
     lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct(*names)).alias("segments"))
-    once = docs.select("k1", "k2", "text").join(lists, ["k1", "k2"])
+    once = _compressed(docs).select("k1", "k2", "frame").join(lists, ["k1", "k2"])
     schema = common.schema_of(*TEXT_SEGMENT)
 
     def start():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
-                text = common.strings(one.column("text"))[0]
+                text = next(_texts(one.column("frame")))
                 cells = one.column("segments").flatten()
                 columns = {n: cells.field(n) for n in names}
                 lows, sizes = columns["low"].to_pylist(), columns["windows"].to_pylist()
@@ -266,18 +295,22 @@ def _sort_shards(segs: DataFrame, length: int) -> DataFrame:
         if held:
             yield spans(held)
 
-    return ordered.mapInArrow(run, schema)
+    return common.map_tasks(ordered, run, schema)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, route_segments: int = ROUTE_SEGMENTS) -> DataFrame:
     """(k1, k2, low, high): spans covered by repeated strings; some overlap or touch."""
     found = sink.materialize(_segments_of(docs, length), "segments")
+    # Most routes have one segment and end here.  Tables are written before they are joined: with plain
+    # scans on both sides adaptive execution can split a frequent route.
+    routes = found.groupBy("route").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("route")
+    found = sink.materialize(found.join(sink.materialize(routes, "routes"), "route", "left_semi"), "met-segments")
     kinds = found.groupBy("route", "digest").agg(
         F.count(F.lit(1)).alias("weight"), F.min(F.struct("k1", "k2", "low", "windows", "gram")).alias("one")
     )
-    routes = kinds.groupBy("route").agg(F.sum("weight").alias("segments"), F.count(F.lit(1)).alias("kinds"))
-    routes = routes.where("segments > 1").select("route", "kinds")
-    shared = sink.materialize(kinds.join(routes, "route").select("route", "digest", "weight", "kinds", "one"), "routes")
+    kinds = sink.materialize(kinds, "kinds")
+    sizes = sink.materialize(kinds.groupBy("route").agg(F.count(F.lit(1)).alias("kinds")), "route-sizes")
+    shared = sink.materialize(kinds.join(sizes, "route").select("route", "digest", "weight", "kinds", "one"), "shared")
     # A segment met more than once is covered whole, wherever it occurs.
     twice = shared.where("weight > 1").select("route", "digest")
     copies = found.join(twice, ["route", "digest"]).select(
@@ -326,7 +359,7 @@ def remove_repeats(
     docs = _keyed(df, id_col, text_col)
     spans = repeated_spans(docs, length, route_segments)
     lists = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    joined = docs.join(lists, ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    joined = _compressed(docs).join(lists, ["k1", "k2"], "left").select("doc_id", "frame", "spans")
     pairs = T.ArrayType(T.StructType([T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType())]))
     schema = common.schema_of(
         *common.fields(docs, "doc_id"), *((n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")),
@@ -335,9 +368,9 @@ def remove_repeats(
 
     def start():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for part in common.text_slices(batch):
+            for part in common.text_slices(batch, "frame"):
                 rows = []
-                for text, found in zip(common.strings(part.column("text")), part.column("spans").to_pylist()):
+                for text, found in zip(_texts(part.column("frame")), part.column("spans").to_pylist()):
                     merged = merge([(s["low"], s["high"]) for s in found or ()])
                     edges = [0, *itertools.chain(*merged), len(text)]
                     kept = b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2])])
