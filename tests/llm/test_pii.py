@@ -120,3 +120,24 @@ def test_masking_keeps_other_columns(spark, weights):
     df = spark.createDataFrame([(1, "a b@c.de and 1.2.3.4!", 21), (2, None, 0), (3, "clean", 77)], "doc_id long, text string, n_chars long")
     out = {r.doc_id: (r.text, r.n_chars) for r in pii.mask_texts(df, weights, size_col="n_chars").collect()}
     assert out == {1: ("a <EMAIL> and <IP>!", 19), 2: (None, 0), 3: ("clean", 77)}
+
+
+def test_regions_equal_the_whole_text(weights):
+    rnd = random.Random(8)
+    parts = ["(415)", "415", "555", "2671", "4111", "1111", "+1", "a", "word", "b.c", "[at]", "@", "x.org", "10", "\n", ",", "é"] + list("  --..()+ ") * 2
+    crossing = 0
+    for k in range(1500):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 30)))
+        if k % 5 == 0:
+            text += rnd.choice(["  ", " - ", " . "]).join(["", "4111", "1111", "1111", "1111"]) + " end"
+        lat = pii.lattice(text, 0, len(text))
+        whole = [(lat.bounds[lat.segments[s][0]], lat.bounds[lat.segments[s][1]], pii.KINDS[lat.segments[s][2]]) for s, p in pii.decode(lat, weights) if p >= pii.LEAST]
+        assert pii.added_spans(text, [], weights) == whole, text
+        crossing += any(" - " in text[a:b] or "  " in text[a:b] for a, b, _ in whole)
+    assert crossing > 50
+
+
+@pytest.mark.parametrize("text", ["call (415)  555-2671 now", "x 415 - 555 - 2671.", "pay 4111 - 1111 - 1111 - 1111 now"])
+def test_two_separators_are_candidates(weights, text):
+    (span,) = pii.added_spans(text, [], weights)
+    assert text[span[0] : span[1]] == re.search(r"[(0-9].*[0-9]", text)[0]
