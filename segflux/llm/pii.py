@@ -11,9 +11,11 @@ Every entity holds a digit or an at sign, so only regions around these are decod
 entity can reach from one into the next; between regions nothing can be an entity, which makes this
 equal to decoding the whole text (tested).  Texts are used whole.
 
-The field is trained here, on at most about ``TRAIN_ROWS`` documents with such characters (chosen
-by a hash of the text) and ``TRAIN_REGIONS`` regions of each.  The patterns' spans are the labels; to
-learn more than the patterns, each labelled span is also shown rewritten (no country code, other
+The field is trained here, on at most ``TRAIN_ROWS`` distinct texts with such characters, chosen by a
+hash of the text: an equal share for each kind from the texts in which the patterns find it, the rest
+from texts without any; ``TRAIN_REGIONS`` regions of each.  So every kind that occurs has examples,
+however rare it is; a warning names one that is found in no region short enough to learn from.  The
+patterns' spans are the labels; to learn more than the patterns, each labelled span is also shown rewritten (no country code, other
 separators, a spelled at sign), and the digits of phone numbers also as a date, which is no entity.
 
 Defined results: a null or empty text has no spans; equal rows each get a row; an empty table gives
@@ -22,7 +24,10 @@ no rows and, as does one without labels, no added spans; extra columns are never
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segflux.llm import common
+from segflux.sources import sink
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_ROWS, TRAIN_REGIONS = 800, 8
@@ -340,34 +346,75 @@ def rewritten(text: str, spans: list[Span]) -> list[tuple[str, list[Span]]]:
     return out
 
 
+def _examples(text: str) -> tuple[set[str], dict[str, list[tuple[str, list[Span]]]]]:
+    """Kinds the patterns find in a text; for each kind to learn ("" without any) the labelled regions."""
+    spans = base_spans(text)
+    parts = [(a, b) for a, b in regions(text) if b - a <= 400]
+    inside = {p: [(x - p[0], y - p[0], k) for x, y, k in spans if p[0] <= x and y <= p[1]] for p in parts}
+    kinds = {k for _, _, k in spans}
+    out = {}
+    for kind in kinds or {""}:
+        # Regions with the kind first, then those with others.
+        order = sorted(parts, key=lambda p: (-any(k == kind for _, _, k in inside[p]), not inside[p]))[:TRAIN_REGIONS]
+        if order and (not kind or any(k == kind for _, _, k in inside[order[0]])):
+            out[kind] = [(text[a:b], inside[a, b]) for a, b in order]
+    return kinds, out
+
+
 def train(df: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -> np.ndarray | None:
     """Weights from a bounded sample of documents; None when there is nothing to learn."""
     texts = df.select(common.column(df, text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    rows = texts.count()
-    if rows > train_rows:
-        share = F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1_000_000_007))
-        texts = texts.where(share < int(1_000_000_007 * train_rows / rows))
+    texts = texts.select("text", F.xxhash64(F.lit(5), "text").alias("h"))
     pair = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("kind", T.StringType())])
-    schema = common.schema_of(("region", T.StringType()), ("spans", T.ArrayType(pair)))
+    schema = common.schema_of(("wanted", T.StringType()), ("h", T.LongType()), ("region", T.StringType()), ("spans", T.ArrayType(pair)))
 
-    def start():
-        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            out = []
-            for text in batch.column("text").to_pylist():
-                spans = base_spans(text)
-                parts = [(a, b) for a, b in regions(text) if b - a <= 400]
-                held = [p for p in parts if any(p[0] <= s[0] and s[1] <= p[1] for s in spans)]
-                for a, b in (held + [p for p in parts if p not in held])[:TRAIN_REGIONS]:
-                    inside = [{"a": x - a, "b": y - a, "kind": k} for x, y, k in spans if a <= x and y <= b]
-                    out.append((text[a:b], inside))
-            yield common.record_batch(list(zip(*out)) if out else [[], []], schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of each kind the texts of the smallest hashes; a row without a hash names a kind that occurs.
+        held: dict[str, dict[int, list]] = {k: {} for k in ("", *KINDS)}
+        bound = dict.fromkeys(held, 1 << 63)
+        occur: set[str] = set()
 
-        return step
+        def shrink(kind: str) -> None:
+            low = sorted(held[kind])[:train_rows]
+            held[kind] = {h: held[kind][h] for h in low}
+            if len(low) == train_rows:
+                bound[kind] = low[-1]
 
-    found = sorted({(r.region, tuple((s.a, s.b, s.kind) for s in r.spans)) for r in common.map_batches(texts, schema, start).collect()})
-    examples = [(region, _disjoint(list(spans))) for region, spans in found]
-    if not any(spans for _, spans in examples):
+        for batch in batches:
+            for part in common.text_slices(batch):
+                for text, h in zip(part.column("text").to_pylist(), part.column("h").to_pylist()):
+                    found = {k for _, _, k in base_spans(text)}
+                    occur |= found
+                    if all(h >= bound[k] or h in held[k] for k in found or {""}):
+                        continue
+                    for kind, regions_of in _examples(text)[1].items():
+                        if h < bound[kind]:
+                            held[kind][h] = regions_of
+                            if len(held[kind]) >= 2 * train_rows:
+                                shrink(kind)
+        out = [(kind, None, None, None) for kind in sorted(occur)]
+        for kind in held:
+            shrink(kind)
+            for h, kept in held[kind].items():
+                out += [(kind, h, region, [dict(zip("ab", s), kind=s[2]) for s in spans]) for region, spans in kept]
+        if out:
+            yield common.record_batch(list(zip(*out)), schema)
+
+    drawn = sink.materialize(common.map_tasks(texts, run, schema), "labelled-regions")
+    seen = drawn.select("wanted", "h").distinct().toPandas()
+    hashes = {k: np.sort(seen.loc[seen["wanted"].eq(k) & seen["h"].notna(), "h"].astype("int64").to_numpy()) for k in ("", *KINDS)}
+    for kind in KINDS:
+        if seen["wanted"].eq(kind).any() and not len(hashes[kind]):
+            warnings.warn(f"the patterns find {kind}, but in no region to learn from", stacklevel=2)
+    share = train_rows // (len(KINDS) + 1)
+    few = {k: hashes[k][:share] for k in KINDS}
+    few[""] = hashes[""][: train_rows - sum(map(len, few.values()))]
+    if not any(len(few[k]) for k in KINDS):
         return None
+    chosen = [(F.col("wanted") == k) & (F.col("h") <= int(v[-1])) for k, v in few.items() if len(v)]
+    rows = drawn.where(functools.reduce(operator.or_, chosen)).select("region", "spans").collect()
+    found = sorted({(r.region, tuple((s.a, s.b, s.kind) for s in r.spans)) for r in rows})
+    examples = [(region, _disjoint(list(spans))) for region, spans in found]
     return fit(examples + [e for x in examples for e in rewritten(*x)])
 
 

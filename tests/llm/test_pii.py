@@ -141,3 +141,14 @@ def test_regions_equal_the_whole_text(weights):
 def test_two_separators_are_candidates(weights, text):
     (span,) = pii.added_spans(text, [], weights)
     assert text[span[0] : span[1]] == re.search(r"[(0-9].*[0-9]", text)[0]
+
+
+def test_rare_kinds_have_examples(spark):
+    """A few cards and one address among many documents, one of them in many copies, are learned from."""
+    rows = [(f"call +1 (555) 555-{k:04d} in room {k}",) for k in range(3000)] + [("mail a.b@site.org",)]
+    rows += [("pay 4111 1111 1111 1111 now",)] * 2000
+    rows += [(f"pay {card} now",) for card in ("5500 0055 5555 5559", "4012 8888 8888 1881", "5105 1051 0510 5100", "4000 0566 5566 5556")]
+    df = spark.createDataFrame(rows, "text string").repartition(5)
+    weights = pii.train(df, train_rows=100)
+    assert pii.written(pii.added_spans("to joe.b[at]site.org ok", [], weights)) == "email:3:20"
+    assert pii.written(pii.added_spans("pay 4111.1111.1111.1111 now", [], weights)) == "card:4:23"
