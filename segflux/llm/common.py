@@ -46,13 +46,25 @@ def map_batches(
 def map_tasks(
     df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType
 ) -> DataFrame:
-    """``mapInArrow`` that gives freed memory back when a task ends; workers live on for other tasks."""
+    """``mapInArrow`` that gives freed memory back when a task ends; workers live on for other tasks.
+
+    Columns travel under their positions where a name holds a dot or a quote, which ``mapInArrow`` can't resolve.
+    """
+    names = df.columns
+    plain = not any(set(".`") & set(n) for n in (*names, *schema.names))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        if plain:
+            yield from run(batches)
+        else:
+            for batch in run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches):
+                yield pa.RecordBatch.from_arrays(batch.columns, names=[f"c{i}" for i in range(batch.num_columns)])
         release_memory()
 
-    return df.mapInArrow(task, schema)
+    if plain:
+        return df.mapInArrow(task, schema)
+    numbered = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(schema)])
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(task, numbered).toDF(*schema.names)
 
 
 def release_memory() -> None:

@@ -6,6 +6,7 @@ import importlib.util
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from segflux.llm import decontam, pii
 
@@ -80,6 +81,20 @@ def test_edge_rows(spark, pipeline, edge, empty):
     assert pipeline.pack(spark, empty, SF).count() == 0
 
 
+def test_clashing_columns(spark, pipeline):
+    extra = ["_key", "_rows", "n.x", "row", "copies", "fp", "component_id", "content", "shard", "score", "lang_pred"]
+    rows = [(1, "the same text in two rows", "en", "s", 1), (2, "the same text in two rows", "en", "s", 2), (3, "another text altogether", "en", "s", 3)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = plain.select("*", *[F.concat(F.lit(name), F.col("doc_id")).alias(name) for name in extra])
+    wanted = {"language_id": [1, 2, 3], "near_duplicates": [1, 3], "decontamination": [1, 2, 3], "personal_data": [1, 2, 3]}
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns
+        found = {r[0]: tuple(r)[5:] for r in out.collect()}
+        assert found == {i: tuple(f"{c}{i}" for c in extra) for i in wanted[name]}
+    assert pipeline.pack(spark, df, SF).count() == 3
+
+
 def test_rows_without_ids_are_deduplicated(spark, pipeline):
     rows = [(None, "same words here now"), (None, "same words here now"), (None, "other words there then"), (5, "other words there then")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
