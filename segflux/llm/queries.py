@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segflux.llm import common, decontam, language, lm_scoring, maxscore, packing, pii, sharding, simhash, suffix_dedup, token_store
+from segflux.llm import common, decontam, exact_dedup, language, lm_scoring, maxscore, packing, pii, sharding, simhash, suffix_dedup, token_store
 from segflux.llm.ship import ship
 from segflux.sources import sink
 
@@ -139,3 +139,19 @@ def op10_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
         F.sha2(items.cast("binary"), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query
+def op13_skew_safe_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.duplicates(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+ORACLES["op13_skew_safe_exact_dedup"] = f"""
+WITH t AS (
+    SELECT doc_id, translate(coalesce(text, ''), '{exact_dedup.UPPER}', '{exact_dedup.LOWER}') AS x FROM documents
+)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
+       row_number() OVER (PARTITION BY x ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(x) AS text_sha256
+FROM t
+"""
