@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segflux.llm import common, decontam, exact_dedup, language, lm_scoring, maxscore, packing, pii, sharding, simhash, suffix_dedup, token_store
+from segflux.llm import common, decontam, exact_dedup, language, lexical, lm_scoring, maxscore, packing, pii, sharding, simhash, suffix_dedup, token_store
 from segflux.llm.ship import ship
 from segflux.sources import sink
 
@@ -141,6 +141,36 @@ def op10_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+@query
+def op12_aho_corasick_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+# Separators are the ASCII characters other than letters and digits; only A-Z fold.
+_TERM_LIST = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""
+ORACLES["op12_aho_corasick_search"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, {_TERM_LIST} AS words FROM documents),
+words AS (SELECT d, unnest(words) AS term FROM docs),
+counts AS (SELECT d, term, count(*) AS tf FROM words GROUP BY d, term),
+totals AS (SELECT count(*) AS n_all, CAST(sum(len(words)) AS HUGEINT) AS l_all FROM docs WHERE len(words) > 0),
+weights AS (
+    SELECT term, CAST(floor(1000e0 * ln((2e0 * any_value(n_all) + 2e0) / (2e0 * count(*) + 1e0))) AS BIGINT) AS w
+    FROM counts, totals GROUP BY term
+),
+items AS (SELECT row_number() OVER () AS i, item_id, {_TERM_LIST} AS words FROM benchmark),
+asked AS (SELECT i, item_id, term, count(*) AS repeats FROM (SELECT i, item_id, unnest(words) AS term FROM items) GROUP BY ALL),
+sizes AS (SELECT d, doc_id, CAST(25 + (75 * CAST(len(words) AS HUGEINT) * n_all) // l_all AS BIGINT) AS m FROM docs, totals),
+scored AS (
+    SELECT i, item_id, d, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN sizes USING (d) GROUP BY i, item_id, d, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) <= 10
+"""
+
+
 @query
 def op13_skew_safe_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.duplicates(common.table(spark, sf_dir, "documents"))
