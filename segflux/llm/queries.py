@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segflux.llm import common, decontam, exact_dedup, language, lexical, lm_scoring, maxscore, packing, pii, sharding, simhash, suffix_dedup, token_store
+from segflux.llm import common, cover_tree, decontam, exact_dedup, language, lexical, lm_scoring, maxscore, packing, pii, sharding, simhash, suffix_dedup, token_store
 from segflux.llm.ship import ship
 from segflux.sources import sink
 
@@ -141,6 +141,38 @@ def op10_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+@query
+def op11_cover_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return cover_tree.hard_negatives(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
+
+
+ORACLES["op11_cover_tree_negatives"] = """
+WITH usable AS (
+    SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(CAST(x AS DOUBLE))]) = 0
+), scored AS (
+    SELECT a.r AS anchor, a.vec_id AS anchor_id, c.vec_id AS vec_id, c.label = a.label AS same,
+           CAST(list_dot_product(CAST(a.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+    FROM usable a JOIN usable c ON c.r <> a.r AND len(c.v) = len(a.v)
+    WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor, anchor_id, vec_id AS positive_id, score AS positive_score,
+           row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS place
+    FROM scored WHERE same QUALIFY place <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.vec_id AS negative_id,
+       p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same
+     AND 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score
+WINDOW w AS (PARTITION BY p.anchor, p.place ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
 @query
 def op12_aho_corasick_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
