@@ -171,62 +171,69 @@ def _forest_rows(b) -> DataFrame:
     return sink.materialize(table.select("row_id", "lat", "mon", "lnco2", *dims.FOREST_PREDICTORS), "forest-rows")
 
 
-_MODELS: dict[tuple[str, str], tuple] = {}
-
-
-def _fitted(b):
-    """Rows and the forest fitted on their training quarters, once per session and directory."""
-    key = (b.spark.sparkContext.applicationId, b.sf_dir)
-    if key not in _MODELS:
-        rows = _forest_rows(b)
-        model = forest.train(rows.filter(forest.is_training(F.col("row_id"))), "lnco2", dims.FOREST_PREDICTORS)
-        _MODELS[key] = rows, model
-    return _MODELS[key]
+def _fitted(rows: DataFrame, importance: bool = False) -> forest.Forest:
+    """The forest of 500 trees on the training quarters."""
+    train = rows.filter(forest.is_training(F.col("row_id")))
+    return forest.train(train, "lnco2", dims.FOREST_PREDICTORS, importance=importance)
 
 
 @query("rf_train_predict")
 def rf_train_predict(b):
     """Forest on 15 predictors, scored on the held-out quarter."""
-    rows, model = _fitted(b)
-    train = forest.is_training(F.col("row_id"))
-    table = forest.score(model, rows.filter(~train), dims.FOREST_PREDICTORS, ["row_id", "mon", "lnco2"], "pred_rf")
+    rows = _forest_rows(b)
+    held = rows.filter(~forest.is_training(F.col("row_id")))
+    table = forest.score(_fitted(rows), held, dims.FOREST_PREDICTORS, ["row_id", "mon", "lnco2"], "pred_rf")
     return rounded(table, "row_id mon", lnco2=6, pred_rf=6)
 
 
 @query("rf_importance")
 def rf_importance(b):
-    """Permutation importance of the 15 predictors, most important first."""
-    rows, model = _fitted(b)
-    train = forest.is_training(F.col("row_id"))
-    table = forest.permutation_importance(model, rows.filter(~train), "row_id", "lnco2", dims.FOREST_PREDICTORS)
-    return rounded(table, "pred", importance=6).orderBy(F.desc("importance"))
+    """Out-of-bag permutation importance of the 15 predictors, most important first."""
+    table = forest.permutation_importance(_fitted(_forest_rows(b), importance=True))
+    return rounded(table, "pred", importance=6).orderBy(F.desc("importance"), "pred")
+
+
+def _out_of_fold(b) -> DataFrame:
+    return forest.cross_validate(_forest_rows(b), "row_id", "lnco2", dims.FOREST_PREDICTORS, ["mon"])
 
 
 @query("cv_summary")
 def cv_summary(b):
     """10-fold cross-validation per month: r-squared, mean error and spread, averaged over folds."""
-    rows = _forest_rows(b)
-    scored = forest.cross_validate(
-        rows, "row_id", "lnco2", dims.FOREST_PREDICTORS, ["mon"]
-    )
-    metrics = forest.fold_metrics(scored.filter(F.col("mon") != dims.ANNUAL), "mon", "lnco2")
+    metrics = forest.fold_metrics(_out_of_fold(b).filter(F.col("mon") != dims.ANNUAL), "mon", "lnco2")
     return rounded(forest.fold_summary(metrics, "mon"), "mon", r2=6, mnerr=6, sderr=6)
 
 
+_COMPLETE = " AND ".join(f"{p} IS NOT NULL" for p in dims.FOREST_PREDICTORS)
+
+
+@query(
+    "cv_rows",
+    f"""SELECT row_id, mon, round(lnco2, 7) + 0e0 AS lnco2, CAST({_SPLIT} // 65536 % 10 AS INT) AS fold, true AS in_range
+        FROM train WHERE {_COMPLETE}""",
+)
+def cv_rows(b):
+    """Out-of-fold predictions: every complete row once, in its fold, within the range of the responses."""
+    scored = _out_of_fold(b)
+    low, high = scored.agg(F.min("lnco2"), F.max("lnco2")).first()
+    table = scored.withColumn("in_range", F.col("prediction").between(low, high))
+    return rounded(table, "row_id mon fold in_range", lnco2=7)
+
+
 @query(
     "forest_rows",
     f"""SELECT row_id, mon, round(lnco2, 7) + 0e0 AS lnco2,
                CAST(CASE WHEN {_SPLIT} % 6553600 < 4915200 THEN 1 ELSE 0 END AS INT) AS train,
                CAST({_SPLIT} // 65536 % 10 AS INT) AS fold, true AS in_range
-        FROM train WHERE {' AND '.join(f'{p} IS NOT NULL' for p in dims.FOREST_PREDICTORS)}""",
+        FROM train WHERE {_COMPLETE}""",
 )
 def forest_rows(b):
     """Rows the forests see: training or held out, fold, and whether a prediction lies in the range of all responses."""
-    rows, model = _fitted(b)
+    rows = _forest_rows(b)
     train = forest.is_training(F.col("row_id"))
     low, high = rows.filter(train).agg(F.min("lnco2"), F.max("lnco2")).first()
     kept = ["row_id", "mon", "lnco2"]
-    table = forest.score(model, rows, dims.FOREST_PREDICTORS, kept, "pred_rf").select(
+    table = forest.score(_fitted(rows), rows, dims.FOREST_PREDICTORS, kept, "pred_rf").select(
         *kept,
         train.cast("int").alias("train"),
         forest.fold_of(F.col("row_id")).alias("fold"),
@@ -235,13 +242,16 @@ def forest_rows(b):
     return rounded(table, "row_id mon train fold in_range", lnco2=7)
 
 
-@query("score_reaches")
-def score_reaches(b):
-    """Concentration of every segment and month from the forest on all 15 predictors."""
+def _scored_reaches(b, model: forest.Forest) -> DataFrame:
     i = inputs_of(b)
-    _, model = _fitted(b)
     features = training.reach_features(
         i.reach.join(i.reach_basin, "comid"), i.uparea, i.air_temp, i.basin_climate, i.basin_npp, i.basin_soil_resp, i.basin_static
     )
-    scored = forest.score(model, features, dims.FOREST_PREDICTORS, ["comid", "month"], "ln_pco2")
+    return forest.score(model, features, dims.FOREST_PREDICTORS, ["comid", "month"], "ln_pco2")
+
+
+@query("score_reaches")
+def score_reaches(b):
+    """Concentration of every segment and month from the forest on all 15 predictors."""
+    scored = _scored_reaches(b, _fitted(_forest_rows(b)))
     return rounded(scored.withColumn("pco2", F.exp("ln_pco2")), "comid month", pco2=4)

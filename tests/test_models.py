@@ -86,24 +86,134 @@ def wavy(spark):
 def test_forest_beats_line_and_ranks_predictors(wavy):
     names = ("main", "side", "noise")
     train = forest.is_training(F.col("id"))
-    model = forest.train(wavy.filter(train), "y", names, trees=15, depth=8)
+    model = forest.train(wavy.filter(train), "y", names, trees=30, importance=True)
     scored = forest.score(model, wavy.filter(~train), names, ["id", "y"])
     line = regression.fit(regression.moments(wavy.filter(train), "y", names), names)
     r2 = scored.agg(F.regr_r2("y", "prediction")).first()[0]
     linear = regression.with_prediction(wavy.filter(~train), line, "p").agg(F.regr_r2("y", "p")).first()[0]
-    assert r2 > 0.6 > linear
-    ranked = forest.permutation_importance(model, wavy.filter(~train), "id", "y", names, block_rows=100)
-    got = {r.pred: r.importance for r in ranked.collect()}
+    assert r2 > 0.8 > linear
+    got = {r.pred: r.importance for r in forest.permutation_importance(model).collect()}
     assert got["main"] > got["side"] > got["noise"]
 
 
-def test_cross_validation_scores_every_row_once(wavy):
+def _walk(tree, row):
+    """One row down one written tree, node by node."""
+    node = 0
+    while tree.feature[node] >= 0:
+        node = tree.left[node] + (row[tree.feature[node]] > tree.threshold[node])
+    return tree.value[node]
+
+
+def _sample(df, names, response):
+    rows = sorted(tuple(r) for r in df.select(response, *names).collect())
+    return np.array([r[1:] for r in rows]), np.array([r[0] for r in rows])
+
+
+def test_importance_equals_a_plain_loop_over_out_of_bag_rows(wavy):
     names = ("main", "side", "noise")
-    scored = forest.cross_validate(wavy, "id", "y", names, ["mon"], folds=3, trees=5, depth=5)
+    small = wavy.filter("id < 120")
+    model = forest.train(small, "y", names, trees=12, seed=3, importance=True)
+    x, y = _sample(small, names, "y")
+    rises = {n: [] for n in names}
+    for t in model.trees.collect():
+        rng = np.random.default_rng([3, 0, t.tree])
+        drawn = rng.integers(0, len(y), len(y))
+        # Growing draws from the same stream; replay it, then permute.
+        sample = forest.Sample(x, y)
+        again = sample.grow(np.bincount(drawn, minlength=len(y)).astype(float), rng, 1, forest.MIN_NODE_ROWS)
+        assert again.value.tolist() == t.value
+        out = sorted(set(range(len(y))) - set(drawn.tolist()))
+        base = np.mean([(y[i] - _walk(t, x[i])) ** 2 for i in out])
+        assert t.oob_mse == pytest.approx(base)
+        for j, n in enumerate(names):
+            mixed = x[out][rng.permutation(len(out)), j]
+            moved = []
+            for i, v in zip(out, mixed):
+                row = x[i].copy()
+                row[j] = v
+                moved.append((y[i] - _walk(t, row)) ** 2)
+            rises[n].append(np.mean(moved) - base)
+    got = {r.pred: r.importance for r in forest.permutation_importance(model).collect()}
+    assert got == pytest.approx({n: float(np.mean(v)) for n, v in rises.items()})
+
+
+def test_trees_equal_a_plain_recursion(spark):
+    """All predictors tried at every split: values on the drawn rows are those of an exhaustive search."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(120, 4))
+    x[:, 3] = np.round(x[:, 3])
+    y = np.sin(2 * x[:, 0]) + x[:, 1] ** 2 + rng.normal(size=120)
+    sample = forest.Sample(x, y)
+    weight = sample.bootstrap(rng)
+    tree = sample.grow(weight, rng, 4, 5)
+
+    def plain(rows):
+        total, mean = weight[rows].sum(), np.average(y[rows], weights=weight[rows])
+        best = (total * mean * mean + 1e-9, None, None)
+        for f in range(4) if total > 5 else ():
+            for cut in np.unique(x[rows, f])[:-1]:
+                parts = [rows[x[rows, f] <= cut], rows[x[rows, f] > cut]]
+                gain = sum((weight[p] * y[p]).sum() ** 2 / weight[p].sum() for p in parts)
+                if gain > best[0] + 1e-9:
+                    best = gain, parts, f
+        if best[1] is None:
+            return dict.fromkeys(rows.tolist(), mean)
+        return plain(best[1][0]) | plain(best[1][1])
+
+    want = plain(np.flatnonzero(weight))
+    assert tree.predict(x)[list(want)] == pytest.approx(list(want.values()))
+
+
+def test_score_is_the_mean_of_all_trees(spark, wavy):
+    names = ("main", "side")
+    model = forest.train(wavy.filter("id < 300"), "y", names, trees=7)
+    trees = model.trees.collect()
+    rows = wavy.filter("id between 290 and 340").collect()
+    got = {r.id: r.prediction for r in forest.score(model, wavy.filter("id between 290 and 340"), names, ["id"]).collect()}
+    assert got == pytest.approx({r.id: float(np.mean([_walk(t, (r.main, r.side)) for t in trees])) for r in rows})
+    odd = spark.createDataFrame([(1, None, 0.0), (2, float("nan"), 0.0), (3, float("inf"), 0.0), (4, 0.0, 0.0)], "id long, main double, side double")
+    assert [r.id for r in forest.score(model, odd, names, ["id"]).collect()] == [4]
+    with pytest.raises(ValueError):
+        forest.score(model, odd, ("side", "main"), ["id"])
+
+
+def test_a_forest_without_rows_predicts_nothing(wavy):
+    model = forest.train(wavy.limit(0), "y", ("main", "side"), trees=3)
+    got = forest.score(model, wavy.limit(2), ("main", "side"), ["id"]).collect()
+    assert [r.prediction for r in got] == [None, None]
+
+
+def test_cross_validation_scores_every_row_once_by_trees_that_never_saw_it(wavy):
+    names = ("main", "side", "noise")
+    scored = forest.cross_validate(wavy, "id", "y", names, ["mon"], folds=3, trees=5)
     assert scored.count() == 3000 and scored.select("id").distinct().count() == 3000
     metrics = forest.fold_metrics(scored, "mon", "y")
     assert metrics.count() == 9
     assert forest.fold_summary(metrics, "mon").filter("r2 > 0").count() == 3
+    # Fold 1 by hand.
+    data = wavy.withColumn("fold", forest.fold_of(F.col("id"), 3))
+    model = forest.train(data, "y", names, 5, fold="fold", folds=3)
+    x, y = _sample(data.filter("fold <> 1"), names, "y")
+    sample = forest.Sample(x, y)
+    rng = np.random.default_rng([0, 1, 2])
+    tree = sample.grow(sample.bootstrap(rng), rng, 1, forest.MIN_NODE_ROWS)
+    assert model.fold(1).trees.filter("tree = 2").first().value == tree.value.tolist()
+
+
+def test_fold_metrics_equal_sql_on_a_written_prediction_table(spark, wavy, tmp_path):
+    import duckdb
+
+    path = str(tmp_path / "predictions")
+    scored = forest.cross_validate(wavy, "id", "y", ("main", "side", "noise"), ["mon"], folds=4, trees=5)
+    scored.write.parquet(path)
+    table = spark.read.parquet(path)
+    got = forest.fold_summary(forest.fold_metrics(table, "mon", "y"), "mon").orderBy("mon").collect()
+    want = duckdb.sql(f"""
+        SELECT mon, avg(r2), avg(mnerr), avg(sderr) FROM (
+            SELECT fold, mon, regr_r2(y, prediction) AS r2, avg(prediction - y) AS mnerr, stddev_pop(prediction - y) AS sderr
+            FROM '{path}/*.parquet' GROUP BY fold, mon) GROUP BY mon ORDER BY mon""").fetchall()
+    assert [r[0] for r in got] == [w[0] for w in want]
+    assert [v for r in got for v in r[1:]] == pytest.approx([v for w in want for v in w[1:]])
 
 
 def test_histogram_counts_every_value(spark):
@@ -170,22 +280,11 @@ def test_aliased_predictors_are_set_aside(spark):
     assert math.isnan(factors["both"]) and math.isnan(factors["same"]) and factors["a"] == pytest.approx(factors["b"], rel=1e-6)
 
 
-def test_permutation_moves_every_predictor(spark):
-    """Also in blocks whose size divides the old offsets."""
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(400, 9))
-    rows = [(i, *map(float, x[i]), float(x[i].sum())) for i in range(400)]
-    names = tuple(f"p{j}" for j in range(9))
-    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"{n} double" for n in names) + ", y double")
-    model = forest.train(df, "y", names, trees=10, depth=6)
-    got = forest.permutation_importance(model, df, "id", "y", names, block_rows=8).collect()
-    assert len(got) == 9 and all(r.importance > 0 for r in got)
-
-
 def test_fit_sample_is_bounded_and_repeatable(spark):
     df = spark.range(3000).selectExpr("double(id % 100) AS x", "double(id % 100) * 2 + id / 1e6 AS y")
-    one, two = (forest.train(df, "y", ("x",), trees=3, depth=4, fit_rows=300) for _ in range(2))
-    assert one.toDebugString.split("\n")[1:] == two.toDebugString.split("\n")[1:]
+    one, two = (forest.train(d, "y", ("x",), trees=3, fit_rows=300) for d in (df, df.repartition(7)))
+    assert one.rows == two.rows and 200 < one.rows < 400
+    assert one.trees.orderBy("tree").drop("oob_mse").collect() == two.trees.orderBy("tree").drop("oob_mse").collect()
 
 
 def test_kernel_density_keeps_the_group_without_a_key(spark):
