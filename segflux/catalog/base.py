@@ -87,6 +87,7 @@ def with_views(sql: str) -> str:
         return sql
     views = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in VIEWS if n in wanted)
     body = sql.strip()
-    if body.upper().startswith("WITH "):
-        return f"WITH {views},\n{body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{views},\n{body[len(start):]}"
     return f"WITH {views}\n{body}"

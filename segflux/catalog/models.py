@@ -9,7 +9,7 @@ from segflux import dims
 from segflux.catalog.base import inputs_of, query, rounded
 from segflux.catalog.sites import table_of
 from segflux.operators import forest, groups, regression, reshape
-from segflux.plans import training
+from segflux.plans import training, validation
 from segflux.sources import sink
 
 PLANTED = ("quantity", "discount")
@@ -58,7 +58,7 @@ _OLS_SQL = """
 def multi_ols(b):
     """Multiple regression from one pass of moments: coefficients and fit quality."""
     rows = b.site_meas.withColumn("lnco2", F.log("co2_uatm"))
-    model = regression.fit(regression.moments(rows, "lnco2", PLANTED), PLANTED)
+    model = regression.fit(regression.factor(rows, "lnco2", PLANTED), PLANTED)
     terms = [("intercept", model.intercept), *zip(model.predictors, model.slopes, strict=True)]
     data = [(t, v, model.n, model.r2, model.adjusted_r2) for t, v in terms]
     table = b.spark.createDataFrame(data, "term string, estimate double, n long, r2 double, adj_r2 double")
@@ -78,7 +78,7 @@ def multi_ols(b):
 def ols_fitted(b):
     """Fitted values and residuals of the multiple regression on every row."""
     rows = b.site_meas.withColumn("lnco2", F.log("co2_uatm"))
-    model = regression.fit(regression.moments(rows, "lnco2", PLANTED), PLANTED)
+    model = regression.fit(regression.factor(rows, "lnco2", PLANTED), PLANTED)
     table = regression.with_prediction(rows, model, "fitted", "residual")
     return rounded(table, "row_id", fitted=6, residual=6)
 
@@ -88,25 +88,191 @@ def ols_fitted(b):
     FROM (SELECT corr(quantity, discount) AS r FROM site_meas) AS c, (VALUES ('quantity'), ('discount')) AS k(term)""")
 def vif(b):
     rows = b.site_meas.withColumn("lnco2", F.log("co2_uatm"))
-    factors = regression.inflation_factors(regression.moments(rows, "lnco2", PLANTED), PLANTED)
+    factors = regression.inflation_factors(regression.factor(rows, "lnco2", PLANTED), PLANTED)
     return rounded(b.spark.createDataFrame(list(factors.items()), "term string, vif double"), "term", vif=7)
 
 
-@query("stepwise_aic")
-def stepwise_aic(b):
-    """Four rounds of stepwise selection: coefficients, inflation factors, criterion, fit."""
-    rounds = training.stepwise_rounds(sink.materialize(table_of(b), "training"))
+# --- least squares in SQL -----------------------------------------------------------------------
+# The correlations of all variables as one list of lists, swept pivot by pivot.
+
+_REGRESSION_ROWS = (
+    "(SELECT * REPLACE (CASE WHEN popdens = CAST('-inf' AS DOUBLE) THEN -15e0 ELSE popdens END AS popdens) FROM train_log)"
+)
+
+
+def _sweep_sql(m: str, k: str, sign: str, size: int) -> str:
+    """The matrix swept on pivot k; a sign of -1 takes a swept pivot out again."""
+    at = f"range(1, {size + 1})"
+    return (
+        f"[[CASE WHEN i = {k} AND j = {k} THEN -1e0 / {m}[{k}][{k}] WHEN i = {k} THEN {sign} * {m}[{k}][j] / {m}[{k}][{k}] "
+        f"WHEN j = {k} THEN {sign} * {m}[i][{k}] / {m}[{k}][{k}] "
+        f"ELSE {m}[i][j] - {m}[i][{k}] * {m}[{k}][j] / {m}[{k}][{k}] END FOR j IN {at}] FOR i IN {at}]"
+    )
+
+
+def _swept_sql(tag: str, predictors, source: str, search: bool) -> str:
+    """CTEs that end in ``done_<tag>``: one row with counts, means, lengths and the swept matrix ``m``.
+
+    All predictors are swept in, one recursion step each; with ``search`` moves by the step criterion follow.
+    """
+    names = [*predictors, "lnco2"]
+    size = len(names)
+    finite = " AND ".join(f"isfinite({c}) AND {c} IS NOT NULL" for c in names)
+    matrix = ", ".join(
+        "[" + ", ".join("1e0" if i == j else f"corr({a}, {b})" for j, b in enumerate(names)) + "]" for i, a in enumerate(names)
+    )
+    steps = f"""rows_{tag} AS (SELECT {', '.join(names)} FROM {source} AS s WHERE {finite}),
+    base_{tag} AS (
+        SELECT count(*) AS n, [{', '.join(f'avg({c})' for c in names)}] AS mean, [{', '.join(f'stddev_pop({c})' for c in names)}] AS sd,
+               [{matrix}] AS m FROM rows_{tag}),
+    full_{tag} AS (
+        SELECT 1 AS k, n, mean, sd, m FROM base_{tag}
+        UNION ALL SELECT k + 1, n, mean, sd, {_sweep_sql('m', 'k', '1e0', size)} FROM full_{tag} WHERE k < {size}),
+    in_{tag} AS (
+        SELECT 0 AS step, n, mean, sd, m, [true FOR i IN range(1, {size})] AS inside,
+               n * ln(m[{size}][{size}] * sd[{size}] * sd[{size}]) + 2e0 * {size} AS crit
+        FROM full_{tag} WHERE k = {size})"""
+    if not search:
+        return f"{steps}, done_{tag} AS (SELECT * FROM in_{tag})"
+    moved = (
+        f"[n * ln((m[{size}][{size}] - m[j][{size}] * m[j][{size}] / m[j][j]) * sd[{size}] * sd[{size}]) "
+        f"+ 2e0 * (len(list_filter(inside, lambda x: x)) + CASE WHEN inside[j] THEN 0e0 ELSE 2e0 END) FOR j IN range(1, {size})]"
+    )
+    return steps + f""",
+    walk_{tag} AS (
+        SELECT *, {moved} AS moves FROM in_{tag}
+        UNION ALL
+        SELECT step, n, mean, sd, m, inside, crit, {moved} FROM (
+            SELECT step + 1 AS step, n, mean, sd, {_sweep_sql('m', 'b', '(CASE WHEN inside[b] THEN -1e0 ELSE 1e0 END)', size)} AS m,
+                   [CASE WHEN j = b THEN NOT inside[j] ELSE inside[j] END FOR j IN range(1, {size})] AS inside, moves[b] AS crit
+            FROM (SELECT *, list_position(moves, list_min(moves)) AS b FROM walk_{tag}) AS w WHERE moves[b] < crit - 1e-9) AS x),
+    done_{tag} AS (SELECT * FROM walk_{tag} ORDER BY step DESC LIMIT 1)"""
+
+
+def _rounds_sql(search: bool, source: str = _REGRESSION_ROWS, rounds=dims.STEPWISE_ROUNDS, digits: int = 6) -> str:
+    """Coefficients, inflation factors (as logarithms) and fit quality of every round."""
+    ctes, parts = [], []
+    for i, predictors in enumerate(rounds):
+        size = len(predictors) + 1
+        ctes.append(_swept_sql(f"r{i}", predictors, source, search))
+        listed = ", ".join(f"'{p}'" for p in predictors)
+        parts.append(f"""
+            SELECT {i + 1} AS round, term, estimate, vif, n, n * (ln(2e0 * pi()) + 1e0) + crit + 2e0 AS aic, r2,
+                   1e0 - (1e0 - r2) * (n - 1) / (n - p - 1) AS adj_r2
+            FROM (
+                SELECT n, crit, p, 1e0 - m[{size}][{size}] AS r2, unnest(list_concat(['intercept'], [{listed}])) AS term,
+                       unnest(list_concat([true], inside)) AS used,
+                       unnest(list_concat(
+                           [mean[{size}] - list_sum([CASE WHEN inside[j] THEN m[j][{size}] * sd[{size}] / sd[j] * mean[j] ELSE 0e0 END FOR j IN range(1, {size})])],
+                           [m[j][{size}] * sd[{size}] / sd[j] FOR j IN range(1, {size})])) AS estimate,
+                       unnest(list_concat([NULL], [-m[j][j] FOR j IN range(1, {size})])) AS vif
+                FROM (SELECT *, len(list_filter(inside, lambda x: x)) AS p FROM done_r{i}) AS d) AS u
+            WHERE used""")
+    return f"""WITH RECURSIVE {', '.join(ctes)}
+        SELECT CAST(round AS INT) AS round, term, n, round(estimate, {digits}) + 0e0 AS estimate, round(ln(vif), {digits - 1}) + 0e0 AS ln_vif,
+               round(aic, 3) + 0e0 AS aic, round(r2, 6) + 0e0 AS r2, round(adj_r2, 6) + 0e0 AS adj_r2
+        FROM ({' UNION ALL '.join(parts)}) AS t"""
+
+
+def _model_table(b, models, digits: int = 6) -> DataFrame:
+    """One row per coefficient of (fit, inflation factors) pairs."""
     rows = []
-    for i, (model, factors, _) in enumerate(rounds):
+    for i, (model, factors) in enumerate(models):
         summary = (model.n, model.aic, model.r2, model.adjusted_r2)
         rows.append((i + 1, "intercept", model.intercept, None, *summary))
-        rows += [
-            (i + 1, p, s, factors[p], *summary) for p, s in zip(model.predictors, model.slopes, strict=True)
-        ]
+        rows += [(i + 1, p, s, factors[p], *summary) for p, s in zip(model.predictors, model.slopes, strict=True)]
     table = b.spark.createDataFrame(
         rows, "round int, term string, estimate double, vif double, n long, aic double, r2 double, adj_r2 double"
     )
-    return rounded(table, "round term n", estimate=6, vif=5, aic=3, r2=6, adj_r2=6)
+    table = table.withColumn("ln_vif", F.log("vif"))
+    return rounded(table, "round term n", estimate=digits, ln_vif=digits - 1, aic=3, r2=6, adj_r2=6)
+
+
+@query("stepwise_aic", _rounds_sql(search=True))
+def stepwise_aic(b):
+    """Four rounds of stepwise selection: coefficients, inflation factors, criterion, fit."""
+    rounds = training.stepwise_rounds(sink.materialize(table_of(b), "training"))
+    return _model_table(b, [(model, factors) for model, factors, _ in rounds])
+
+
+@query("ols_rounds", _rounds_sql(search=False, digits=4))
+def ols_rounds(b):
+    """The full models of the four rounds: multiple regression on 11, 9, 8 and 7 predictors."""
+    rows = sink.materialize(training.regression_rows(table_of(b)), "training")
+    models = []
+    for predictors in dims.STEPWISE_ROUNDS:
+        m = regression.factor(rows, "lnco2", predictors)
+        models.append((regression.fit(m, predictors), regression.inflation_factors(m, predictors)))
+    # The predictors of the test data are nearly collinear, and the check works on normal equations.
+    return _model_table(b, models, digits=4)
+
+
+_PLANTED_ROWS = """(SELECT quantity, discount, CAST(psize AS DOUBLE) AS psize, lat,
+    sin(row_id % 1000003) AS noise, cos(row_id % 999983) AS more, ln(co2_uatm) AS lnco2 FROM site_meas)"""
+_PLANTED_ROUNDS = (("quantity", "discount", "psize"), ("quantity", "noise", "more"), ("quantity", "discount", "psize", "lat", "noise", "more"))
+
+
+@query("stepwise_planted", _rounds_sql(search=True, source=_PLANTED_ROWS, rounds=_PLANTED_ROUNDS))
+def stepwise_planted(b):
+    """Stepwise selection on a response with a planted signal and predictors that are noise."""
+    rows = b.site_meas.select(
+        "quantity", "discount", F.col("psize").cast("double").alias("psize"), "lat", F.log("co2_uatm").alias("lnco2"),
+        F.sin(F.col("row_id") % 1000003).alias("noise"), F.cos(F.col("row_id") % 999983).alias("more"),
+    )
+    rows = sink.materialize(rows, "planted")
+    models = []
+    for predictors in _PLANTED_ROUNDS:
+        m = regression.factor(rows, "lnco2", predictors)
+        model, _ = regression.stepwise(m, predictors)
+        models.append((model, regression.inflation_factors(m, model.predictors)))
+    return _model_table(b, models)
+
+
+_LINE = validation.LINE_PREDICTORS
+_LINE_SIZE = len(_LINE) + 1
+_LINE_SLOPES = [f"m[{j + 1}][{_LINE_SIZE}] * sd[{_LINE_SIZE}] / sd[{j + 1}]" for j in range(len(_LINE))]
+_LINE_CTES = _swept_sql(
+    "line", _LINE, f"(SELECT * FROM {_REGRESSION_ROWS} AS q WHERE {_SPLIT} % 6553600 < 4915200)", search=False
+) + f""",
+    tested AS (
+        SELECT row_id, mon, lnco2, {', '.join(_LINE)}, pred_lm, pred_lm - lnco2 AS res_lm FROM (
+            SELECT q.*, mean[{_LINE_SIZE}] + {' + '.join(f'({b}) * ({c} - mean[{j + 1}])' for j, (c, b) in enumerate(zip(_LINE, _LINE_SLOPES)))} AS pred_lm
+            FROM {_REGRESSION_ROWS} AS q, done_line WHERE {_SPLIT} % 6553600 >= 4915200) AS p)"""
+
+
+@query("validation_linear", f"""WITH RECURSIVE {_LINE_CTES}
+    SELECT CASE WHEN grouping(mon) = 1 THEN 'all' ELSE mon END AS scope, count(*) AS n, count(pred_lm) AS n_lm,
+           round(regr_r2(lnco2, pred_lm), 6) + 0e0 AS r2_lm, round(regr_r2(exp(lnco2), exp(pred_lm)), 6) + 0e0 AS r2_exp_lm,
+           round(sqrt(sum((exp(pred_lm) - exp(lnco2)) * (exp(pred_lm) - exp(lnco2))) / 2e0 / count(*)), 4) + 0e0 AS rmse_lm,
+           round(avg(res_lm), 6) + 0e0 AS mean_lm, round(stddev_pop(res_lm), 6) + 0e0 AS sd_lm
+    FROM tested GROUP BY GROUPING SETS ((mon), ())""")
+def validation_linear(b):
+    """The line fitted on the training quarters, judged on the held-out one, per month and in all."""
+    rows = sink.materialize(training.regression_rows(table_of(b)), "training")
+    found = validation.predictions(validation.held_out(rows), validation.linear_model(rows), None, ["row_id", "mon", "lnco2"])
+    table = validation.accuracy(found, models=("lm",))
+    return rounded(table, "scope n n_lm", r2_lm=6, r2_exp_lm=6, rmse_lm=4, mean_lm=6, sd_lm=6)
+
+
+@query("model_validation")
+def model_validation(b):
+    """Line and forest side by side on the held-out quarter, per month and in all."""
+    rows = sink.materialize(training.regression_rows(table_of(b)), "training")
+    found = validation.predictions(validation.held_out(rows), validation.linear_model(rows), _fitted(rows), ["row_id", "mon", "lnco2"])
+    digits = {f"{c}_{m}": d for m in ("lm", "rf") for c, d in (("r2", 6), ("r2_exp", 6), ("rmse", 4), ("mean", 6), ("sd", 6))}
+    return rounded(validation.accuracy(found), "scope n n_lm n_rf", **digits)
+
+
+@query("validation_residuals", f"""WITH RECURSIVE {_LINE_CTES}
+    SELECT row_id, predictor, round(value, 6) + 0e0 AS value, round(res_lm, 6) + 0e0 AS res_lm FROM (
+        UNPIVOT (SELECT row_id, res_lm, {', '.join(_LINE)} FROM tested) ON {', '.join(_LINE)} INTO NAME predictor VALUE value) AS u
+    WHERE value IS NOT NULL AND res_lm IS NOT NULL""")
+def validation_residuals(b):
+    """Held-out residuals of the fitted line against each of its predictors, long."""
+    rows = sink.materialize(training.regression_rows(table_of(b)), "training")
+    found = validation.predictions(validation.held_out(rows), validation.linear_model(rows), None, ["row_id", *_LINE])
+    long = validation.residuals_against(found, "res_lm", ["row_id"], _LINE)
+    return rounded(long, "row_id predictor", value=6, res_lm=6)
 
 
 @query(

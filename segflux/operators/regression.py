@@ -1,33 +1,55 @@
-"""Least squares from one-pass moments: fits, stepwise selection, inflation factors.
+"""Least squares from mergeable QR factors: fits, stepwise selection, inflation factors.
 
-The only thing that leaves the executors is a matrix with one row and column per variable.
+Rows of (1, predictors, response) are factored block by block (tall and skinny); a task keeps one small
+triangular factor whatever number of rows it reads, and the factors of tasks are factored again.  Normal
+equations would square the condition number of the rows; a factor does not.  The only thing that leaves the
+executors is a triangle with one row and column per variable.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segflux.functions import nulls
+from segflux.shipping import ship_package
+from segflux.sources import sink
+
+ALIASED = 1e-7
+"""A predictor is aliased when less than this share of its length is left beside those before it."""
+MERGED = 256
+"""Factors one merging task takes; fewer than that go to the driver."""
 
 
 @dataclass
-class Moments:
-    """Counts, means and centred cross products of complete rows."""
+class Factor:
+    """Triangular factor of the complete rows of (1, predictors, response)."""
 
     names: tuple[str, ...]  # predictors, then the response
     n: int
-    means: np.ndarray
-    cross: np.ndarray  # n * covariance
+    r: np.ndarray
 
     def index(self, names: Sequence[str]) -> list[int]:
-        return [self.names.index(x) for x in names]
+        """Columns of the factor; column 0 is the constant."""
+        return [self.names.index(x) + 1 for x in names]
+
+    def centred(self) -> np.ndarray:
+        """Factor of the centred columns."""
+        return self.r[1:, 1:]
+
+    def scaled_products(self) -> tuple[np.ndarray, np.ndarray]:
+        """Correlations of all variables, and the length of each centred column."""
+        centred = self.centred()
+        length = np.linalg.norm(centred, axis=0)
+        unit = np.divide(centred, length, out=np.zeros_like(centred), where=length > 0)
+        return unit.T @ unit, length
 
 
 @dataclass
@@ -70,97 +92,157 @@ def complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.filter(reduce(lambda a, c: a & c, [nulls.is_finite(c) for c in columns]))
 
 
-def moments(df: DataFrame, response: str, predictors: Sequence[str]) -> Moments:
-    """All first and second moments of the complete rows in one aggregate without a shuffle key."""
+def triangle(rows: np.ndarray) -> np.ndarray:
+    """Upper triangular factor, padded to a square, with a diagonal that is not negative."""
+    width = rows.shape[1]
+    if len(rows) < width:
+        rows = np.concatenate((rows, np.zeros((width - len(rows), width))))
+    r = np.linalg.qr(rows, mode="r")
+    return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
+
+
+def factor(df: DataFrame, response: str, predictors: Sequence[str]) -> Factor:
+    """Factor of the complete rows: one pass without a shuffle, then the tasks' factors merged."""
+    ship_package(df.sparkSession)
     names = (*predictors, response)
-    rows = complete_cases(df.select(*[F.col(c).cast("double").alias(c) for c in names]), names)
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
-    row = rows.agg(
-        F.count("*").alias("n"),
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)],
-        *[F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs],
-    ).first()
-    n = row["n"]
-    if n == 0:
+    inputs = [f"x{i}" for i in range(len(names))]
+    rows = complete_cases(df.select(*[F.col(c).cast("double").alias(x) for c, x in zip(names, inputs)]), inputs)
+    width = len(names) + 1
+
+    def batch_rows(batch: pa.RecordBatch) -> np.ndarray:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        return np.stack([np.ones(batch.num_rows), *columns], axis=1)
+
+    def packed(n: int, r: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([r.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "r"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, r = 0, np.zeros((0, width))
+        for batch in batches:
+            if batch.num_rows:
+                n, r = n + batch.num_rows, triangle(np.concatenate((r, batch_rows(batch))))
+        if n:
+            yield packed(n, r)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, r = 0, np.zeros((0, width))
+        for batch in batches:
+            for more, flat in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n, r = n + more, triangle(np.concatenate((r, np.array(flat).reshape(width, width))))
+        if n:
+            yield packed(n, r)
+
+    schema = "n long, r array<double>"
+    found = sink.materialize(rows.mapInArrow(each, schema), "factors")
+    while (tasks := found.count()) > MERGED:
+        found = sink.materialize(found.repartition(-(-tasks // MERGED)).mapInArrow(merge, schema), "factors")
+    parts = found.collect()
+    if not parts:
         raise ValueError("no complete rows")
-    cross = np.zeros((len(names), len(names)))
-    for i, j in pairs:
-        cross[i, j] = cross[j, i] = row[f"c{i}_{j}"] * n
-    return Moments(names, n, np.array([row[f"m{i}"] for i in range(len(names))]), cross)
+    stacked = np.concatenate([np.array(p.r).reshape(width, width) for p in parts])
+    return Factor(names, sum(p.n for p in parts), triangle(stacked))
 
 
-def independent(m: Moments, predictors: Sequence[str], tolerance: float = 1e-10) -> list[str]:
+def independent(m: Factor, predictors: Sequence[str], tolerance: float = ALIASED) -> list[str]:
     """The predictors that are no linear combination of those before them (and not constant)."""
     kept: list[str] = []
+    basis = [m.r[:, 0] / m.r[0, 0]]
     for p in predictors:
-        own = float(m.cross[m.index([p])[0], m.index([p])[0]])
-        left = own
-        if kept:
-            x, (j,) = m.index(kept), m.index([p])
-            left = own - float(m.cross[j, x] @ np.linalg.solve(m.cross[np.ix_(x, x)], m.cross[x, j]))
-        if own > 0 and left > tolerance * own:
+        column = m.r[:, m.index([p])[0]]
+        left = column.copy()
+        for _ in range(2):  # the second pass removes what rounding left
+            for q in basis:
+                left = left - q * (q @ left)
+        size = float(np.linalg.norm(left))
+        if size > tolerance * float(np.linalg.norm(column)):
             kept.append(p)
+            basis.append(left / size)
     return kept
 
 
-def fit(m: Moments, predictors: Sequence[str]) -> Fit:
-    """Solve the normal equations of a subset of the predictors; aliased ones are set aside."""
+def fit(m: Factor, predictors: Sequence[str]) -> Fit:
+    """Least squares on a subset of the predictors; aliased ones are set aside."""
     predictors = independent(m, predictors)
-    x, y = m.index(predictors), len(m.names) - 1
-    tss = float(m.cross[y, y])
-    if x:
-        slopes = np.linalg.solve(m.cross[np.ix_(x, x)], m.cross[x, y])
-        rss = tss - float(slopes @ m.cross[x, y])
-    else:
-        slopes, rss = np.zeros(0), tss
-    intercept = float(m.means[y] - slopes @ m.means[x]) if x else float(m.means[y])
-    return Fit(m.names[y], tuple(predictors), intercept, tuple(map(float, slopes)), m.n, max(rss, 0.0), tss)
+    y = len(m.names)
+    small = triangle(m.r[:, [0, *m.index(predictors), y]])
+    coefficients = np.linalg.solve(small[:-1, :-1], small[:-1, -1])
+    tss = float(m.centred()[:, -1] @ m.centred()[:, -1])
+    rss = min(float(small[-1, -1] ** 2), tss)
+    return Fit(m.names[-1], tuple(predictors), float(coefficients[0]), tuple(map(float, coefficients[1:])), m.n, rss, tss)
+
+
+def sweep(a: np.ndarray, k: int, back: bool = False) -> np.ndarray:
+    """Sweep operator on pivot k of a symmetric matrix; ``back`` takes a swept pivot out again.
+
+    Sweeping the correlations on some predictors leaves their standardised slopes in the response's column,
+    the residual share of the response's variance in its corner and minus the inflation factors on
+    the diagonal.
+    """
+    pivot = a[k, k]
+    out = a - np.outer(a[:, k], a[k, :]) / pivot
+    sign = -1.0 if back else 1.0
+    out[:, k], out[k, :] = sign * a[:, k] / pivot, sign * a[k, :] / pivot
+    out[k, k] = -1.0 / pivot
+    return out
 
 
 def stepwise(
-    m: Moments, start: Sequence[str], lower: Sequence[str] = (), direction: str = "both"
+    m: Factor, start: Sequence[str], lower: Sequence[str] = (), direction: str = "both"
 ) -> tuple[Fit, list[tuple[str, float]]]:
-    """Search by the step criterion between ``lower`` and all predictors of the moments.
+    """Search by the step criterion between ``lower`` and all predictors of the factor.
 
-    Returns the chosen fit and the steps taken.  Every candidate is a sub-block of the same
-    matrix, so the search runs no further job.
+    Returns the chosen fit and the steps taken.  The search lives on one swept matrix: its pivots tell what
+    every single move would cost, so a step is one more sweep and runs no further job.
     """
     if direction not in ("both", "backward", "forward"):
         raise ValueError(f"unknown direction {direction!r}")
     upper = m.names[:-1]
-    current = fit(m, [p for p in upper if p in set(start)])
-    steps = [("<start>", current.step_criterion)]
+    a, length = m.scaled_products()
+    total = float(length[-1] ** 2)
+    inside: set[str] = set()
+
+    def criterion(share: float, size: int) -> float:
+        rss = max(share, 0.0) * total
+        return m.n * math.log(rss / m.n) + 2 * (size + 1) if rss > 0 else -math.inf
+
+    for p in independent(m, [p for p in upper if p in set(start)]):
+        a = sweep(a, upper.index(p))
+        inside.add(p)
+    current = criterion(float(a[-1, -1]), len(inside))
+    steps = [("<start>", current)]
     while True:
         moves = []
-        if direction != "forward":
-            for p in current.predictors:
-                if p not in lower:
-                    moves.append((f"- {p}", [q for q in current.predictors if q != p]))
-        if direction != "backward":
-            for p in upper:
-                if p not in current.predictors:
-                    moves.append((f"+ {p}", [q for q in upper if q in current.predictors or q == p]))
-        tried = [(fit(m, subset), label) for label, subset in moves]
-        best = min(tried, key=lambda t: t[0].step_criterion, default=None)
-        if best is None or best[0].step_criterion >= current.step_criterion - 1e-9:
-            return current, steps
-        current = best[0]
-        steps.append((best[1], current.step_criterion))
-
-
-def inflation_factors(m: Moments, predictors: Sequence[str]) -> dict[str, float]:
-    """Variance inflation: diagonal of the inverse correlation matrix of the predictors.
+        for i, p in enumerate(upper):
+            if p in inside:
+                allowed = direction != "forward" and p not in lower
+            else:
+                # What is left of the predictor beside those inside; squared, as the matrix holds squares.
+                allowed = direction != "backward" and a[i, i] > ALIASED**2
+            if allowed:
+                share = float(a[-1, -1] - a[i, -1] ** 2 / a[i, i])
+                moves.append((criterion(share, len(inside) + (-1 if p in inside else 1)), i, p))
+        best = min(moves, default=None)
+        if best is None or best[0] >= current - 1e-9:
+            return fit(m, [p for p in upper if p in inside]), steps
+        current, i, p = best
+        a = sweep(a, i, back=p in inside)
+        steps.append((f"- {p}" if p in inside else f"+ {p}", current))
+        inside ^= {p}
+
+
+def inflation_factors(m: Factor, predictors: Sequence[str]) -> dict[str, float]:
+    """Variance inflation: squared length of a centred predictor over what the others leave of it.
 
     An aliased predictor is reported as NaN and left out of the others' factors.
     """
     known = independent(m, predictors)
-    if len(known) < len(predictors):
-        return {p: float("nan") for p in predictors} | (inflation_factors(m, known) if known else {})
-    x = m.index(predictors)
-    block = m.cross[np.ix_(x, x)]
-    scale = np.sqrt(np.diag(block))
-    inverse = np.linalg.inv(block / np.outer(scale, scale))
-    return dict(zip(predictors, map(float, np.diag(inverse)), strict=True))
+    out = {p: float("nan") for p in predictors}
+    for p in known:
+        # The last pivot of a factor is what all columns before it leave of the last one.
+        at = [0, *m.index([q for q in known if q != p]), *m.index([p])]
+        own = m.r[1:, m.index([p])[0]]
+        out[p] = float(own @ own) / float(triangle(m.r[:, at])[-1, -1] ** 2)
+    return out
 
 
 def with_prediction(df: DataFrame, model: Fit, prediction: str, residual: str | None = None) -> DataFrame:

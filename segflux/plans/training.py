@@ -160,7 +160,7 @@ def stepwise_rounds(table: DataFrame, rounds: Sequence[Sequence[str]] = dims.STE
     rows = regression_rows(table)
     out = []
     for predictors in rounds:
-        m = regression.moments(rows, "lnco2", predictors)
+        m = regression.factor(rows, "lnco2", predictors)
         model, steps = regression.stepwise(m, predictors, direction=direction)
         out.append((model, regression.inflation_factors(m, model.predictors), steps))
     return out

@@ -24,7 +24,7 @@ def planted(spark):
 def test_multiple_regression_matches_least_squares(planted):
     df, x, y = planted
     names = ("a", "b", "c", "noise")
-    model = regression.fit(regression.moments(df, "y", names), names)
+    model = regression.fit(regression.factor(df, "y", names), names)
     want, rss, *_ = np.linalg.lstsq(np.c_[np.ones(len(y)), x], y, rcond=None)
     assert model.n == len(y)
     assert (model.intercept, *model.slopes) == pytest.approx(tuple(want))
@@ -38,7 +38,7 @@ def test_multiple_regression_matches_least_squares(planted):
 def test_stepwise_equals_best_subset_and_drops_noise(planted, direction):
     df, x, y = planted
     names = ("a", "b", "c", "noise")
-    m = regression.moments(df, "y", names)
+    m = regression.factor(df, "y", names)
     model, steps = regression.stepwise(m, names, direction=direction)
 
     def criterion(subset):
@@ -58,11 +58,58 @@ def test_stepwise_equals_best_subset_and_drops_noise(planted, direction):
 def test_inflation_factors(planted):
     df, x, _ = planted
     names = ("a", "b", "c", "noise")
-    got = regression.inflation_factors(regression.moments(df, "y", names), names)
+    got = regression.inflation_factors(regression.factor(df, "y", names), names)
     want = np.diag(np.linalg.inv(np.corrcoef(x.T)))
     assert [got[n] for n in names] == pytest.approx(list(want))
 
 
+def test_factor_equals_a_dense_one_also_when_predictors_are_nearly_collinear(spark):
+    """13 predictors, two of them alike to 1e-6; the condition number is beyond what normal equations stand."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2500, 13)) * np.logspace(-3, 3, 13)
+    x[:, 12] = x[:, 0] * 1e6 + rng.normal(size=2500) * 1e-6 * np.abs(x[:, 0]).max() * 1e6
+    y = x @ np.linspace(1, 2, 13) + rng.normal(size=2500)
+    names = tuple(f"p{i}" for i in range(13))
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], ", ".join(f"{n} double" for n in (*names, "y")))
+    m = regression.factor(df.repartition(9), "y", names)
+    design = np.c_[np.ones(len(y)), x]
+    want = regression.triangle(np.c_[design, y])
+    assert m.n == 2500 and np.abs(m.r - want).max() < 1e-8 * np.abs(want).max()
+    model = regression.fit(m, names)
+    q, r = np.linalg.qr(design)
+    dense = np.linalg.solve(r, q.T @ y)
+    assert model.predictors == names
+    assert np.array([model.intercept, *model.slopes]) == pytest.approx(dense, rel=1e-8, abs=1e-8)
+    factors = regression.inflation_factors(m, names)
+    assert factors["p0"] > 1e10
+    for j in (0, 5, 12):
+        others = np.c_[np.ones(len(y)), np.delete(x, j, 1)]
+        left = x[:, j] - others @ np.linalg.lstsq(others, x[:, j], rcond=None)[0]
+        assert factors[names[j]] == pytest.approx(np.var(x[:, j]) * len(y) / float(left @ left), rel=1e-4)
+
+
+def test_one_small_factor_per_task_whatever_the_rows(spark, monkeypatch):
+    """Many tasks: their factors are merged in levels, and few reach the driver."""
+    monkeypatch.setattr(regression, "MERGED", 4)
+    df = spark.range(3000).selectExpr("double(id % 37) AS a", "double(id % 11) AS b", "double(id % 37) * 2 - id % 11 + 3 AS y")
+    m = regression.factor(df.repartition(30), "y", ("a", "b"))
+    model = regression.fit(m, ("a", "b"))
+    assert m.n == 3000 and (model.intercept, *model.slopes) == pytest.approx((3.0, 2.0, -1.0))
+    with pytest.raises(ValueError):
+        regression.factor(df.limit(0), "y", ("a", "b"))
+
+
+def test_sweeping_in_and_out_again():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 4))
+    a = np.corrcoef(x.T)
+    once = regression.sweep(regression.sweep(a, 0), 2)
+    slopes = np.linalg.solve(a[np.ix_([0, 2], [0, 2])], a[[0, 2], 3])
+    assert once[[0, 2], 3] == pytest.approx(slopes)
+    assert once[3, 3] == pytest.approx(1 - slopes @ a[[0, 2], 3])
+    assert regression.sweep(regression.sweep(once, 2, back=True), 0, back=True) == pytest.approx(a)
+
+
 def test_split_and_folds_are_balanced_and_repeatable(spark):
     df = spark.range(200_000).withColumn("big", F.col("id") + F.lit(9_000_000_000_000_000))
     for key in ("id", "big"):
@@ -88,7 +135,7 @@ def test_forest_beats_line_and_ranks_predictors(wavy):
     train = forest.is_training(F.col("id"))
     model = forest.train(wavy.filter(train), "y", names, trees=30, importance=True)
     scored = forest.score(model, wavy.filter(~train), names, ["id", "y"])
-    line = regression.fit(regression.moments(wavy.filter(train), "y", names), names)
+    line = regression.fit(regression.factor(wavy.filter(train), "y", names), names)
     r2 = scored.agg(F.regr_r2("y", "prediction")).first()[0]
     linear = regression.with_prediction(wavy.filter(~train), line, "p").agg(F.regr_r2("y", "p")).first()[0]
     assert r2 > 0.8 > linear
@@ -273,7 +320,7 @@ def test_aliased_predictors_are_set_aside(spark):
     rows = [(float(x), float(z), float(x + 2 * z), 1.0, float(3 * x - z)) for x, z in zip(a, b)]
     df = spark.createDataFrame(rows, "a double, b double, both double, same double, y double")
     names = ("a", "b", "both", "same")
-    m = regression.moments(df, "y", names)
+    m = regression.factor(df, "y", names)
     model = regression.fit(m, names)
     assert model.predictors == ("a", "b") and model.slopes == pytest.approx((3.0, -1.0))
     factors = regression.inflation_factors(m, names)

@@ -13,7 +13,7 @@ import check  # noqa: E402
 
 from segflux.catalog import ORACLES, QUERIES  # noqa: E402
 
-ROWS_ONLY = {"stepwise_aic", "rf_train_predict", "rf_importance", "cv_summary", "score_reaches"}
+ROWS_ONLY = {"model_validation", "rf_train_predict", "rf_importance", "cv_summary", "score_reaches"}
 
 
 @pytest.fixture(scope="module")
