@@ -12,7 +12,8 @@ and the first of them is the node's own centre; every level divides the radius b
 the radius that really covers its rows, and its label when they all have the same.  Nodes of up to
 ``LEAF_ROWS`` rows, or of equal vectors, are leaves.
 
-An anchor descends best first: nodes by their upper bound, leaves verified by exact integer products.
+An anchor descends best first: nodes by their upper bound, leaves verified by exact integer products, some of
+a node's leaves at a time, again in the order of their bounds.
 
 1. Positives: rows of the anchor's label.  The walk ends when no node left can beat the k-th best row.
 2. Negatives: every positive opens a window of scores, from 80 to 100 percent of its own.  A node is skipped
@@ -53,6 +54,8 @@ ROUTES = 1024
 """Routing vectors at most; shards are split further by part numbers."""
 ROOTS, OUT_ROWS = 8192, 8192
 LEAF_ROWS, BASE = 48, 1.5
+VERIFIED = 2048
+"""Rows of a node's leaves that are verified between two looks at the bounds (or one leaf)."""
 EXACT = float(1 << 52)
 NO_ID = np.iinfo(np.int64).max
 MIXED = np.iinfo(np.int64).min
@@ -172,6 +175,7 @@ class Shard:
         order = np.argsort(parent, kind="stable")
         edges = np.searchsorted(parent[order], np.arange(len(parent) + 1))
         self.children = [order[a:b] for a, b in zip(edges, edges[1:])]
+        self.leaf = edges[1:] == edges[:-1]
 
     @classmethod
     def build(cls, ids, rows, labels, vectors, most: float) -> Shard:
@@ -183,40 +187,67 @@ class Shard:
     def bounds(self, query: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return product_bounds(query @ query, self.most, self.centres[nodes, :-1] @ query, self.radius[nodes])
 
-    def _leaf(self, node: int, vector: np.ndarray, keep) -> tuple[np.ndarray, np.ndarray]:
-        at = np.arange(self.begin[node], self.end[node])
-        at = at[keep(at)]
-        return at, products(self.vectors[at], vector)
+    def _rows(self, leaves: np.ndarray) -> np.ndarray:
+        """Positions of the rows of some leaves."""
+        sizes = self.end[leaves] - self.begin[leaves]
+        ends = np.cumsum(sizes)
+        return np.repeat(self.begin[leaves] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+    def _walk(self, query: np.ndarray, wanted, bar, visit) -> None:
+        """Best first: nodes by upper bound; a node's leaves wait as one group and are verified bound by bound.
+
+        ``wanted(low, high, label)`` tells which nodes can still hold a row that is asked for, ``bar()`` the
+        score below which nothing is, ``visit(positions)`` verifies rows.
+        """
+        heap: list[tuple] = []
+
+        def offer(nodes: np.ndarray) -> None:
+            low, high = self.bounds(query, nodes)
+            good = wanted(low, high, self.label[nodes])
+            nodes, low, high = nodes[good], low[good], high[good]
+            leaf = self.leaf[nodes]
+            for node, bound in zip(nodes[~leaf].tolist(), high[~leaf].tolist()):
+                heapq.heappush(heap, (-bound, node, None))
+            if leaf.any():
+                order = np.argsort(-high[leaf], kind="stable")
+                group = tuple(x[leaf][order] for x in (nodes, low, high))
+                heapq.heappush(heap, (-float(group[2][0]), int(group[0][0]), group))
+
+        if len(self.ids):
+            offer(np.zeros(1, dtype=np.int64))
+        while heap:
+            bound, node, group = heapq.heappop(heap)
+            if -bound < bar():
+                return
+            if group is None:
+                offer(self.children[node])
+                continue
+            nodes, low, high = group
+            good = wanted(low, high, self.label[nodes])
+            nodes, low, high = nodes[good], low[good], high[good]
+            take = max(1, int(np.searchsorted(np.cumsum(self.end[nodes] - self.begin[nodes]), VERIFIED, side="right")))
+            if len(nodes):
+                visit(self._rows(nodes[:take]))
+            if len(nodes) > take:
+                rest = nodes[take:], low[take:], high[take:]
+                heapq.heappush(heap, (-float(rest[2][0]), int(rest[0][0]), rest))
 
     def positives(self, vector: np.ndarray, label: int, own_row: int, k: int, floor: int | None) -> list[tuple[int, int, int]]:
         """The best k rows of the label: (-score, id, position).  Rows below ``floor`` need not be found."""
         best: list[tuple[int, int, int]] = []
-        query = vector.astype(np.float64)
         beat = -np.inf if floor is None else float(floor)
-        if not len(self.ids):
-            return best
 
-        def keep(at):
-            return (self.labels[at] == label) & (self.rows[at] != own_row)
+        def wanted(low, high, labels):
+            return (high >= beat) & ((labels == MIXED) | (labels == label))
 
-        _, high = self.bounds(query, np.zeros(1, dtype=np.int64))
-        heap = [(-float(high[0]), 0)]
-        while heap:
-            bound, node = heapq.heappop(heap)
-            if -bound < beat:
-                break
-            children = self.children[node]
-            if not len(children):
-                at, score = self._leaf(node, vector, keep)
-                best = self._merge(best, at, score, k)
-                if len(best) == k:
-                    beat = max(beat, -best[-1][0])
-                continue
-            children = children[(self.label[children] == MIXED) | (self.label[children] == label)]
-            _, high = self.bounds(query, children)
-            for h, c in zip(high.tolist(), children.tolist()):
-                if h >= beat:
-                    heapq.heappush(heap, (-h, c))
+        def visit(at):
+            nonlocal best, beat
+            at = at[(self.labels[at] == label) & (self.rows[at] != own_row)]
+            best = self._merge(best, at, products(self.vectors[at], vector), k)
+            if len(best) == k:
+                beat = max(beat, -best[-1][0])
+
+        self._walk(vector.astype(np.float64), wanted, lambda: beat, visit)
         return best
 
     def _merge(self, best: list[tuple[int, int, int]], at: np.ndarray, score: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -226,6 +257,8 @@ class Shard:
         if not len(at):
             return best
         if len(at) > k:
+            good = score >= np.partition(score, len(score) - k)[len(score) - k]
+            at, score = at[good], score[good]
             first = np.lexsort((self.ids[at], -score))[:k]
             at, score = at[first], score[first]
         return sorted(best + list(zip((-score).tolist(), self.ids[at].tolist(), at.tolist())))[:k]
@@ -235,42 +268,25 @@ class Shard:
     ) -> list[list[tuple[int, int, int]]]:
         """For each window low..high of scores the best k rows of other labels: (-score, id, position)."""
         best: list[list[tuple[int, int, int]]] = [[] for _ in low]
-        query = vector.astype(np.float64)
-        if not len(self.ids):
-            return best
-        lows, highs = np.array(low, dtype=np.int64), np.array(high, dtype=np.int64)
-        beat = lows.astype(np.float64)  # what a row of the window has to reach
-
-        def reached(low_bound, high_bound):
-            """Nodes whose bounds meet a window at or above what it still asks for."""
-            return ((high_bound[:, None] >= beat) & (low_bound[:, None] <= highs)).any(axis=1)
-
-        def keep(at):
-            return self.labels[at] != label
-
-        low_b, high_b = self.bounds(query, np.zeros(1, dtype=np.int64))
-        heap = [(-float(high_b[0]), 0, float(low_b[0]))] if reached(low_b, high_b)[0] and self.label[0] != label else []
-        while heap:
-            bound, node, low_bound = heapq.heappop(heap)
-            if -bound < beat.min():
-                break
-            if not ((-bound >= beat) & (low_bound <= highs)).any():
-                continue
-            children = self.children[node]
-            if not len(children):
-                at, score = self._leaf(node, vector, keep)
-                for w in range(len(best)):
-                    inside = (score >= lows[w]) & (score <= highs[w])
-                    if inside.any():
-                        best[w] = self._merge(best[w], at[inside], score[inside], k)
-                        if len(best[w]) == k:
-                            beat[w] = -best[w][-1][0]
-                continue
-            children = children[self.label[children] != label]
-            low_b, high_b = self.bounds(query, children)
-            for c, lo, hi, ok in zip(children.tolist(), low_b.tolist(), high_b.tolist(), reached(low_b, high_b).tolist()):
-                if ok:
-                    heapq.heappush(heap, (-hi, c, lo))
+        highs = np.array(high, dtype=np.int64)
+        beat = np.array(low, dtype=np.float64)  # what a row of the window has to reach
+
+        def wanted(low, high, labels):
+            meets = ((high[:, None] >= beat) & (low[:, None] <= highs)).any(axis=1)
+            return meets & (labels != label)
+
+        def visit(at):
+            score = products(self.vectors[at], vector)
+            keep = (score >= beat.min()) & (score <= highs.max()) & (self.labels[at] != label)
+            at, score = at[keep], score[keep]
+            for w in range(len(best) if len(at) else 0):
+                inside = (score >= beat[w]) & (score <= highs[w])
+                if inside.any():
+                    best[w] = self._merge(best[w], at[inside], score[inside], k)
+                    if len(best[w]) == k:
+                        beat[w] = max(beat[w], -best[w][-1][0])
+
+        self._walk(vector.astype(np.float64), wanted, lambda: beat.min(), visit)
         return best
 
 

@@ -64,6 +64,7 @@ def test_clusters_ties_and_a_very_common_vector(spark, monkeypatch, limits):
     if limits:
         monkeypatch.setattr(cover_tree, "ROOTS", 5)
         monkeypatch.setattr(cover_tree, "LEAF_ROWS", 3)
+        monkeypatch.setattr(cover_tree, "VERIFIED", 6)
         monkeypatch.setattr(cover_tree, "OUT_ROWS", 4)
     rng = np.random.default_rng(4)
     common = [0.25] * 8
@@ -121,11 +122,17 @@ def test_walks_skip_nodes(monkeypatch):
     most = float((vectors**2).sum(axis=1).max())
     shard = cover_tree.Shard.build(np.arange(4000), np.arange(4000), labels, vectors, most)
     seen = []
-    leaf = cover_tree.Shard._leaf
-    monkeypatch.setattr(cover_tree.Shard, "_leaf", lambda self, node, v, keep: seen.append(self.end[node] - self.begin[node]) or leaf(self, node, v, keep))
+    rows = cover_tree.Shard._rows
+    monkeypatch.setattr(cover_tree, "VERIFIED", 64)
+    monkeypatch.setattr(cover_tree.Shard, "_rows", lambda self, leaves: seen.append(rows(self, leaves)) or seen[-1])
     at = int(np.flatnonzero(shard.rows == 0)[0])
     best = shard.positives(shard.vectors[at], int(shard.labels[at]), 0, 5, None)
     full = shard.vectors @ shard.vectors[at]
     same = [i for i in np.lexsort((shard.ids, -full)) if shard.labels[i] == shard.labels[at] and i != at][:5]
     assert [p for _, _, p in best] == [int(i) for i in same]
-    assert sum(seen) < 1000
+    assert sum(map(len, seen)) < 1000
+    seen.clear()
+    high = int(full[same[0]])
+    found, = shard.windows(shard.vectors[at], int(shard.labels[at]), [high * 8 // 10], [high], 5)
+    other = [i for i in np.lexsort((shard.ids, -full)) if shard.labels[i] != shard.labels[at] and high * 8 // 10 <= full[i] <= high][:5]
+    assert [p for _, _, p in found] == [int(i) for i in other] and sum(map(len, seen)) < 1000
