@@ -34,9 +34,10 @@ def transfer_velocity(slope: Column, q: Column, air_temperature: Column, min_slo
 def gas_transfer_by_reach(inputs: NetworkInputs, options: NetworkOptions | None = None) -> DataFrame:
     """Gas transfer velocity per segment and month (long; pivot with ``sink.wide_months``)."""
     options = options or NetworkOptions()
-    check(inputs, options, "air_temp")
+    check(inputs, options, "discharge", "air_temp")
+    flow = ingest.discharge_by_segment(inputs.discharge, {})
     return (
-        with_discharge(inputs.reach, inputs.discharge)
+        by_month(inputs.reach.select("region", "comid", "slope").join(_monthly(flow), "comid", "left"))
         .join(_monthly(inputs.air_temp), ["comid", "month"], "left")
         .select(
             "region",
@@ -47,10 +48,10 @@ def gas_transfer_by_reach(inputs: NetworkInputs, options: NetworkOptions | None
     )
 
 
-def with_discharge(reach: DataFrame, discharge: DataFrame) -> DataFrame:
-    """Every segment in every month with its discharge, which is NULL where none is given."""
-    months = reach.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
-    return months.join(_monthly(ingest.monthly_statistic(discharge)), ["comid", "month"], "left")
+def by_month(reach: DataFrame) -> DataFrame:
+    """Every segment in every month; its discharge array ``q`` becomes the month's value or NULL."""
+    rows = reach.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    return rows.withColumn("q", F.element_at("q", F.col("month")))
 
 
 def basin_classes(inputs: NetworkInputs) -> DataFrame:
@@ -67,18 +68,18 @@ def basin_classes(inputs: NetworkInputs) -> DataFrame:
 
 
 def assemble_reaches(inputs: NetworkInputs, options: NetworkOptions | None = None) -> DataFrame:
-    """Static part of the segment table: classes, annual width, width exponent and coefficient.
+    """Static part of the segment table: classes, discharge, annual width, width exponent and coefficient.
 
     Only segments with a basin and a flow regime stay.  The joined table is written once because
     the exact quantiles scan its columns several times.
     """
     options = options or NetworkOptions()
-    check(inputs, options, "uparea", "reach_basin", "basin_hemis", "basin_runoff", "basin_regime")
-    annual = ingest.annual_statistics(inputs.discharge, {"Qmean": "q_year", "Qstd": "q_std"})
+    check(inputs, options, "discharge", "uparea", "reach_basin", "basin_hemis", "basin_runoff", "basin_regime")
+    flow = ingest.discharge_by_segment(inputs.discharge, {"Qmean": "q_year", "Qstd": "q_std"})
     placed = inputs.reach_basin.filter(
         F.col("hybas_id").isNotNull() & ~nulls.in_list("hybas_id", options.no_basin)
     )
-    reach = lookup(inputs.reach, annual, "comid")
+    reach = lookup(inputs.reach, _monthly(flow), "comid")
     reach = lookup(reach, inputs.uparea, "comid")
     # Written first: a scan on this side is broadcast by its true size, or else lets adaptive
     # execution split a basin that holds a large share of the segments.
@@ -112,6 +113,7 @@ def assemble_reach_months(
     """Segment-month table: width, dry share, gas exchange and concentration.
 
     All joins are on the segment key (and month), so one hash partitioning serves the chain.
+    The twelve discharges of a segment come with ``reaches``, so the months need no join of their own.
     Without a ready-made exchange table, k is computed here from the same discharge and
     temperature rows instead of being joined back.
     """
@@ -119,7 +121,7 @@ def assemble_reach_months(
     reach = assemble_reaches(inputs, options) if reaches is None else reaches
     check(inputs, options, "air_temp", "reach_pco2", "reach_k")
     table = (
-        with_discharge(reach, inputs.discharge)
+        by_month(reach)
         .join(_monthly(inputs.air_temp), ["comid", "month"], "left")
         .join(_monthly(inputs.reach_pco2), ["comid", "month"], "left")
     )

@@ -73,6 +73,27 @@ def annual_statistics(discharge: DataFrame, stats: dict[str, str]) -> DataFrame:
     )
 
 
+def discharge_by_segment(discharge: DataFrame, annual: dict[str, str], monthly: str = "Qmean") -> DataFrame:
+    """All discharge a plan needs, one row per segment: annual columns and ``q``, an array of twelve months.
+
+    One scan and one shuffle on the segment key, combined on the map side; months without a value are NULL.
+    """
+    value, month, stat = hydraulics.discharge_floor(F.col("value")), F.col("month"), F.col("stat")
+    for name in (monthly, *annual):
+        _check_stat(name)
+    used = (stat == monthly) & month.between(1, 12)
+    if annual:
+        used = used | ((month == 0) & stat.isin(list(annual)))
+    return (
+        discharge.filter(used)
+        .groupBy("comid")
+        .agg(
+            *[F.max(F.when((month == 0) & (stat == s), value)).alias(c) for s, c in annual.items()],
+            F.array(*[F.max(F.when((month == m) & (stat == monthly), value)) for m in range(1, 13)]).alias("q"),
+        )
+    )
+
+
 def _check_stat(stat: str) -> None:
     if stat not in DISCHARGE_STATS:
         raise ValueError(f"unknown discharge statistic {stat!r}")
