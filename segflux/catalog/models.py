@@ -421,3 +421,17 @@ def score_reaches(b):
     """Concentration of every segment and month from the forest on all 15 predictors."""
     scored = _scored_reaches(b, _fitted(_forest_rows(b)))
     return rounded(scored.withColumn("pco2", F.exp("ln_pco2")), "comid month", pco2=4)
+
+
+@query(
+    "score_reaches_rows",
+    """SELECT r.comid, m.month, true AS in_range
+       FROM reach r JOIN reach_basin USING (comid) JOIN basin USING (hybas_id) JOIN uparea_table u USING (comid) CROSS JOIN months m
+       WHERE r.slope > 0 AND u.uparea > 0""",
+)
+def score_reaches_rows(b):
+    """Which segments and months are scored, and whether every score lies in the range of the responses."""
+    rows = _forest_rows(b)
+    low, high = rows.agg(F.min("lnco2"), F.max("lnco2")).first()
+    scored = _scored_reaches(b, _fitted(rows))
+    return scored.select("comid", "month", F.col("ln_pco2").between(low, high).alias("in_range"))

@@ -30,7 +30,7 @@ from segflux.plans import training
 )
 def histogram_by_group(b):
     """50 bins over each predictor's own range."""
-    table = distribution.histogram_by_group(training.histogram_values(table_of(b)), ["predictor"], "value", 50)
+    table = training.predictor_histograms(table_of(b), 50)
     return rounded(table, "predictor bin n", low=7, high=7)
 
 
@@ -86,17 +86,9 @@ def normal_density_grid(b):
     "kde_by_group",
     """WITH kde_binned AS (SELECT lat_band, month, (floor(co2n / 0.01e0) + 0.5e0) * 0.01e0 AS c, count(*) AS w
                     FROM cycle_modelled WHERE co2n IS NOT NULL GROUP BY ALL),
-         kde_ranked AS (SELECT *, sum(w) OVER (PARTITION BY lat_band, month ORDER BY c) AS upto,
-                           sum(w) OVER (PARTITION BY lat_band, month) AS n FROM kde_binned),
-         kde_moments AS (SELECT lat_band, month, CAST(sum(w) AS BIGINT) AS n, sum(w * c) / sum(w) AS mean,
-                       min(c) FILTER (WHERE upto > floor((n - 1) * 0.25e0)) AS q1a, min(c) FILTER (WHERE upto > ceil((n - 1) * 0.25e0)) AS q1b,
-                       min(c) FILTER (WHERE upto > floor((n - 1) * 0.75e0)) AS q3a, min(c) FILTER (WHERE upto > ceil((n - 1) * 0.75e0)) AS q3b,
-                       max((n - 1) * 0.25e0 - floor((n - 1) * 0.25e0)) AS f1, max((n - 1) * 0.75e0 - floor((n - 1) * 0.75e0)) AS f3
-                FROM kde_ranked GROUP BY lat_band, month),
-         kde_width AS (SELECT m.lat_band, m.month, m.n, any_value(q3a + (q3b - q3a) * f3 - q1a - (q1b - q1a) * f1) AS iqr,
-                          CASE WHEN m.n > 1 THEN sqrt(sum(w * (c - mean) * (c - mean)) / (m.n - 1e0)) END AS sd
-                   FROM kde_moments m JOIN kde_binned b ON b.month = m.month AND b.lat_band IS NOT DISTINCT FROM m.lat_band
-                   GROUP BY m.lat_band, m.month, m.n),
+         kde_width AS (SELECT lat_band, month, count(*) AS n, quantile_cont(co2n, 0.75) - quantile_cont(co2n, 0.25) AS iqr,
+                          CASE WHEN count(*) > 1 THEN stddev_samp(co2n) END AS sd
+                   FROM cycle_modelled WHERE co2n IS NOT NULL GROUP BY lat_band, month),
          kde_bw AS (SELECT lat_band, month, n, 0.9e0 * CASE WHEN iqr > 0 THEN least(sd, iqr / 1.34e0) ELSE sd END * pow(CAST(n AS DOUBLE), -0.2e0) AS bw FROM kde_width)
        SELECT b.lat_band, b.month, CAST(g AS INT) AS point, round(g * 0.05e0, 6) + 0e0 AS x, round(bw, 6) + 0e0 AS bw,
               round(sum(w * exp(-0.5e0 * ((g * 0.05e0 - c) / nullif(bw, 0e0)) * ((g * 0.05e0 - c) / nullif(bw, 0e0))) / (nullif(bw, 0e0) * sqrt(2e0 * pi()))) / h.n, 6) + 0e0 AS density

@@ -42,13 +42,8 @@ def subset_quantiles(b):
     """Spread of the yearly mean concentration over the segments of listed basins."""
     from segflux.plans import reaches
 
-    i = inputs_of(b)
-    reach = reaches.assemble_reaches(i, OPTIONS).filter(nulls.in_list("hybas_id", LISTED_BASINS))
-    means = reach.join(i.reach_pco2, "comid").groupBy("comid").agg(F.avg("pco2").alias("m"))
-    q = quantiles.exact_quantiles(means, "m", [0.05, 0.95])
-    return b.spark.range(1).select(
-        F.round(F.lit(q[0.05]), 6).alias("q05"), F.round(F.lit(q[0.95]), 6).alias("q95")
-    )
+    table = reaches.listed_concentration_quantiles(inputs_of(b), OPTIONS, LISTED_BASINS)
+    return table.agg(*[F.round(F.max(F.when(F.col("p") == p, F.col("value"))), 6).alias(n) for p, n in ((0.05, "q05"), (0.95, "q95"))])
 
 
 @query(

@@ -9,12 +9,13 @@ size ends up as a few hundred rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segflux.functions import nulls
+from segflux.operators import quantiles
 from segflux.operators.joins import attach_stats
 
 EDGE_FUZZ = 1e-8  # of a bin width
@@ -40,6 +41,32 @@ def histogram_by_group(df: DataFrame, keys: Sequence[str], value: str, bins: int
     )
 
 
+def histogram_columns(
+    df: DataFrame, columns: Mapping[str, Column | None], bins: int = 50, name: str = "column"
+) -> DataFrame:
+    """Equal-width bins over each column's own range, for many columns at once: (name, bin, low, high, n).
+
+    ``columns`` gives the rows a column takes part with (None: all).  All ranges come from one aggregate; with
+    them as literals the bins of a row are plain expressions, and the rows are expanded a single time.
+    """
+    kept = {c: F.when(nulls.is_finite(c) & (F.lit(True) if where is None else where), F.col(c).cast("double")) for c, where in columns.items()}
+    ends = [f(x).alias(f"{side}{i}") for i, x in enumerate(kept.values()) for f, side in ((F.min, "low"), (F.max, "high"))]
+    row = df.agg(*ends).first()
+    cells = []
+    for i, (c, x) in enumerate(kept.items()):
+        low, high = row[f"low{i}"], row[f"high{i}"]
+        if low is None:
+            continue
+        width = (high - low) / bins
+        slot = F.lit(0) if width == 0 else F.least(bin_number((x - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
+        ranges = F.lit(c).alias(name), F.lit(low).alias("low"), F.lit(high).alias("high")
+        cells.append(F.when(x.isNotNull(), F.struct(*ranges, slot.alias("bin"))))
+    if not cells:
+        return df.sparkSession.createDataFrame([], f"{name} string, low double, high double, bin int, n long")
+    long = df.select(F.inline(F.array_compact(F.array(*cells))))
+    return long.groupBy(name, "low", "high", "bin").agg(F.count("*").alias("n"))
+
+
 def histogram_log(
     df: DataFrame, keys: Sequence[str], value: str, width: float = 0.06, low: float = 30.0, high: float = 20000.0
 ) -> DataFrame:
@@ -92,39 +119,21 @@ def kde_by_group(
 ) -> DataFrame:
     """Gaussian kernel density per group on a fixed grid, from fine bins.
 
-    Bandwidth is ``0.9 min(sd, IQR / 1.34) n^-0.2`` with moments and quartiles of the binned
-    values, hence good to one bin width.  Kernels are spread from bins, not from rows.
+    Bandwidth is ``0.9 min(sd, IQR / 1.34) n^-0.2`` with the exact moments and quartiles of the values.
+    Kernels are spread from the bins, not from rows.
     """
     rows = df.select(*keys, value).filter(nulls.is_finite(value))
     centre = (F.floor(F.col(value) / bin_width) + 0.5) * bin_width
     binned = rows.groupBy(*keys, centre.alias("__c")).agg(F.count("*").alias("__w"))
-
-    window = Window.partitionBy(*keys)
-    upto = window.orderBy("__c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = binned.withColumns(
-        {"upto": F.sum("__w").over(upto), "n": F.sum("__w").over(window)}
-    )
-    position = {p: (F.col("n") - 1) * p for p in (0.25, 0.75)}
-
-    def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("upto") > rank, F.col("__c")))
-
-    def quantile(p: float) -> Column:
-        low_rank = F.floor(position[p])
-        below, above = at(low_rank), at(F.ceil(position[p]))
-        return below + (above - below) * F.max(position[p] - low_rank)
-
-    w, c = F.col("__w"), F.col("__c")
-    mean = F.sum(w * c) / F.sum(w)
-    moments = ranked.groupBy(*keys).agg(
-        F.sum("__w").alias("n"), mean.alias("mean"), (quantile(0.75) - quantile(0.25)).alias("iqr")
-    )
-    centred = _same_group(binned, moments, keys)
-    spread = centred.groupBy(*keys, "n", "iqr").agg(
-        F.sqrt(nulls.ratio(F.sum(w * (c - F.col("mean")) * (c - F.col("mean"))), F.col("n") - 1.0)).alias("sd")
+    moments = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_samp(value).alias("sd"))
+    quartiles = quantiles.quantile_table(rows, keys, {value: [0.25, 0.75]})
+    iqr = quartiles.groupBy(*keys).agg(
+        (F.max(F.when(F.col("p") == 0.75, F.col("value"))) - F.max(F.when(F.col("p") == 0.25, F.col("value")))).alias("iqr")
     )
+    spread = _same_group(moments, iqr, keys)
     robust = F.when(F.col("iqr") > 0, F.least("sd", F.col("iqr") / 1.34)).otherwise(F.col("sd"))
     width = spread.select(*keys, "n", (0.9 * robust * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"))
+    w, c = F.col("__w"), F.col("__c")
 
     step = (high - low) / (points - 1)
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))

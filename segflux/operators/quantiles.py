@@ -1,23 +1,129 @@
-"""Exact quantiles of columns too large for one task, and winsorising.
+"""Exact quantiles of many columns and groups too large for one task, and winsorising.
 
-A quantile sketch brackets each wanted rank, exact counts verify the bracket, and only the few
-values strictly inside it are ever brought together.  Each step is a partial aggregate, so no
-shuffle carries more than one row per task, whatever the size or skew of the column.
+Two passes serve all columns, groups and probabilities.  The first sketches every column of every group and
+takes a bracket around each wanted rank.  The second counts what lies below a bracket and the distinct
+values inside it, combined on the map side; the wanted rank is then found by running counts.  A bracket
+that missed its rank is noticed by these counts and taken wider.
+
+A single column whose brackets would still hold more than ``INSIDE_LIMIT`` values is narrowed round by round
+instead (``order_statistics``): a sketch, exact counts, and only the few values strictly inside come together.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segflux.functions import nulls
+from segflux.operators.joins import attach_stats
+from segflux.sources import sink
 
 SKETCH_ACCURACY = 10_000
-INSIDE_LIMIT = 10_000
+INSIDE_LIMIT = 5_000_000
+SLACK = 5.0
+"""Half the width of a bracket in units of the sketch's error."""
+NARROW_LIMIT = 10_000
+
+
+def _brackets(
+    df: DataFrame, keys: Sequence[str], specs: Sequence[tuple[str, float]], accuracy: int, slack: float | None = None
+) -> DataFrame:
+    """(keys, __b): per wanted quantile its number of values, its rank ``h`` and a bracket [low, high] around it.
+
+    Small groups have no need of a sketch: their bracket is open.
+    """
+    columns = list(dict.fromkeys(c for c, _ in specs))
+    slack = SLACK / accuracy if slack is None else slack
+    cells = []
+    for i, c in enumerate(columns):
+        x = F.when(nulls.is_finite(c), F.col(c).cast("double"))
+        ends = [F.lit(min(max(p + s, 0.0), 1.0)) for d, p in specs if d == c for s in (-slack, slack)]
+        cells += [F.count(x).alias(f"n{i}"), F.percentile_approx(x, F.array(*ends), F.lit(accuracy)).alias(f"s{i}")]
+    sketched = df.groupBy(*keys).agg(*cells)
+    seen: dict[str, int] = {}
+    brackets = []
+    for c, p in specs:
+        i, j = columns.index(c), seen.get(c, 0)
+        seen[c] = j + 1
+        n = F.col(f"n{i}")
+        open_ = (n <= accuracy // 2) | F.lit(slack >= 1.0)
+        brackets.append(
+            F.struct(
+                n.alias("n"),
+                ((n - 1).cast("double") * F.lit(p)).alias("h"),
+                F.when(open_, F.lit(-math.inf)).otherwise(F.col(f"s{i}")[2 * j]).alias("low"),
+                F.when(open_, F.lit(math.inf)).otherwise(F.col(f"s{i}")[2 * j + 1]).alias("high"),
+            )
+        )
+    return sketched.select(*keys, F.array(*brackets).alias("__b"))
+
+
+def _inside(marked: DataFrame, keys: Sequence[str], specs: Sequence[tuple[str, float]]) -> DataFrame:
+    """(keys, i, n, h, low, high, missed): the order statistics around rank ``h``, from rows with their brackets."""
+    entries = []
+    for i, (c, _) in enumerate(specs):
+        x, b = F.col(c).cast("double"), F.col("__b")[i]
+        value = F.when(x >= b["low"], x).alias("v")
+        entries.append(F.when(nulls.is_finite(c) & (x <= b["high"]), F.struct(F.lit(i).alias("i"), b["n"].alias("n"), b["h"].alias("h"), value)))
+    counts = marked.select(*keys, F.inline(F.array_compact(F.array(*entries)))).groupBy(*keys, "i", "n", "h", "v").agg(
+        F.count(F.lit(1)).alias("count")
+    )
+    # Values below a bracket are one row without a value, which comes first.
+    upto = Window.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("upto", F.sum("count").over(upto))
+    low_rank, high_rank = F.floor("h"), F.ceil("h")
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when((F.col("upto") > rank) & F.col("v").isNotNull(), F.col("v")))
+
+    below = F.max(F.when(F.col("v").isNull(), F.col("count")).otherwise(0))
+    found = ranked.groupBy(*keys, "i", "n", "h").agg(
+        at(low_rank).alias("low"), at(high_rank).alias("high"), (below > F.first(low_rank)).alias("behind")
+    )
+    return found.withColumn("missed", F.col("behind") | F.col("high").isNull()).drop("behind")
+
+
+def quantile_table(
+    df: DataFrame,
+    keys: Sequence[str],
+    probs: Mapping[str, Sequence[float]],
+    accuracy: int = SKETCH_ACCURACY,
+    inside_limit: int = INSIDE_LIMIT,
+    slack: float | None = None,
+) -> DataFrame:
+    """(keys, column, p, n, value): exact quantiles of several columns in every group.
+
+    Linear interpolation between order statistics; missing and infinite values are skipped, a column
+    without values has no row.  NULL is a group like any other.
+    """
+    specs = [(c, float(p)) for c, wanted in probs.items() for p in wanted]
+    rows = df.select(*keys, *probs)
+    while True:
+        brackets = sink.materialize(_brackets(rows, keys, specs, accuracy, slack), "brackets")
+        most = brackets.agg(F.max(F.array_max(F.transform("__b", lambda b: b["n"])))).first()[0] or 0
+        needed = int(2 * SLACK * most / inside_limit)
+        if needed <= accuracy or slack is not None:
+            break
+        accuracy = needed
+    if keys:
+        found = sink.materialize(_inside(attach_stats(rows, brackets, keys), keys, specs), "quantiles")
+    else:
+        found = sink.materialize(_inside(rows.withColumn("__b", _literal(brackets.first()["__b"])), keys, specs), "quantiles")
+    if not found.filter("missed").isEmpty():
+        wider = max(10.0 * (SLACK / accuracy if slack is None else slack), 0.001)
+        return quantile_table(df, keys, probs, accuracy, inside_limit, wider)
+    names = F.element_at(F.array(*[F.lit(c) for c, _ in specs]), F.col("i") + 1)
+    at = F.element_at(F.array(*[F.lit(p) for _, p in specs]), F.col("i") + 1)
+    value = F.col("low") + (F.col("high") - F.col("low")) * (F.col("h") - F.floor("h"))
+    return found.select(*keys, names.alias("column"), at.alias("p"), "n", value.alias("value"))
+
+
+def _literal(brackets) -> Column:
+    return F.array(*[F.struct(*[F.lit(b[f]).alias(f) for f in ("n", "h", "low", "high")]) for b in brackets])
 
 
 @dataclass
@@ -45,7 +151,7 @@ def order_statistics(
     ranks: Sequence[int],
     total: int,
     accuracy: int = SKETCH_ACCURACY,
-    inside_limit: int = INSIDE_LIMIT,
+    inside_limit: int = NARROW_LIMIT,
 ) -> dict[int, float]:
     """Exact values at the given 0-based ranks among ``total`` finite values of ``column``."""
     x = F.col(column)
@@ -125,21 +231,40 @@ def _narrow(values: DataFrame, x: Column, searches: Sequence[_Search], accuracy:
             s.inside -= under + at_low + mid + at_high
 
 
+def exact_quantiles_of(
+    df: DataFrame, probs: Mapping[str, Sequence[float]], accuracy: int = SKETCH_ACCURACY, inside_limit: int = INSIDE_LIMIT
+) -> dict[str, dict[float, float | None]]:
+    """Exact quantiles of several columns over all rows, in two jobs for all of them."""
+    specs = [(c, float(p)) for c, wanted in probs.items() for p in wanted]
+    rows = df.select(*probs)
+    brackets = _brackets(rows, [], specs, accuracy).first()["__b"]
+    out: dict[str, dict[float, float | None]] = {c: {p: None for p in wanted} for c, wanted in probs.items()}
+    known = [(s, b) for s, b in zip(specs, brackets) if b["n"]]
+    slow = {c: b["n"] for (c, _), b in known if 2 * SLACK * b["n"] / accuracy > inside_limit}
+    quick = [(s, b) for s, b in known if s[0] not in slow]
+    if quick:
+        marked = rows.withColumn("__b", _literal([b for _, b in quick]))
+        for r in _inside(marked, [], [s for s, _ in quick]).collect():
+            c, p = quick[r["i"]][0]
+            if r["missed"]:
+                slow[c] = r["n"]
+            else:
+                out[c][p] = r["low"] + (r["high"] - r["low"]) * (r["h"] - math.floor(r["h"]))
+    for c, n in slow.items():
+        position = {p: (n - 1) * float(p) for p in probs[c]}
+        ranks = sorted({r for h in position.values() for r in (math.floor(h), math.ceil(h))})
+        at = order_statistics(df, c, ranks, n, accuracy, min(inside_limit, NARROW_LIMIT))
+        for p, h in position.items():
+            low, high = at[math.floor(h)], at[math.ceil(h)]
+            out[c][p] = low + (high - low) * (h - math.floor(h))
+    return out
+
+
 def exact_quantiles(
     df: DataFrame, column: str, probs: Sequence[float], **limits: int
 ) -> dict[float, float | None]:
     """Quantiles with linear interpolation between order statistics; missing values skipped."""
-    total = df.agg(F.count_if(nulls.is_finite(column)).alias("n")).first()["n"]
-    if total == 0:
-        return {p: None for p in probs}
-    position = {p: (total - 1) * p for p in probs}
-    ranks = {r for h in position.values() for r in (math.floor(h), math.ceil(h))}
-    at = order_statistics(df, column, sorted(ranks), total, **limits)
-    out = {}
-    for p, h in position.items():
-        low, high = at[math.floor(h)], at[math.ceil(h)]
-        out[p] = low + (high - low) * (h - math.floor(h))
-    return out
+    return exact_quantiles_of(df, {column: list(probs)}, **limits)[column]
 
 
 def winsorize(

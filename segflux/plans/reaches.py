@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segflux import dims
 from segflux.functions import classify, gas, hydraulics, nulls
 from segflux.operators import quantiles, updates
 from segflux.operators.joins import lookup
@@ -107,6 +110,24 @@ def assemble_reaches(inputs: NetworkInputs, options: NetworkOptions | None = Non
     return reach.filter(~nulls.in_list("wkbasin", options.excluded_working_basins))
 
 
+def listed_concentration_quantiles(
+    inputs: NetworkInputs,
+    options: NetworkOptions | None = None,
+    basins: Sequence[str] = dims.HIGHLAND_BASINS,
+    probs: Sequence[float] = (0.05, 0.95),
+    reaches: DataFrame | None = None,
+) -> DataFrame:
+    """(p, n, value): exact quantiles of the yearly mean concentration over the segments of listed basins.
+
+    A segment's mean is over its twelve months and missing as soon as one of them is.
+    """
+    reach = assemble_reaches(inputs, options) if reaches is None else reaches
+    listed = reach.filter(nulls.in_list("hybas_id", basins)).select("comid")
+    months = listed.join(_monthly(inputs.reach_pco2), "comid").groupBy("comid")
+    means = months.agg(F.when(F.count("pco2") == 12, F.avg("pco2")).alias("pco2"))
+    return quantiles.quantile_table(means, [], {"pco2": probs}).select("p", "n", "value")
+
+
 def assemble_reach_months(
     inputs: NetworkInputs, options: NetworkOptions | None = None, reaches: DataFrame | None = None
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from segflux import dims
 from segflux.functions import classify
 from segflux.operators import groups, reshape, updates
 from segflux.operators.joins import in_table, keep_matched
+from segflux.sources import sink
 
 
 def located_measurements(meas: DataFrame, site_reach: DataFrame) -> DataFrame:
@@ -45,7 +46,8 @@ def modelled_cycle(located: DataFrame, modelled_wide: DataFrame) -> DataFrame:
 
 def seasonality(meas: DataFrame, site_reach: DataFrame, modelled_wide: DataFrame) -> DataFrame:
     """Both cycles in one long table with their source."""
-    located = located_measurements(meas, site_reach)
+    # Read by the observed cycle, its means and the places of the modelled one.
+    located = sink.materialize(located_measurements(meas, site_reach), "located")
     observed = observed_cycle(located).withColumn("source", F.lit("observed"))
     modelled = modelled_cycle(located, modelled_wide).withColumns(
         {"source": F.lit("modelled"), "row_id": F.lit(None).cast("long")}

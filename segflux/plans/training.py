@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from segflux import dims
 from segflux.functions import gas, hydraulics, nulls
-from segflux.operators import quantiles, regression, reshape, updates
+from segflux.operators import distribution, quantiles, regression, reshape, updates
 from segflux.operators.joins import in_table, lookup, require_unique_keys
 from segflux.sources import sink
 from segflux.sources.ingest import union_parts
@@ -147,6 +147,19 @@ def histogram_values(table: DataFrame, low_quantile: float = 0.01) -> DataFrame:
     )
 
 
+def predictor_histograms(table: DataFrame, bins: int = 50, low_quantile: float = 0.01) -> DataFrame:
+    """Histogram of every predictor and the response; limits as in ``histogram_values``."""
+    rows = sink.materialize(transformed(table).select(*dims.PREDICTOR_LABELS), "predictors")
+    floor = quantiles.exact_quantiles(rows, "sph", [low_quantile])[low_quantile]
+    limits = dict(dims.OUTLIER_LIMITS, sph=(floor, None))
+    wanted = {}
+    for c in dims.PREDICTOR_LABELS:
+        low, high = limits.get(c, (None, None))
+        where = [F.col(c) >= F.lit(low)] * (low is not None) + [F.col(c) <= F.lit(high)] * (high is not None)
+        wanted[c] = where[0] if len(where) == 1 else where[0] & where[1] if where else None
+    return distribution.histogram_columns(rows, wanted, bins, "predictor")
+
+
 def predictor_fits(table: DataFrame, max_density: float = 300.0) -> DataFrame:
     """Simple regression of log concentration on every predictor, sparsely populated sites only."""
     sparse = table.filter(F.col("popdens") < max_density)

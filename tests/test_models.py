@@ -272,6 +272,22 @@ def test_histogram_counts_every_value(spark):
     assert counts[("b", 0)] == 1
 
 
+def test_histograms_of_many_columns_equal_those_of_the_long_table(spark):
+    rng = np.random.default_rng(8)
+    rows = [(float(a), float(b), 2.0, None if i % 5 else float("inf")) for i, (a, b) in enumerate(rng.normal(size=(700, 2)))]
+    df = spark.createDataFrame(rows, "a double, b double, same double, none double")
+    limit = F.col("b") > -0.5
+    got = distribution.histogram_columns(df, {"a": None, "b": limit, "same": None, "none": None}, 20)
+    long = df.selectExpr("stack(3, 'a', a, 'b', if(b > -0.5, b, null), 'same', same) AS (column, value)")
+    want = distribution.histogram_by_group(long, ["column"], "value", 20)
+    columns = ["column", "low", "high", "bin", "n"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    assert {r.column: r.n for r in got.groupBy("column").agg(F.sum("n").alias("n")).collect()}.keys() == {"a", "b", "same"}
+    assert distribution.histogram_columns(df, {"none": None}).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1
+
+
 def test_last_bit_below_an_edge_does_not_decide_the_bin(spark):
     ends = [0.0, math.log(9.0)]
     near = [math.log(3.0), math.nextafter(math.log(3.0), 0.0)]
@@ -305,7 +321,7 @@ def test_kernel_density_integrates_to_one(spark):
     assert sum(r.density for r in rows) * 0.01 == pytest.approx(1.0, abs=0.01)
     q1, q3 = np.quantile(data, [0.25, 0.75])
     want = 0.9 * min(data.std(ddof=1), (q3 - q1) / 1.34) * len(data) ** -0.2
-    assert rows[0].bw == pytest.approx(want, rel=0.06)
+    assert rows[0].bw == pytest.approx(want, rel=1e-12)
 
 
 def test_root_mean_square_counts_all_rows(spark):

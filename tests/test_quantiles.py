@@ -66,3 +66,67 @@ def test_drop_below_quantile_of_one_category(spark):
     out = quantiles.below_quantile_removed(df, "x", 0.1, F.col("g") == "a")
     assert out.filter("g = 'b'").count() == 1
     assert out.filter("g = 'a'").agg(F.min("x")).first()[0] == 10.0
+
+
+def grouped(df, keys, probs, **limits):
+    rows = quantiles.quantile_table(df, keys, probs, **limits).collect()
+    return {(*[r[k] for k in keys], r["column"], r["p"]): (r["n"], r["value"]) for r in rows}
+
+
+@pytest.mark.parametrize("limits", [{}, {"accuracy": 40}, {"accuracy": 40, "inside_limit": 200}])
+def test_quantiles_of_many_groups_and_columns(spark, limits):
+    """Small, large, constant, hot and empty groups, and one without a key."""
+    rng = np.random.default_rng(6)
+    data = {
+        "one": [4.0], "two": [1.0, 2.0], "same": [7.0] * 500, None: rng.normal(size=900).tolist(),
+        "hot": rng.normal(size=600).tolist() + [0.1] * 400, "large": rng.lognormal(size=3000).tolist(), "odd": [float("nan"), 3.0, float("inf")],
+    }
+    rows = [(g, x, None if g == "two" else -x) for g, xs in data.items() for x in xs] + [("odd", None, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(6)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = grouped(df, ["g"], {"x": probs, "y": [0.25]}, **limits)
+    for g, xs in data.items():
+        xs = [x for x in xs if np.isfinite(x)]
+        for p in probs:
+            assert got[(g, "x", p)] == (len(xs), pytest.approx(np.quantile(xs, p), rel=1e-12, abs=1e-12))
+        if g == "two":
+            assert (g, "y", 0.25) not in got
+        else:
+            assert got[(g, "y", 0.25)] == (len(xs), pytest.approx(np.quantile([-x for x in xs], 0.25), rel=1e-12, abs=1e-12))
+    assert grouped(df.limit(0), ["g"], {"x": [0.5]}) == {}
+
+
+def test_a_bracket_that_misses_its_rank_is_taken_wider(spark, monkeypatch):
+    df = spark.createDataFrame([(float(x),) for x in np.random.default_rng(1).normal(size=4000)], "x double")
+    want = np.quantile([r.x for r in df.collect()], [0.25, 0.5])
+    monkeypatch.setattr(quantiles, "SLACK", 0.0)
+    assert [v for _, v in sorted((k[1], v[1]) for k, v in grouped(df, [], {"x": [0.25, 0.5]}, accuracy=30).items())] == pytest.approx(list(want))
+    assert list(quantiles.exact_quantiles(df, "x", [0.25, 0.5], accuracy=30).values()) == pytest.approx(list(want))
+
+
+def test_all_columns_share_two_jobs(spark, conf):
+    conf(spark__sql__adaptive__enabled="false")
+    df = spark.range(2000).selectExpr("double(id) AS a", "double(id % 7) AS b", "double(-id) AS c")
+    context = spark.sparkContext
+    context.setJobGroup("quantiles", "two passes")
+    try:
+        got = quantiles.exact_quantiles_of(df, {"a": [0.1, 0.9], "b": [0.5], "c": [0.0, 0.25, 1.0]})
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert got["a"][0.1] == pytest.approx(199.9) and got["b"][0.5] == 3.0 and got["c"][1.0] == 0.0
+    assert len(context.statusTracker().getJobIdsForGroup("quantiles")) == 2
+
+
+def test_listed_basins(spark, small):
+    from segflux.plans import reaches
+    from segflux.plans.inputs import NetworkOptions, from_binding
+    from segflux.sources.bindings import Binding
+
+    inputs = from_binding(Binding(spark, small))
+    placed = reaches.assemble_reaches(inputs, NetworkOptions())
+    basins = [r.hybas_id for r in placed.select("hybas_id").distinct().limit(5).collect()]
+    means = placed.filter(F.col("hybas_id").isin(basins)).join(inputs.reach_pco2, "comid").groupBy("comid").agg(F.avg("pco2").alias("m")).collect()
+    got = reaches.listed_concentration_quantiles(inputs, NetworkOptions(), basins, (0.05, 0.5), placed).collect()
+    assert {r.p: r.value for r in got} == pytest.approx({p: float(np.quantile([m.m for m in means], p)) for p in (0.05, 0.5)})
+    assert {r.n for r in got} == {len(means)}
+    assert reaches.listed_concentration_quantiles(inputs, NetworkOptions(), reaches=placed).count() == 0
