@@ -17,9 +17,12 @@ from segflux.sources.bindings import two_parts
 
 def site_inputs(b) -> training.SiteInputs:
     """Site tables of a binding, covariates in the two parts they are delivered in."""
+    if "_sites" in b.__dict__:
+        return b.__dict__["_sites"]
     names = ("order", "area", "pop", "climate", "npp", "soil_resp", "wetland", "terrain", "soil")
     parts = {name: two_parts(getattr(b, f"site_{name}")) for name in names}
-    return training.SiteInputs(meas=b.site_meas, flow=b.site_flow, **parts)
+    b.__dict__["_sites"] = training.SiteInputs(meas=b.site_meas, flow=b.site_flow, **parts)
+    return b.__dict__["_sites"]
 
 
 def clean_of(b) -> DataFrame:

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segflux.functions import nulls
-from segflux.operators import quantiles
+from segflux.operators import quantiles, reshape
 from segflux.operators.joins import attach_stats
+from segflux.sources import sink
 
 EDGE_FUZZ = 1e-8  # of a bin width
 
@@ -49,22 +50,24 @@ def histogram_columns(
     ``columns`` gives the rows a column takes part with (None: all).  All ranges come from one aggregate; with
     them as literals the bins of a row are plain expressions, and the rows are expanded a single time.
     """
-    kept = {c: F.when(nulls.is_finite(c) & (F.lit(True) if where is None else where), F.col(c).cast("double")) for c, where in columns.items()}
-    ends = [f(x).alias(f"{side}{i}") for i, x in enumerate(kept.values()) for f, side in ((F.min, "low"), (F.max, "high"))]
-    row = df.agg(*ends).first()
-    cells = []
-    for i, (c, x) in enumerate(kept.items()):
-        low, high = row[f"low{i}"], row[f"high{i}"]
-        if low is None:
-            continue
-        width = (high - low) / bins
-        slot = F.lit(0) if width == 0 else F.least(bin_number((x - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
-        ranges = F.lit(c).alias(name), F.lit(low).alias("low"), F.lit(high).alias("high")
-        cells.append(F.when(x.isNotNull(), F.struct(*ranges, slot.alias("bin"))))
-    if not cells:
-        return df.sparkSession.createDataFrame([], f"{name} string, low double, high double, bin int, n long")
-    long = df.select(F.inline(F.array_compact(F.array(*cells))))
-    return long.groupBy(name, "low", "high", "bin").agg(F.count("*").alias("n"))
+    kept = [
+        F.when(nulls.is_finite(c) & (F.lit(True) if where is None else where), F.col(c).cast("double")).alias(c)
+        for c, where in columns.items()
+    ]
+    rows = df.select(*kept)
+    row = rows.agg(*[f(c).alias(f"{f.__name__}_{i}") for i, c in enumerate(columns) for f in (F.min, F.max)]).first()
+    ends = [(c, row[f"min_{i}"], row[f"max_{i}"]) for i, c in enumerate(columns) if row[f"min_{i}"] is not None]
+    spark = df.sparkSession
+    if not ends:
+        return spark.createDataFrame([], f"{name} string, low double, high double, bin int, n long")
+    # As many rows as columns.
+    ranges = F.broadcast(spark.createDataFrame(ends, f"{name} string, low double, high double"))
+    long = reshape.to_long(rows, [], [c for c, *_ in ends], name, "value").filter(F.col("value").isNotNull())
+    width = (F.col("high") - F.col("low")) / float(bins)
+    slot = F.when(width == 0, F.lit(0)).otherwise(
+        F.least(bin_number(nulls.ratio(F.col("value") - F.col("low"), width)), F.lit(bins - 1))
+    )
+    return long.join(ranges, name).groupBy(name, "low", "high", slot.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def histogram_log(
@@ -122,7 +125,8 @@ def kde_by_group(
     Bandwidth is ``0.9 min(sd, IQR / 1.34) n^-0.2`` with the exact moments and quartiles of the values.
     Kernels are spread from the bins, not from rows.
     """
-    rows = df.select(*keys, value).filter(nulls.is_finite(value))
+    # Bins, moments and both passes of the quartiles read the values.
+    rows = sink.materialize(df.select(*keys, value).filter(nulls.is_finite(value)), "kernel-values")
     centre = (F.floor(F.col(value) / bin_width) + 0.5) * bin_width
     binned = rows.groupBy(*keys, centre.alias("__c")).agg(F.count("*").alias("__w"))
     moments = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_samp(value).alias("sd"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,28 +64,40 @@ def _brackets(
 
 
 def _inside(marked: DataFrame, keys: Sequence[str], specs: Sequence[tuple[str, float]]) -> DataFrame:
-    """(keys, i, n, h, low, high, missed): the order statistics around rank ``h``, from rows with their brackets."""
+    """(keys, i, n, h, low, high, missed): the order statistics around rank ``h``, from rows with their brackets.
+
+    The ends of a column's brackets cut the line into pieces.  A row counts once per column: with its value
+    inside a bracket, with the number of its piece alone outside.
+    """
+    columns = list(dict.fromkeys(c for c, _ in specs))
     entries = []
-    for i, (c, _) in enumerate(specs):
-        x, b = F.col(c).cast("double"), F.col("__b")[i]
-        value = F.when(x >= b["low"], x).alias("v")
-        entries.append(F.when(nulls.is_finite(c) & (x <= b["high"]), F.struct(F.lit(i).alias("i"), b["n"].alias("n"), b["h"].alias("h"), value)))
-    counts = marked.select(*keys, F.inline(F.array_compact(F.array(*entries)))).groupBy(*keys, "i", "n", "h", "v").agg(
-        F.count(F.lit(1)).alias("count")
-    )
-    # Values below a bracket are one row without a value, which comes first.
-    upto = Window.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for j, c in enumerate(columns):
+        x = F.col(c).cast("double")
+        mine = [F.col("__b")[i] for i, (d, _) in enumerate(specs) if d == c]
+        piece = reduce(lambda a, t: a + t, [(x >= b["low"]).cast("int") + (x > b["high"]).cast("int") for b in mine])
+        held = reduce(lambda a, t: a | t, [(x >= b["low"]) & (x <= b["high"]) for b in mine])
+        entry = F.struct(F.lit(j).alias("j"), mine[0]["n"].alias("n"), piece.alias("piece"), F.when(held, x).alias("v"))
+        entries.append(F.when(nulls.is_finite(c), entry))
+    if len(columns) == 1:  # nothing to expand
+        long = marked.filter(nulls.is_finite(columns[0])).select(*keys, entry.alias("e")).select(*keys, "e.*")
+    else:
+        long = marked.select(*keys, F.inline(F.array_compact(F.array(*entries))))
+    counts = long.groupBy(*keys, "j", "n", "piece", "v").agg(F.count(F.lit(1)).alias("count"))
+    upto = Window.partitionBy(*keys, "j").orderBy("piece", "v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counts.withColumn("upto", F.sum("count").over(upto))
-    low_rank, high_rank = F.floor("h"), F.ceil("h")
 
     def at(rank: Column) -> Column:
-        return F.min(F.when((F.col("upto") > rank) & F.col("v").isNotNull(), F.col("v")))
+        """The first value beyond a rank; NULL when it lies outside of all brackets."""
+        return F.min(F.when(F.col("upto") > rank, F.struct("upto", "v")))["v"]
 
-    below = F.max(F.when(F.col("v").isNull(), F.col("count")).otherwise(0))
-    found = ranked.groupBy(*keys, "i", "n", "h").agg(
-        at(low_rank).alias("low"), at(high_rank).alias("high"), (below > F.first(low_rank)).alias("behind")
-    )
-    return found.withColumn("missed", F.col("behind") | F.col("high").isNull()).drop("behind")
+    cells = []
+    for i, (c, p) in enumerate(specs):
+        h = (F.col("n") - 1).cast("double") * F.lit(p)
+        cell = F.struct(F.lit(i).alias("i"), h.alias("h"), at(F.floor(h)).alias("low"), at(F.ceil(h)).alias("high"))
+        cells.append(F.when(F.col("j") == columns.index(c), cell))
+    found = ranked.groupBy(*keys, "j", "n").agg(F.array_compact(F.array(*cells)).alias("cells"))
+    found = found.select(*keys, "n", F.inline("cells"))
+    return found.withColumn("missed", F.col("low").isNull() | F.col("high").isNull())
 
 
 def quantile_table(

@@ -42,7 +42,7 @@ class Tree:
         return self.value[end]
 
 
-STEPS = 4
+STEPS = 3
 """Levels a walk goes down between two looks at which rows have reached a leaf."""
 MOST_ROWS = 1 << 16
 """Rows of a sample; node, rank and row are packed into one integer."""

@@ -79,8 +79,9 @@ def site_covariates(inputs: SiteInputs, check_keys: bool = True) -> DataFrame:
         union_parts(inputs.area), pop, union_parts(inputs.climate), union_parts(inputs.npp),
         union_parts(inputs.soil_resp), wetland, terrain, soil, flow,
     )
-    if check_keys:
+    if check_keys and not inputs.__dict__.get("_verified"):
         require_unique_keys([(t, ["site_no"]) for t in (order, *others)])
+        inputs.__dict__["_verified"] = True  # once per set of inputs
     table = order.filter(F.col("so") != OPEN_WATER)
     for other in others:
         table = lookup(table, other, "site_no")

@@ -39,13 +39,17 @@ def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
     return n
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's own estimate of a frame's size; scans know the bytes of their files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def size_for(*inputs: DataFrame) -> int:
     """Size the shuffles for the largest of some inputs, by the optimizer's own estimate of it.
 
-    Scans know the bytes of their files; an input without an estimate (larger than any table) is
-    left out.
+    An input without an estimate (larger than any table) is left out.
     """
-    sizes = [int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in inputs]
+    sizes = [estimated_bytes(df) for df in inputs]
     known = [n for n in sizes if n < MOST_BYTES]
     return size_shuffles(inputs[0].sparkSession, max(known, default=0))
 
