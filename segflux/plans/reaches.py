@@ -52,9 +52,9 @@ def gas_transfer_by_reach(inputs: NetworkInputs, options: NetworkOptions | None
 
 
 def by_month(reach: DataFrame) -> DataFrame:
-    """Every segment in every month; its discharge array ``q`` becomes the month's value or NULL."""
+    """Every segment in every month, with the month's discharge ``q`` or NULL instead of ``q_months``."""
     rows = reach.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
-    return rows.withColumn("q", F.element_at("q", F.col("month")))
+    return rows.withColumn("q", F.element_at("q_months", F.col("month"))).drop("q_months")
 
 
 def basin_classes(inputs: NetworkInputs) -> DataFrame:

@@ -74,7 +74,7 @@ def annual_statistics(discharge: DataFrame, stats: dict[str, str]) -> DataFrame:
 
 
 def discharge_by_segment(discharge: DataFrame, annual: dict[str, str], monthly: str = "Qmean") -> DataFrame:
-    """All discharge a plan needs, one row per segment: annual columns and ``q``, an array of twelve months.
+    """All discharge a plan needs, one row per segment: annual columns and ``q_months``, an array of twelve months.
 
     One scan and one shuffle on the segment key, combined on the map side; months without a value are NULL.
     """
@@ -89,7 +89,7 @@ def discharge_by_segment(discharge: DataFrame, annual: dict[str, str], monthly:
         .groupBy("comid")
         .agg(
             *[F.max(F.when((month == 0) & (stat == s), value)).alias(c) for s, c in annual.items()],
-            F.array(*[F.max(F.when((month == m) & (stat == monthly), value)) for m in range(1, 13)]).alias("q"),
+            F.array(*[F.max(F.when((month == m) & (stat == monthly), value)) for m in range(1, 13)]).alias("q_months"),
         )
     )
 

@@ -96,6 +96,6 @@ def test_discharge_by_segment_is_one_scan_and_one_shuffle(spark, network):
     annual = {r.comid: (r.q_year, r.q_std) for r in ingest.annual_statistics(network.discharge, {"Qmean": "q_year", "Qstd": "q_std"}).collect()}
     rows = flow.collect()
     assert {r.comid: (r.q_year, r.q_std) for r in rows} == annual
-    assert {(r.comid, m + 1): q for r in rows for m, q in enumerate(r.q) if q is not None} == {k: v for k, v in monthly.items() if v is not None}
+    assert {(r.comid, m + 1): q for r in rows for m, q in enumerate(r.q_months) if q is not None} == {k: v for k, v in monthly.items() if v is not None}
     with pytest.raises(ValueError):
         ingest.discharge_by_segment(network.discharge, {"Q99": "q"})
