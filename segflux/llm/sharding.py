@@ -29,6 +29,8 @@ from segflux.sources import sink
 
 BUCKET_BYTES = 8 * 1024 * 1024
 """Text bytes a bucket should hold."""
+BUCKET_ROWS = 65_536
+"""Rows a bucket should hold at most, as empty and null texts have no bytes."""
 SEED = 20
 OUTPUT = ("shard", "grown_shard", "bucket", "place")
 
@@ -61,6 +63,7 @@ def write_shards(
     text_col: str = "text",
     seed: int = SEED,
     bucket_bytes: int = BUCKET_BYTES,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Shuffle and write all records; the written table, with shard, grown_shard, bucket, place.
 
@@ -69,8 +72,9 @@ def write_shards(
     """
     if not 1 <= shards <= 4096:
         raise ValueError("shards must be between 1 and 4096")
-    total = common.input_bytes(df, text_col)
-    buckets = max(1, -(-total // (bucket_bytes * shards)))
+    octets = F.octet_length(common.column(df, text_col)).cast("long")
+    rows, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(octets), F.lit(0))).first()
+    buckets = max(1, -(-total // (bucket_bytes * shards)), -(-rows // (bucket_rows * shards)))
     scattered = scatter(df, shards, buckets, id_col, seed)
     carried = [c for c in scattered.columns if c not in ("shard", "bucket")]
     record = F.struct([common.column(scattered, c).alias(f"c{i}") for i, c in enumerate(carried)])

@@ -55,3 +55,11 @@ def test_many_rows_of_one_id_use_many_buckets(spark):
     df = spark.range(2000).selectExpr("CAST(1 AS bigint) AS doc_id", "repeat('y', 100) AS text")
     rows = sharding.write_shards(df, 2, bucket_bytes=10_000).collect()
     assert len({r.shard for r in rows}) == 1 and max(Counter(r.bucket for r in rows).values()) < 400
+
+
+def test_null_texts_fill_buckets_too(spark):
+    """Buckets are sized by rows as well as by text: none takes a large part of a table without text."""
+    df = spark.range(40_000).selectExpr("id AS doc_id", "cast(null AS string) AS text")
+    written = sharding.write_shards(df, 4, bucket_rows=500)
+    sizes = [r["count"] for r in written.groupBy("shard", "bucket").count().collect()]
+    assert sum(sizes) == 40_000 and len(sizes) == 80 and max(sizes) < 1000
