@@ -105,6 +105,17 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
+def _fair_share(counts: list[int], total: int) -> float:
+    """Rows each language may take so that all take ``total``; counts come in ascending order."""
+    left = float(total)
+    for i, n in enumerate(counts):
+        share = left / (len(counts) - i)
+        if n > share:
+            return share
+        left -= n
+    return float(counts[-1])
+
+
 def train(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -114,16 +125,25 @@ def train(
     dimensions: int = DIMENSIONS,
     seed: int = SEED,
 ) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their prototypes, from labelled rows (a bounded sample of them)."""
+    """Languages in order and their prototypes, from labelled rows.
+
+    At most about ``train_rows`` of them, an equal share for every language: a rare one is learned from all
+    its rows however large the table is.
+    """
     rows = df.select(
         common.column(df, text_col).cast("string").alias("text"),
         common.column(df, label_col).cast("string").alias("label"),
         common.column(df, id_col).alias("doc_id"),
     ).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & (F.col("label") != UNKNOWN))
-    labelled = rows.count()
-    if labelled > train_rows:
-        share = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000_007))
-        rows = rows.where(share < int(1_000_000_007 * train_rows / labelled))
+    # As many counts as languages, which the prototypes are too.
+    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(counts.values()) > train_rows:
+        draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000_007))
+        share = _fair_share(sorted(counts.values()), train_rows)
+        often = {label: int(1_000_000_007 * share / n) for label, n in counts.items() if n > share}
+        limits = F.create_map(*[F.lit(x) for pair in often.items() for x in pair])
+        limit = F.coalesce(F.try_element_at(limits, F.col("label")), F.lit(1_000_000_007))
+        rows = rows.where(draw < limit)
     schema = common.schema_of(("label", T.StringType()), ("bundle", T.ArrayType(T.LongType())))
 
     def start():

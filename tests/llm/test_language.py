@@ -63,3 +63,15 @@ def test_edge_rows(edge, empty):
     assert language.identify(empty, *fitted).collect() == []
     kept = language.keep_identified(edge, *fitted)
     assert kept.columns == edge.columns and kept.count() == edge.count() - 3
+
+
+def test_a_rare_language_is_learned_from_all_its_rows(spark):
+    """One row in 3,000 here; a uniform sample of 300 would miss most of them."""
+    rows = [(i, "the house and the tree stand here", "en") for i in range(6000)]
+    rows += [(10_000 + i, "qalqiz vyxow zuqam xyq", "qq") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, prototypes = language.train(df, train_rows=300)
+    assert names == ["en", "qq"]
+    found = language.identify(spark.createDataFrame([(1, "vyxow qalqiz"), (2, "the tree")], "doc_id long, text string"), names, prototypes)
+    assert {r.doc_id: r.lang_pred for r in found.collect()} == {1: "qq", 2: "en"}
+    assert language._fair_share([2, 10, 1000], 300) == 288 and language._fair_share([1, 2], 300) == 2
