@@ -103,7 +103,10 @@ def op5_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_induced_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(common.table(spark, sf_dir, "documents"), with_kept=False)
+    """``kept_text`` is what is left; bytes of a character that was cut through show as replacements."""
+    found = suffix_dedup.remove_repeats(common.table(spark, sf_dir, "documents"))
+    kept = F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", kept)
 
 
 @query
