@@ -42,6 +42,8 @@ from segflux.llm import common, tokens
 MARK, TRAILER_MARK, VERSION = b"TOKSTOR1", b"TOKSTEND", 1
 HEADER, ENTRY, TRAILER = struct.Struct("<8sIIQ"), struct.Struct("<QII"), struct.Struct("<QQ8s")
 SAMPLE_DOCUMENTS = 1500
+BLOCK_DOCUMENTS = 10_000
+"""Documents that one row of the manifest lists; a file of more has several rows."""
 SAMPLE_BYTES = 16 * 1024
 """Serialized bytes that one sampled document gives to the training."""
 DICTIONARY_BYTES = 64 * 1024
@@ -51,7 +53,7 @@ LEVEL = 3
 @dataclass
 class TokenStore:
     path: str
-    manifest: DataFrame  # doc_id of the first document, file, file_no, documents, n_tokens
+    manifest: DataFrame  # per block of documents: file_no, file, position of its first one, documents, n_tokens, doc_ids
 
 
 def dictionary_hash(dictionary: bytes) -> int:
@@ -72,12 +74,17 @@ def train_dictionary(arrays: list[bytes], size: int = DICTIONARY_BYTES) -> bytes
 
 
 def sample_dictionary(docs: DataFrame, path: str, width: int) -> bytes:
-    """Train on the documents with the smallest id hashes, at most ``SAMPLE_DOCUMENTS``.
+    """Train on the documents with the smallest hashes of id and text, at most ``SAMPLE_DOCUMENTS``.
 
-    Tasks cut what a document gives to the training, so the sample is bounded however long the
-    documents are: ``SAMPLE_DOCUMENTS * SAMPLE_BYTES``.
+    The hashes alone are ranked first, so no whole text is sorted; tasks encode the documents up to the
+    last hash wanted and cut what each gives to the training.  What travels is bounded however long or
+    alike the documents are: ``SAMPLE_DOCUMENTS * SAMPLE_BYTES`` from a task.
     """
-    chosen = docs.select("text", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(SAMPLE_DOCUMENTS)
+    h = F.xxhash64("doc_id", "text")
+    last = docs.select(h.alias("h")).orderBy("h").limit(SAMPLE_DOCUMENTS).agg(F.max("h")).first()[0]
+    if last is None:
+        return b""
+    chosen = docs.select("text", h.alias("h")).where(F.col("h") <= last)
 
     def start():
         encode = tokens.encoder(path).encode
@@ -91,8 +98,8 @@ def sample_dictionary(docs: DataFrame, path: str, width: int) -> bytes:
         return step
 
     schema = common.schema_of(("h", T.LongType()), ("sample", T.BinaryType()))
-    rows = common.map_batches(chosen, schema, start).collect()
-    return train_dictionary([bytes(r.sample) for r in sorted(rows)])
+    rows = common.map_batches(chosen, schema, start).orderBy("h", "sample").limit(SAMPLE_DOCUMENTS).collect()
+    return train_dictionary([bytes(r.sample) for r in rows])
 
 
 class FileWriter:
@@ -158,6 +165,7 @@ def write_store(
     vocabulary: str | None = None,
     end_id: int = tokens.END_ID,
     width: int = 2,
+    block: int = BLOCK_DOCUMENTS,
 ) -> TokenStore:
     """Encode whole texts and write them, one file per range of ids, in ascending id order."""
     spark = df.sparkSession
@@ -169,16 +177,24 @@ def write_store(
     with system.open_output_stream(f"{folder}/dictionary") as out:
         out.write(dictionary)
     schema = common.schema_of(
-        ("file_no", T.LongType()), ("file", T.StringType()), ("documents", T.LongType()),
+        ("file_no", T.LongType()), ("file", T.StringType()), ("position", T.LongType()), ("documents", T.LongType()),
         ("n_tokens", T.LongType()), ("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType)),
     )
 
     def write_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(names).encode
         number = TaskContext.get().partitionId()
-        name, writer, doc_ids, total = "", None, [], 0
+        name, writer, position = "", None, 0
+        doc_ids, held, total = [], 0, 0
+
+        def listed() -> pa.RecordBatch:
+            flat = pa.concat_arrays(doc_ids)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
+            return common.record_batch([[number], [name], [position], [held], [total], lists], schema)
+
         for batch in batches:
-            for part in common.text_slices(batch):
+            parts = (part.slice(k, block) for part in common.text_slices(batch) for k in range(0, part.num_rows, block))
+            for part in parts:
                 if writer is None:
                     name = f"ids-{number:06d}-{uuid.uuid4().hex}.bin"
                     system, folder = common.filesystem(path)
@@ -186,15 +202,19 @@ def write_store(
                 ids, at = encode(part.column("text"), end_id)
                 for a, b in zip(at, at[1:]):
                     writer.add(ids[a:b])
+                if held and held + part.num_rows > block:
+                    yield listed()
+                    position, doc_ids, held, total = position + held, [], 0, 0
                 doc_ids.append(part.column("doc_id"))
+                held += part.num_rows
                 total += len(ids)
         if writer is not None:
             writer.close()
-            flat = pa.concat_arrays(doc_ids)
-            lists = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
-            yield common.record_batch([[number], [name], [len(flat)], [total], lists], schema)
+            yield listed()
 
-    ordered = docs.orderBy(F.col("doc_id").asc_nulls_first())
+    # Rows of one id may go to several files: they follow each other by their texts' hashes.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.monotonically_increasing_id()]
+    ordered = docs.orderBy(*order)
     common.map_tasks(ordered, write_task, schema).write.parquet(f"{path}/manifest")
     return open_store(spark, path, schema)
 
@@ -207,17 +227,17 @@ def open_store(spark: SparkSession, path: str, schema: T.StructType | None = Non
 def read_store(store: TokenStore, with_ids: bool = True) -> DataFrame:
     """One row per document: doc_id, start, n_tokens, ids_crc32 (and ids), from the files.
 
-    ``start`` counts the ids of all documents before.  The running sum over files sees one short
-    row per file, never per document.
+    ``start`` counts the ids of all documents before.  The running sum sees one short row per block
+    of documents, never per document.
     """
     path = store.path
-    before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = store.manifest.select("file_no", "n_tokens")
-    starts = sizes.select("file_no", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("file_start"))
-    files = store.manifest.join(starts, "file_no")
+    before = Window.orderBy("file_no", "position").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = store.manifest.select("file_no", "position", "n_tokens")
+    starts = sizes.select("file_no", "position", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("block_start"))
+    blocks = store.manifest.join(starts, ["file_no", "position"])
     count = store.manifest.count()
     if count:
-        files = files.repartitionByRange(count, "file_no")
+        blocks = blocks.repartitionByRange(count, "file_no", "position")
     long = T.LongType()
     schema = common.schema_of(
         T.StructField("doc_id", store.manifest.schema["doc_ids"].dataType.elementType, True),
@@ -232,15 +252,16 @@ def read_store(store: TokenStore, with_ids: bool = True) -> DataFrame:
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for row in range(batch.num_rows):
                 doc_ids = batch.column("doc_ids")[row].values
-                at = batch.column("file_start")[row].as_py()
+                at = batch.column("block_start")[row].as_py()
                 name = batch.column("file")[row].as_py()
                 with system.open_input_file(f"{folder}/{name}") as source:
                     reader = FileReader(source, dictionary)
-                    for low in range(0, reader.documents, 1000):
-                        high = min(low + 1000, reader.documents)
+                    first = batch.column("position")[row].as_py()
+                    for low in range(0, len(doc_ids), 1000):
+                        high = min(low + 1000, len(doc_ids))
                         blobs, counts, begins = [], [], []
                         crcs = []
-                        for position in range(low, high):
+                        for position in range(first + low, first + high):
                             raw = reader.ids(position).tobytes()
                             begins.append(at)
                             counts.append(len(raw) // 4)
@@ -253,4 +274,4 @@ def read_store(store: TokenStore, with_ids: bool = True) -> DataFrame:
 
         return step
 
-    return common.map_batches(files.select("file", "file_start", "doc_ids"), schema, start)
+    return common.map_batches(blocks.select("file", "position", "block_start", "doc_ids"), schema, start)

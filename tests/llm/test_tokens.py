@@ -43,9 +43,10 @@ def test_encoder_forgets_and_goes_on(monkeypatch):
         assert ids.tolist() == exact(text)
 
 
-def check_store(df, rows, spark):
+def check_store(df, rows, spark, **options):
     path = sink.new_path(spark, "store-test")
-    found = token_store.read_store(token_store.write_store(df, path)).collect()
+    store = token_store.write_store(df, path, **options)
+    found = token_store.read_store(store).collect()
     assert len(found) == len(rows)
     assert [r.doc_id for r in sorted(found, key=lambda r: r.start)] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
     at = 0
@@ -58,6 +59,7 @@ def check_store(df, rows, spark):
         text = next(t for t in by_id[r.doc_id] if exact(t) == ids)
         by_id[r.doc_id].remove(text)
         at += len(ids)
+    return store.manifest
 
 
 def test_store_round_trip(spark, documents):
@@ -85,6 +87,24 @@ def test_single_document_access_and_dictionary_hash(spark, documents):
         token_store.FileReader(source, dictionary + b"x")
 
 
+def test_a_file_with_several_blocks(spark, documents):
+    few = documents.limit(60).coalesce(1)
+    hot = spark.createDataFrame([(5, f"copy {i % 3}") for i in range(40)], "doc_id long, text string")
+    both = few.select("doc_id", "text").unionByName(hot)
+    manifest = check_store(both, [(r.doc_id, r.text) for r in both.collect()], spark, block=7)
+    assert manifest.count() > manifest.select("file").distinct().count()
+
+
+def test_sample_of_equal_rows_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "SAMPLE_DOCUMENTS", 50)
+    seen = []
+    monkeypatch.setattr(token_store, "train_dictionary", lambda arrays, size=0: seen.append(len(arrays)) or b"")
+    rows = spark.range(3000).selectExpr("cast(1 as bigint) as doc_id", "'the same text every time' as text")
+    token_store.sample_dictionary(rows, token_store.tokens.vocabulary_path(), 2)
+    token_store.sample_dictionary(rows.limit(0), token_store.tokens.vocabulary_path(), 2)
+    assert seen == [50]
+
+
 def check_packing(df, rows):
     found = packing.pack_documents(df).collect()
     for r in found:
