@@ -10,9 +10,9 @@ an id of their own, the others share ids by length and last byte; the number of
 number of distinct words (``classes_for``).  Among the ``N`` occurrences of a shared id a word counted
 ``n`` times has probability ``(n + q) / (N + 1)``, where ``q`` is the probability of its spelling, letter
 by letter, learned from all distinct words: the words of the corpus are told apart by their counts,
-others by their spelling, and all words together have at most probability 1.  Counts reach the
-documents by a join on the word; frequent words have their own ids and never travel, and a word that
-travels is at most one in as many tokens as there are words with ids.
+others by their spelling, and all words together have at most probability 1.  The counts of the next
+frequent words (``FREQUENT``, of at most ``LONGEST`` bytes) go to every task; all others reach the
+documents by a join on the word, in which no word is frequent.
 
 The network is trained in numpy over all documents: in each round
 every task starts from the same weights, walks over its documents of that round, and hands in its
@@ -52,6 +52,9 @@ RATE = 0.3
 SEED = 1
 COUNTED = 400_000
 """Distinct words a task counts before it hands them on."""
+FREQUENT = 65_536
+LONGEST = 64
+"""Shared-id words whose counts go to every task, at most FREQUENT of LONGEST bytes; the others are joined."""
 UNIT = 1e9
 """Log-probabilities are added up as whole multiples of 1 / UNIT, so their order does not matter."""
 OUT_ROWS = 200_000
@@ -78,6 +81,7 @@ class Lexicon:
     classes: int
     words: list[str]  # with an id of their own, by frequency
     counts: DataFrame  # word, n: all words of the corpus
+    frequent: dict[str, int]  # counts of the most frequent words that share ids
     shared: np.ndarray  # occurrences of each id, 0 for ids of one word
     spelling: np.ndarray  # log-probability of a byte after a byte; words begin and end with a space
 
@@ -276,6 +280,17 @@ def lexicon_of(docs: DataFrame) -> Lexicon:
     counts = sink.materialize(word_counts(docs), "words")
     classes = classes_for(counts.count())
     words = [r.word for r in counts.orderBy(F.col("n").desc(), "word").limit(own_words(classes)).collect()]
+    # A quarter of a power of two is the step in which the least count is found: no ranking of all words.
+    step = F.floor(F.log2("n") * 4)
+    least, within = 0, 0
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        within += r["count"]
+        if within > FREQUENT:
+            least = r.step + 1
+            break
+    short = counts.where((step >= least) & (F.octet_length("word") <= LONGEST)).collect()
+    own = set(words)
+    frequent = {r.word: r.n for r in short if r.word not in own}
     schema = common.schema_of(("cell", T.IntegerType()), ("n", T.LongType()))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +315,7 @@ def lexicon_of(docs: DataFrame) -> Lexicon:
     for r in common.map_tasks(counts, gather, schema).groupBy("cell").agg(F.sum("n").alias("n")).collect():
         every[r.cell] = r.n
     pairs = every[: 1 << 16].reshape(256, 256) + 1.0
-    return Lexicon(classes, words, counts, every[1 << 16 :], np.log(pairs / pairs.sum(axis=1, keepdims=True)))
+    return Lexicon(classes, words, counts, frequent, every[1 << 16 :], np.log(pairs / pairs.sum(axis=1, keepdims=True)))
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> tuple[Lexicon, Network]:
@@ -344,30 +359,38 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
 
 
 def _parts(docs: DataFrame, lexicon: Lexicon, net: Network) -> DataFrame:
-    """Per row one part without its shared ids' words, under a key that is no word, and one part per such word."""
+    """Per row one part under a key that is no word, and one part for each word whose count is still to come."""
     schema = common.schema_of(
         ("row", T.LongType()), ("word", T.StringType()), ("value", T.DoubleType()),
         ("n_tokens", T.LongType()), *common.fields(docs, "doc_id"),
     )
     words, classes, spelling = lexicon.words, lexicon.classes, lexicon.spelling
     among = np.log(lexicon.shared + 1.0)
+    names, counted = list(lexicon.frequent), np.array(list(lexicon.frequent.values()), dtype=np.float64)
 
     def start():
-        vocabulary = pa.array(words, pa.large_string())
+        vocabulary, frequent = pa.array(words, pa.large_string()), pa.array(names, pa.large_string())
+        among_words = np.log(counted + np.exp(spelled(frequent, spelling)))
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for part in common.text_slices(batch):
                 flat, offsets = words_of(part.column("text"))
                 ids = token_ids(flat, vocabulary, classes)
                 row, place = padded(ids, offsets)
-                some = is_shared(ids, classes)
-                sums = np.concatenate(([0.0], np.cumsum(log_probabilities(net, row, place) - np.where(some, among[ids], 0.0))))
+                logp = log_probabilities(net, row, place)
+                some = np.flatnonzero(is_shared(ids, classes))
+                logp[some] -= among[ids[some]]
+                found = pc.index_in(flat.take(pa.array(some)), value_set=frequent)
+                known = pc.fill_null(found, -1).to_numpy(zero_copy_only=False)
+                logp[some[known >= 0]] += among_words[known[known >= 0]]
+                some = some[known < 0]
+                sums = np.concatenate(([0.0], np.cumsum(logp)))
                 keys = part.column("row").to_numpy()
                 yield common.record_batch(
                     [keys, [f" {k}" for k in keys.tolist()], sums[offsets[1:]] - sums[offsets[:-1]], np.diff(offsets), part.column("doc_id")],
                     schema,
                 )
-                rare, owner = flat.filter(pa.array(some)), np.repeat(keys, np.diff(offsets))[some]
+                rare, owner = flat.take(pa.array(some)), np.repeat(keys, np.diff(offsets))[some]
                 for at in range(0, len(rare), OUT_ROWS):
                     few = rare.slice(at, OUT_ROWS)
                     none = pa.nulls(len(few))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import dataclasses
 import random
 from collections import Counter
 
@@ -103,6 +104,16 @@ def test_every_word_has_a_probability_of_its_own(spark, trained, counted):
     assert len(set(found)) == 5 and found[2] > found[0] and found[4] > found[3] > max(found[:3])
 
 
+def test_scores_do_not_depend_on_which_counts_travel(spark, trained, counted):
+    lexicon, net = trained
+    assert lexicon.frequent and all(counted[w] == n and w not in own(lexicon) for w, n in lexicon.frequent.items())
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(200)
+    none = dataclasses.replace(lexicon, frequent={})
+    here = {r.doc_id: r.log_likelihood for r in lm.score(docs, lexicon, net).collect()}
+    there = {r.doc_id: r.log_likelihood for r in lm.score(docs, none, net).collect()}
+    assert here.keys() == there.keys() and all(np.isclose(here[i], there[i], rtol=1e-9, atol=1e-6) for i in here)
+
+
 def test_words_of_a_shared_id_have_at_most_probability_one(spark, trained):
     lexicon, net = trained
     rows = [r for r in lexicon.counts.collect() if r.word not in own(lexicon)]
