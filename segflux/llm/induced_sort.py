@@ -2,13 +2,13 @@
 
 Suffixes are classified as smaller or larger than their right neighbour.  The leftmost-smaller
 ones (smaller, after a larger one) start the substrings that are sorted first, by inducing from an
-arbitrary order; equal substrings get equal names, and when names repeat, the sequence of names
-is sorted recursively.  From the sorted leftmost-smaller suffixes, one scan up and one scan down
+arbitrary order; equal substrings get equal names, and when names repeat, the suffixes of the
+sequence of names are sorted by doubling.  From the sorted leftmost-smaller suffixes, one scan up and one scan down
 over the buckets induce the order of all suffixes in linear time.
 
 On the small alphabet of the text a scan handles a bucket at a time: what its entries induce is
-dealt to the other buckets at once, and what they induce in their own bucket is the next wave.  The
-recursion runs on few, large-alphabet symbols and scans one by one.
+dealt to the other buckets at once, and what they induce in their own bucket is the next wave.  Names
+are too many for buckets: each doubling is one sort of the names' suffixes that still tie.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ def _induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, heads: np.ndarr
     return sa
 
 
-def _names(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
+def _names(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Equal names for equal substrings, given leftmost-smaller positions in sorted order."""
     following = np.empty(len(s), dtype=np.int64)
     following[lms[:-1]] = lms[1:]
@@ -94,66 +94,33 @@ def _names(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
     name = np.concatenate(([0], np.cumsum(~same)))
     out = np.empty(len(s), dtype=np.int64)
     out[order] = name
-    return out[lms], int(name[-1]) + 1
+    return out[lms]
 
 
-def _sort_names(names: list[int], size: int) -> list[int]:
-    """Suffix order of a sequence of names (its last is unique and smallest), one by one."""
+def _sort_names(names: np.ndarray) -> np.ndarray:
+    """Suffix order of a sequence of names (its last is unique and smallest).
+
+    Suffixes equal in their first ``reach`` names are a group, ranked by its first slot in the order.  The rank of
+    the suffix ``reach`` further on splits a group by twice as many names, until every group is one suffix.
+    """
     n = len(names)
-    if size == n:
-        order = [0] * n
-        for at, name in enumerate(names):
-            order[name] = at
-        return order
-    smaller = bytearray(n)
-    smaller[n - 1] = 1
-    for i in range(n - 2, -1, -1):
-        a, b = names[i], names[i + 1]
-        smaller[i] = 1 if a < b or (a == b and smaller[i + 1]) else 0
-    starts = [i for i in range(1, n) if smaller[i] and not smaller[i - 1]]
-    counts = [0] * size
-    for a in names:
-        counts[a] += 1
-    heads, total = [], 0
-    for c in counts:
-        heads.append(total)
-        total += c
-
-    def induce(given: list[int]) -> list[int]:
-        out = [-1] * n
-        tail = [h + c for h, c in zip(heads, counts)]
-        for i in reversed(given):
-            tail[names[i]] -= 1
-            out[tail[names[i]]] = i
-        head = heads[:]
-        for k in range(n):
-            j = out[k] - 1
-            if j >= 0 and not smaller[j]:
-                a = names[j]
-                out[head[a]] = j
-                head[a] += 1
-        tail = [h + c for h, c in zip(heads, counts)]
-        for k in range(n - 1, -1, -1):
-            j = out[k] - 1
-            if j >= 0 and smaller[j]:
-                a = names[j]
-                tail[a] -= 1
-                out[tail[a]] = j
-        return out
-
-    marked = bytearray(n)
-    for i in starts:
-        marked[i] = 1
-    first = [i for i in induce(starts) if marked[i]]
-    ending = {a: b for a, b in zip(starts, starts[1:] + [n - 1])}
-    label, last, k = {}, None, -1
-    for i in first:
-        piece = (names[i : ending[i] + 1], i == starts[-1])
-        if piece != last:
-            k, last = k + 1, piece
-        label[i] = k
-    order = _sort_names([label[i] for i in starts], k + 1)
-    return induce([starts[i] for i in order])
+    order = np.argsort(names, kind="stable")
+    key = names[order]
+    slots = np.arange(n)
+    rank = np.empty(n, dtype=np.int64)
+    reach = 1
+    while True:
+        edge = np.concatenate(([True], key[1:] != key[:-1], [True]))
+        rank[order[slots]] = slots[np.maximum.accumulate(np.where(edge[:-1], np.arange(len(key)), 0))]
+        slots = slots[~(edge[:-1] & edge[1:])]  # of groups that hold more than one
+        if not len(slots):
+            return order
+        # The last name is unique, so a suffix that equals another in ``reach`` names goes on after them.
+        items = order[slots]
+        key = rank[items] * n + rank[items + reach]
+        turn = np.argsort(key)
+        order[slots], key = items[turn], key[turn]
+        reach *= 2
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -171,8 +138,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         rough = _induce(s, smaller, lms[np.argsort(s[lms], kind="stable")], heads, ends)
         marked = np.zeros(n, dtype=bool)
         marked[lms] = True
-        names, size = _names(s, lms, rough[marked[rough]])
-        lms = lms[np.array(_sort_names(names.tolist(), size))]
+        lms = lms[_sort_names(_names(s, lms, rough[marked[rough]]))]
     return _induce(s, smaller, lms, heads, ends)
 
 

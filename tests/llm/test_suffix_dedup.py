@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import sys
 from collections import defaultdict
 
 import numpy as np
@@ -72,6 +73,38 @@ def test_suffix_order_equals_sorting():
             assert prefix[a] == n
 
 
+def test_deep_repeats_are_ordered():
+    rnd = random.Random(11)
+    for _ in range(100):
+        part = [rnd.randint(1, 3) for _ in range(rnd.randint(1, 30))]
+        s = np.array([2] * rnd.randint(0, 2) + part * rnd.randint(2, 20) + [1] + part * rnd.randint(2, 20) + [0])
+        assert induced_sort.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
+def test_names_are_not_sorted_one_by_one():
+    """Python runs per bucket and round of a shard, not per name."""
+    rnd = random.Random(5)
+    text = text_of(rnd, 30_000)
+    s = np.frombuffer((text[:20_000] + text).encode() + b"\x00", dtype=np.uint8).astype(np.int64)
+    lines = 0
+
+    def count(frame, event, _):
+        nonlocal lines
+        if frame.f_code.co_filename != induced_sort.__file__:
+            return None
+        lines += event == "line"
+        return count
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        sa = induced_sort.suffix_array(s)
+    finally:
+        sys.settrace(before)
+    assert sorted(sa.tolist()) == list(range(len(s)))
+    assert lines < len(s) // 10
+
+
 def test_documents(documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     wanted = brute(rows, 400)
