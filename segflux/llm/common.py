@@ -129,6 +129,14 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove a table that ``sink.materialize`` has written and nothing reads any more."""
+    files = table.inputFiles()
+    if files:
+        system, inner = filesystem(files[0].rpartition("/")[0])
+        system.delete_dir(inner)
+
+
 def input_bytes(df: DataFrame, text_col: str = "text") -> int:
     """Bytes of a text column over all rows: one aggregate, one row to the driver."""
     total = df.agg(F.sum(F.octet_length(column(df, text_col)).cast("long"))).first()[0]

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segflux.llm import common, cover_tree, decontam, exact_dedup, language, lexical, lm_scoring, maxscore, packing, pii, sharding, simhash, suffix_dedup, token_store
+from segflux.llm import common, cover_tree, decontam, exact_dedup, language, lexical, lm_scoring, maxscore, packing, passages, pii, sharding, simhash, suffix_dedup, token_store
 from segflux.llm.ship import ship
 from segflux.sources import sink
 
@@ -103,10 +103,13 @@ def op5_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_induced_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``kept_text`` is what is left; bytes of a character that was cut through show as replacements."""
-    found = suffix_dedup.remove_repeats(common.table(spark, sf_dir, "documents"))
+    """``kept_text`` is what is left; bytes of a character that was cut through show as replacements.
+
+    ``n_passage_words``: words in passages of over 50 words that another document has too, however few bytes these have.
+    """
+    found = suffix_dedup.remove_repeats(common.table(spark, sf_dir, "documents"), words=passages.WORDS)
     kept = F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text")
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", kept)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", kept, "n_passage_words")
 
 
 @query

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segflux.llm import common
+from segflux.llm import common, frames, passages
 from segflux.llm.induced_sort import permuted_prefixes, suffix_array
 from segflux.sources import sink
 
@@ -46,8 +46,6 @@ SHARD_BYTES = 1024 * 1024
 ROUTE_SEGMENTS = 1000
 PARTS = (8, 64, None)
 """Parts a full route's windows are split into, step by step; None: one part per window."""
-LEVEL = 3
-"""zstandard level of texts on their way."""
 _BLOCK = 1 << 18  # windows routed at once
 _LOW = np.uint64((1 << 20) - 1)
 _rng = np.random.default_rng(400)
@@ -68,14 +66,6 @@ def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return h
 
 
-def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    have = 1
-    while have * 2 <= width:
-        x = np.minimum(x[:-have], x[have:])
-        have *= 2
-    return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
-
-
 def segments(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(route, first window, last window, gram position) of a text's runs of windows."""
     windows = len(raw) - length + 1
@@ -86,7 +76,7 @@ def segments(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
         h = gram_hashes(raw[low : high + length - 1], gram)
         # Low bits hold the position, so that of equal hashes the last one wins.
         keyed = (h & ~_LOW) | (_LOW - np.arange(len(h), dtype=np.uint64))
-        at = (_LOW - (sliding_min(keyed, per) & _LOW)).astype(np.int64)
+        at = (_LOW - (frames.sliding_min(keyed, per) & _LOW)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         last = np.concatenate((first[1:], [len(at)])) - 1
         for o, x in zip(out, (h[at[first]].view(np.int64), first + low, last + low, at[first] + low)):
@@ -126,40 +116,6 @@ SEGMENT = [("k1", T.LongType()), ("k2", T.LongType()), ("route", T.LongType()),
            ("low", T.IntegerType()), ("windows", T.IntegerType()), ("gram", T.IntegerType())]
 
 
-def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    docs = common.keyed_text(df, id_col, text_col)
-    return docs.select(
-        F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(LENGTH), "text", "doc_id").alias("k2"), "doc_id", "text"
-    )
-
-
-def _compressed(docs: DataFrame) -> DataFrame:
-    """The documents with their texts as zstandard frames, so that less travels for the two joins."""
-    schema = common.schema_of(*common.fields(docs, "k1", "k2", "doc_id"), ("frame", T.BinaryType()))
-
-    def start():
-        import zstandard
-
-        compress = zstandard.ZstdCompressor(level=LEVEL).compress
-
-        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for part in common.text_slices(batch):
-                frames = [compress(t) for t in common.strings(part.column("text"))]
-                yield common.record_batch([*(part.column(c) for c in ("k1", "k2", "doc_id")), frames], schema)
-
-        return step
-
-    return common.map_batches(docs.select("k1", "k2", "doc_id", "text"), schema, start)
-
-
-def _texts(frames: pa.Array) -> Iterator[bytes]:
-    import zstandard
-
-    decompress = zstandard.ZstdDecompressor().decompress
-    for frame in frames:
-        yield decompress(frame.as_py())
-
-
 def _segments_of(docs: DataFrame, length: int) -> DataFrame:
     schema = common.schema_of(*SEGMENT)
 
@@ -199,14 +155,14 @@ def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of wanted segments, from the documents they lie in."""
     names = [n for n, _ in TEXT_SEGMENT[2:-1]]
     lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct(*names)).alias("segments"))
-    once = _compressed(docs).select("k1", "k2", "frame").join(lists, ["k1", "k2"])
+    once = frames.compressed(docs).select("k1", "k2", "frame").join(lists, ["k1", "k2"])
     schema = common.schema_of(*TEXT_SEGMENT)
 
     def start():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
-                text = next(_texts(one.column("frame")))
+                text = next(frames.texts(one.column("frame")))
                 cells = one.column("segments").flatten()
                 columns = {n: cells.field(n) for n in names}
                 lows, sizes = columns["low"].to_pylist(), columns["windows"].to_pylist()
@@ -354,29 +310,42 @@ def remove_repeats(
     length: int = LENGTH,
     route_segments: int = ROUTE_SEGMENTS,
     with_kept: bool = True,
+    words: int | None = None,
+    route_kinds: int = passages.ROUTE_KINDS,
 ) -> DataFrame:
-    """One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans and kept bytes."""
-    docs = _keyed(df, id_col, text_col)
+    """One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans and kept bytes.
+
+    With ``words`` also n_passage_words: the words that lie in a passage of so many words that another row has too
+    (``passages``).  That column removes nothing.
+    """
+    docs = frames.keyed(df, id_col, text_col)
+    met = None if words is None else passages.passage_words(docs, words, route_kinds)
     spans = repeated_spans(docs, length, route_segments)
     lists = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    joined = _compressed(docs).join(lists, ["k1", "k2"], "left").select("doc_id", "frame", "spans")
+    joined = frames.compressed(docs).join(lists, ["k1", "k2"], "left")
+    counted = []
+    if met is not None:
+        joined = joined.join(met, ["k1", "k2"], "left").withColumn("n_passage_words", F.coalesce("n_passage_words", F.lit(0)))
+        counted = [("n_passage_words", T.LongType())]
+    joined = joined.select("doc_id", "frame", "spans", *(n for n, _ in counted))
     pairs = T.ArrayType(T.StructType([T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType())]))
     schema = common.schema_of(
         *common.fields(docs, "doc_id"), *((n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")),
         ("kept_sha256", T.StringType()), *([("spans", pairs), ("kept", T.BinaryType())] if with_kept else []),
+        *counted,
     )
 
     def start():
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for part in common.text_slices(batch, "frame"):
                 rows = []
-                for text, found in zip(_texts(part.column("frame")), part.column("spans").to_pylist()):
+                for text, found in zip(frames.texts(part.column("frame")), part.column("spans").to_pylist()):
                     merged = merge([(s["low"], s["high"]) for s in found or ()])
                     edges = [0, *itertools.chain(*merged), len(text)]
                     kept = b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2])])
                     row = (len(text), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest())
                     rows.append((*row, [{"low": a, "high": b} for a, b in merged], kept) if with_kept else row)
-                yield common.record_batch([part.column("doc_id"), *map(list, zip(*rows))], schema)
+                yield common.record_batch([part.column("doc_id"), *map(list, zip(*rows)), *(part.column(n) for n, _ in counted)], schema)
 
         return step
 
