@@ -8,6 +8,7 @@ from segflux.catalog.base import OPTIONS, inputs_of, query, rounded, rounded_sql
 from segflux.catalog.views import DRY_ALT, floor_q, qlevel, schmidt, velocity, excess
 from segflux.functions import classify, gas, hydraulics
 from segflux.operators import quantiles
+from segflux.operators.joins import monthly
 from segflux.plans import reaches
 from segflux.sources import ingest
 
@@ -89,7 +90,7 @@ def discharge_cv(b):
 )
 def co2_excess(b):
     i = inputs_of(b)
-    table = i.reach.select("comid").join(i.reach_pco2, "comid").join(i.air_temp, ["comid", "month"], "left")
+    table = i.reach.select("comid").join(monthly(i.reach_pco2), "comid").join(monthly(i.air_temp), ["comid", "month"], "left")
     excess = gas.excess_co2(F.col("pco2"), gas.water_temperature(F.col("ta")))
     return rounded(table.withColumn("co2", excess), "comid month", co2=5)
 

@@ -10,22 +10,13 @@ from pyspark.sql import functions as F
 from segflux import dims
 from segflux.functions import classify, gas, hydraulics, nulls
 from segflux.operators import quantiles, updates
-from segflux.operators.joins import lookup
+from segflux.operators.joins import lookup, monthly
 from segflux.plans.inputs import NetworkInputs, NetworkOptions, check
 from segflux.sources import ingest, sink
 
 APRIL = 4
 
 
-def _monthly(table: DataFrame) -> DataFrame:
-    """Mark a segment-month table as a large join side.
-
-    It has twelve rows per segment, so it is never the side to broadcast, whatever a size
-    estimate taken before the months were expanded may say.
-    """
-    return table.hint("merge")
-
-
 def transfer_velocity(slope: Column, q: Column, air_temperature: Column, min_slope: float | None = None) -> Column:
     """Gas transfer velocity straight from the raw inputs of one segment and month."""
     if min_slope is not None:
@@ -40,8 +31,8 @@ def gas_transfer_by_reach(inputs: NetworkInputs, options: NetworkOptions | None
     check(inputs, options, "discharge", "air_temp")
     flow = ingest.discharge_by_segment(inputs.discharge, {})
     return (
-        by_month(inputs.reach.select("region", "comid", "slope").join(_monthly(flow), "comid", "left"))
-        .join(_monthly(inputs.air_temp), ["comid", "month"], "left")
+        by_month(inputs.reach.select("region", "comid", "slope").join(monthly(flow), "comid", "left"))
+        .join(monthly(inputs.air_temp), ["comid", "month"], "left")
         .select(
             "region",
             "comid",
@@ -82,7 +73,7 @@ def assemble_reaches(inputs: NetworkInputs, options: NetworkOptions | None = Non
     placed = inputs.reach_basin.filter(
         F.col("hybas_id").isNotNull() & ~nulls.in_list("hybas_id", options.no_basin)
     )
-    reach = lookup(inputs.reach, _monthly(flow), "comid")
+    reach = lookup(inputs.reach, monthly(flow), "comid")
     reach = lookup(reach, inputs.uparea, "comid")
     # Written first: a scan on this side is broadcast by its true size, or else lets adaptive
     # execution split a basin that holds a large share of the segments.
@@ -123,7 +114,7 @@ def listed_concentration_quantiles(
     """
     reach = assemble_reaches(inputs, options) if reaches is None else reaches
     listed = reach.filter(nulls.in_list("hybas_id", basins)).select("comid")
-    months = listed.join(_monthly(inputs.reach_pco2), "comid").groupBy("comid")
+    months = listed.join(monthly(inputs.reach_pco2), "comid").groupBy("comid")
     means = months.agg(F.when(F.count("pco2") == 12, F.avg("pco2")).alias("pco2"))
     return quantiles.quantile_table(means, [], {"pco2": probs}).select("p", "n", "value")
 
@@ -143,14 +134,14 @@ def assemble_reach_months(
     check(inputs, options, "air_temp", "reach_pco2", "reach_k")
     table = (
         by_month(reach)
-        .join(_monthly(inputs.air_temp), ["comid", "month"], "left")
-        .join(_monthly(inputs.reach_pco2), ["comid", "month"], "left")
+        .join(monthly(inputs.air_temp), ["comid", "month"], "left")
+        .join(monthly(inputs.reach_pco2), ["comid", "month"], "left")
     )
     if inputs.reach_k is None:
         k = transfer_velocity(F.col("slope"), F.col("q"), F.col("ta"), options.min_slope)
         table = table.withColumn("k", k)
     else:
-        table = table.join(_monthly(inputs.reach_k.select("comid", "month", "k")), ["comid", "month"], "left")
+        table = table.join(monthly(inputs.reach_k.select("comid", "month", "k")), ["comid", "month"], "left")
     q = F.col("q")
     table = table.withColumn("tw", gas.water_temperature(F.col("ta")))
     return table.withColumns(
