@@ -126,7 +126,7 @@ def conditional_update(b):
     """Masked updates: large rivers never dry, the width ratio is capped."""
     i = inputs_of(b)
     reach = reaches.override_width(reaches.assemble_reaches(i, OPTIONS), i.observed_width, OPTIONS)
-    table = reach.join(ingest.monthly_statistic(i.discharge), "comid").withColumn("may_dry", F.lit(1.0))
+    table = reach.join(joins.monthly(ingest.monthly_statistic(i.discharge)), "comid").withColumn("may_dry", F.lit(1.0))
     table = updates.update_where(table, "may_dry", F.col("q") >= hydraulics.PERENNIAL_DISCHARGE, F.lit(0.0))
     table = updates.update_where(table, "width_ratio", F.col("width_ratio") > 2.0, F.lit(2.0))
     return rounded(table, "comid month may_dry", width_ratio=7)
