@@ -48,7 +48,7 @@ def test_the_reader_of_plans_sees_a_broadcast_table_of_months(spark):
     assert broadcast_months(physical_plan(spark.range(9).join(F.broadcast(few), "id")))
 
 
-@pytest.mark.parametrize("name", ["co2_excess", "conditional_update"])
+@pytest.mark.parametrize("name", ["co2_excess", "conditional_update", "discharge_bind"])
 def test_months_of_segments_are_not_broadcast(spark, own, name):
     plan = physical_plan(QUERIES[name](spark, own))
     assert "Generate" in plan and broadcast_months(plan) == []
