@@ -9,6 +9,8 @@ from conftest import physical_plan
 from pyspark.sql import functions as F
 
 from segflux.catalog import QUERIES
+from segflux.plans import reaches
+from segflux.sources.bindings import Binding
 
 
 @pytest.fixture(scope="module")
@@ -48,6 +50,22 @@ def test_the_reader_of_plans_sees_a_broadcast_table_of_months(spark):
     assert broadcast_months(physical_plan(spark.range(9).join(F.broadcast(few), "id")))
 
 
+CLIMATE = ["join_left_wkbasin"]
+
+
+@pytest.mark.parametrize("name", CLIMATE)
+def test_working_basin_climate_does_not_broadcast_months(spark, own, name):
+    assert broadcast_months(physical_plan(QUERIES[name](spark, own))) == []
+
+
+def test_working_basin_climate_is_the_mean_over_basins(spark, own):
+    b = Binding(spark, own)
+    keys = reaches.basin_classes(b).select("hybas_id", "wkbasin")
+    means = b.basin_climate.join(keys, "hybas_id").groupBy("wkbasin", "month").agg(F.avg("tavg").alias("tavg"), F.avg("prec").alias("prec"))
+    rows = [[tuple(r[:2]) + tuple(round(x, 9) for x in r[2:]) for r in t.collect()] for t in (means, b.wk_climate)]
+    assert sorted(rows[0]) == sorted(rows[1]) and len(rows[0]) > 12
+
+
 @pytest.mark.parametrize("name", ["co2_excess", "conditional_update", "discharge_bind"])
 def test_months_of_segments_are_not_broadcast(spark, own, name):
     plan = physical_plan(QUERIES[name](spark, own))
