@@ -50,7 +50,7 @@ def test_the_reader_of_plans_sees_a_broadcast_table_of_months(spark):
     assert broadcast_months(physical_plan(spark.range(9).join(F.broadcast(few), "id")))
 
 
-CLIMATE = ["join_left_wkbasin"]
+CLIMATE = ["dryout_by_order", "join_left_wkbasin"]
 
 
 @pytest.mark.parametrize("name", CLIMATE)
