@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from segflux import dims
 from segflux.functions import classify, nulls
 from segflux.operators import groups, network
-from segflux.operators.joins import lookup
+from segflux.operators.joins import lookup, monthly
 from segflux.plans import reaches
 from segflux.plans.inputs import NetworkInputs, NetworkOptions, check
 from segflux.sources import sink
@@ -71,7 +71,7 @@ def basin_attributes(cells: DataFrame, inputs: NetworkInputs) -> DataFrame:
 def with_ice(df: DataFrame, ice: DataFrame) -> DataFrame:
     """Split wet area into ice-covered and open, and reduce the emission by the covered share."""
     cover = F.col("ice")
-    joined = df.join(ice, ["hybas_id", "month"], "left")
+    joined = df.join(monthly(ice), ["hybas_id", "month"], "left")
     return (
         joined.withColumn("ice_area", F.col("eff") * cover)
         .withColumn("eff", F.col("eff") - F.col("ice_area"))

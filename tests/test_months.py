@@ -50,6 +50,15 @@ def test_the_reader_of_plans_sees_a_broadcast_table_of_months(spark):
     assert broadcast_months(physical_plan(spark.range(9).join(F.broadcast(few), "id")))
 
 
+ICE = ["basin_part1", "ice_correction"]
+
+
+@pytest.mark.parametrize("name", ICE)
+def test_ice_is_not_broadcast(spark, own, name):
+    plan = physical_plan(QUERIES[name](spark, own))
+    assert "Generate" in plan and broadcast_months(plan) == []
+
+
 CLIMATE = ["dryout_by_order", "join_left_wkbasin"]
 
 
