@@ -8,7 +8,7 @@ from segflux import dims
 from segflux.catalog.base import OPTIONS, inputs_of, query, rounded
 from segflux.catalog.basins import summary_of
 from segflux.functions import gas
-from segflux.operators import network, reshape
+from segflux.operators import joins, network, reshape
 from segflux.plans import basins
 from segflux.sources import sink
 
@@ -83,7 +83,7 @@ def mutate_sequential(b):
     """Later expressions see earlier ones: covered area first, then what is left of the total."""
     i = inputs_of(b)
     cells = basins.basin_cells(i, OPTIONS)
-    table = basins.observed_totals(cells).join(i.basin_ice, ["hybas_id", "month"], "left")
+    table = basins.observed_totals(cells).join(joins.monthly(i.basin_ice), ["hybas_id", "month"], "left")
     table = table.withColumn("ice_area", F.col("eff") * F.col("ice")).withColumn(
         "open_area", F.col("eff") - F.col("ice_area")
     )

@@ -59,6 +59,10 @@ def test_ice_is_not_broadcast(spark, own, name):
     assert "Generate" in plan and broadcast_months(plan) == []
 
 
+def test_mutate_sequential_does_not_broadcast_ice(spark, own):
+    assert broadcast_months(physical_plan(QUERIES["mutate_sequential"](spark, own))) == []
+
+
 CLIMATE = ["dryout_by_order", "join_left_wkbasin"]
 
 
