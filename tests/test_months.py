@@ -9,7 +9,7 @@ from conftest import physical_plan
 from pyspark.sql import functions as F
 
 from segflux.catalog import QUERIES
-from segflux.plans import reaches
+from segflux.plans import reaches, training
 from segflux.sources.bindings import Binding
 
 
@@ -79,6 +79,17 @@ def test_working_basin_climate_is_the_mean_over_basins(spark, own):
     assert sorted(rows[0]) == sorted(rows[1]) and len(rows[0]) > 12
 
 
+def test_features_of_segments_do_not_broadcast_months(spark, own):
+    b = Binding(spark, own)
+    table = training.reach_features(
+        b.reach.join(b.reach_basin, "comid"), b.uparea, b.air_temp, b.basin_climate, b.basin_npp, b.basin_soil_resp, b.basin_static
+    )
+    plan = physical_plan(table)
+    assert "Generate" in plan and broadcast_months(plan) == []
+    # The written basin table, too, has a row a month.
+    assert plan.count("SortMergeJoin [hybas_id") == 1
+
+
 @pytest.mark.parametrize("name", ["co2_excess", "conditional_update", "discharge_bind"])
 def test_months_of_segments_are_not_broadcast(spark, own, name):
     plan = physical_plan(QUERIES[name](spark, own))
