@@ -9,7 +9,8 @@ from conftest import physical_plan
 from pyspark.sql import functions as F
 
 from segflux.catalog import QUERIES
-from segflux.plans import reaches, training
+from segflux.catalog.base import OPTIONS
+from segflux.plans import basins, reaches, training
 from segflux.sources.bindings import Binding
 
 
@@ -63,7 +64,8 @@ def test_mutate_sequential_does_not_broadcast_ice(spark, own):
     assert broadcast_months(physical_plan(QUERIES["mutate_sequential"](spark, own))) == []
 
 
-CLIMATE = ["dryout_by_order", "join_left_wkbasin"]
+CLIMATE = ["dryout_by_order", "grouped_ols", "stream_order_summary", "join_left_wkbasin", "predict_orders", "extrapolate_emission",
+           "ephemeral_status", "basin_part2", "basin_emission"]
 
 
 @pytest.mark.parametrize("name", CLIMATE)
@@ -71,6 +73,11 @@ def test_working_basin_climate_does_not_broadcast_months(spark, own, name):
     assert broadcast_months(physical_plan(QUERIES[name](spark, own))) == []
 
 
+def test_the_wide_emission_table_does_not_broadcast_months(spark, own):
+    table = basins.basin_emission_wide(Binding(spark, own), OPTIONS)
+    assert broadcast_months(physical_plan(table)) == []
+
+
 def test_working_basin_climate_is_the_mean_over_basins(spark, own):
     b = Binding(spark, own)
     keys = reaches.basin_classes(b).select("hybas_id", "wkbasin")
