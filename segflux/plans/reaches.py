@@ -12,9 +12,12 @@ from segflux.functions import classify, gas, hydraulics, nulls
 from segflux.operators import quantiles, updates
 from segflux.operators.joins import lookup, monthly
 from segflux.plans.inputs import NetworkInputs, NetworkOptions, check
+from segflux.session import MOST_BYTES, estimated_bytes, shuffle_partitions_for
 from segflux.sources import ingest, sink
 
 APRIL = 4
+PLACED_BYTES = 8 << 20
+"""Written segments that a task expands to months when they are dealt out by basin."""
 
 
 def transfer_velocity(slope: Column, q: Column, air_temperature: Column, min_slope: float | None = None) -> Column:
@@ -42,10 +45,24 @@ def gas_transfer_by_reach(inputs: NetworkInputs, options: NetworkOptions | None
     )
 
 
-def by_month(reach: DataFrame) -> DataFrame:
-    """Every segment in every month, with the month's discharge ``q`` or NULL instead of ``q_months``."""
+def by_month(reach: DataFrame, *more: str) -> DataFrame:
+    """Every segment in every month, with the month's discharge ``q`` or NULL instead of ``q_months``; ``more`` alike."""
+    names = ("q", *more)
     rows = reach.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
-    return rows.withColumn("q", F.element_at("q_months", F.col("month"))).drop("q_months")
+    rows = rows.withColumns({n: F.element_at(f"{n}_months", F.col("month")) for n in names})
+    return rows.drop(*[f"{n}_months" for n in names])
+
+
+def _packed(inputs: NetworkInputs, options: NetworkOptions) -> bool:
+    """Whether the monthly tables can join as one row a segment: no month may repeat, and k must come from them."""
+    return options.check_keys and inputs.reach_k is None
+
+
+def _with_months(reach: DataFrame, inputs: NetworkInputs) -> DataFrame:
+    """Add ``ta_months`` and ``pco2_months``: the joins move, sort and spill one row a segment instead of twelve."""
+    for table, value in ((inputs.air_temp, "ta"), (inputs.reach_pco2, "pco2")):
+        reach = lookup(reach, monthly(ingest.months_by_segment(table, value)), "comid")
+    return reach
 
 
 def basin_classes(inputs: NetworkInputs) -> DataFrame:
@@ -132,11 +149,15 @@ def assemble_reach_months(
     options = options or NetworkOptions()
     reach = assemble_reaches(inputs, options) if reaches is None else reaches
     check(inputs, options, "air_temp", "reach_pco2", "reach_k")
-    table = (
-        by_month(reach)
-        .join(monthly(inputs.air_temp), ["comid", "month"], "left")
-        .join(monthly(inputs.reach_pco2), ["comid", "month"], "left")
-    )
+    if _packed(inputs, options):
+        packed = reach if "ta_months" in reach.columns else _with_months(reach, inputs)
+        table = by_month(packed, "ta", "pco2")
+    else:
+        table = (
+            by_month(reach)
+            .join(monthly(inputs.air_temp), ["comid", "month"], "left")
+            .join(monthly(inputs.reach_pco2), ["comid", "month"], "left")
+        )
     if inputs.reach_k is None:
         k = transfer_velocity(F.col("slope"), F.col("q"), F.col("ta"), options.min_slope)
         table = table.withColumn("k", k)
@@ -187,18 +208,34 @@ def override_width(reach: DataFrame, observed: DataFrame, options: NetworkOption
 
 
 def observed_reach_months(
-    inputs: NetworkInputs, options: NetworkOptions | None = None, reaches: DataFrame | None = None
+    inputs: NetworkInputs, options: NetworkOptions | None = None, reaches: DataFrame | None = None, place: str | None = None
 ) -> DataFrame:
     """Segment-month table with modelled and overridden widths and the ``keep`` flag.
 
     Kept segments lie outside the excluded basins and have an exchange value in April.  The flag
-    needs the twelve rows of a segment, which the joins have already placed together.
+    needs the twelve months of a segment: an array or rows that the joins have already placed together.
+    ``place`` names a column by which segments are dealt out before they become twelve rows each.
     """
     options = options or NetworkOptions()
     reach = assemble_reaches(inputs, options) if reaches is None else reaches
-    table = assemble_reach_months(inputs, options, override_width(reach, inputs.observed_width, options))
-    months = Window.partitionBy("comid")
-    april = F.max(F.when(F.col("month") == APRIL, F.col("k").isNotNull())).over(months)
+    written = estimated_bytes(reach)
+    reach = override_width(reach, inputs.observed_width, options)
+    if _packed(inputs, options):
+        check(inputs, options, "air_temp", "reach_pco2")
+        q, ta = (F.element_at(f"{n}_months", APRIL) for n in ("q", "ta"))
+        k = transfer_velocity(F.col("slope"), q, ta, options.min_slope)
+        reach = _with_months(reach, inputs).withColumn("__april", k.isNotNull())
+        if place:
+            # A count of its own, as merged tasks would hold too many cells of months and spill them.
+            least = int(reach.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            tasks = shuffle_partitions_for(written if written < MOST_BYTES else 0, PLACED_BYTES)
+            reach = reach.repartition(max(tasks, least), place)
+        table = assemble_reach_months(inputs, options, reach).withColumnRenamed("__april", "keep")
+        april = F.col("keep")
+    else:
+        table = assemble_reach_months(inputs, options, reach)
+        months = Window.partitionBy("comid")
+        april = F.max(F.when(F.col("month") == APRIL, F.col("k").isNotNull())).over(months)
     return table.withColumns(
         {
             "width_obs": F.col("width") * F.col("width_ratio"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 import pytest
 from conftest import physical_plan
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from segflux.catalog import QUERIES
 from segflux.catalog.base import OPTIONS
 from segflux.plans import basins, reaches, training
+from segflux.plans.inputs import KeyDisagreement, from_binding
 from segflux.sources.bindings import Binding
 
 
@@ -101,3 +103,32 @@ def test_features_of_segments_do_not_broadcast_months(spark, own):
 def test_months_of_segments_are_not_broadcast(spark, own, name):
     plan = physical_plan(QUERIES[name](spark, own))
     assert "Generate" in plan and broadcast_months(plan) == []
+
+
+def test_cells_and_monthly_joins_move_a_row_a_segment(spark, own, conf):
+    """No shuffle of cells, and none of months; the monthly tables are arrays before they join."""
+    conf(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false")
+    b = Binding(spark, own)
+    cells = physical_plan(basins.basin_cells(b, OPTIONS, kept=False))
+    totals = physical_plan(basins.observed_totals(basins.basin_cells(b, OPTIONS, kept=False)))
+    for plan in (cells, totals, physical_plan(QUERIES["reach_assembly"](spark, own))):
+        assert "hashpartitioning(comid" in plan and not re.search(r"hashpartitioning\([^)]*month", plan)
+        assert not re.search(r"Sort \[[^]]*month", plan)
+
+
+def test_months_as_arrays_give_the_rows_of_a_join_by_month(spark, own):
+    b = Binding(spark, own)
+    inputs = from_binding(b)
+    inputs.air_temp = b.air_temp.filter("comid % 7 <> 2 or month not in (4, 9)").unionByName(
+        spark.createDataFrame([(None, 3, 1.0), (5, None, 2.0), (9, 13, 3.0)], "comid long, month int, ta double")
+    )
+    inputs.reach_pco2 = b.reach_pco2.filter("comid % 5 <> 1")
+    reach = reaches.assemble_reaches(inputs, OPTIONS)
+    with pytest.warns(KeyDisagreement):
+        packed = reaches.observed_reach_months(inputs, OPTIONS, reach, place="hybas_id")
+    plain = reaches.observed_reach_months(inputs, replace(OPTIONS, check_keys=False), reach)
+    columns = sorted(plain.columns)
+    assert sorted(packed.columns) == columns
+    rows = [sorted(map(repr, t.select(*columns).collect())) for t in (packed, plain)]
+    assert rows[0] == rows[1] and len(rows[0]) > 1000
+    assert packed.filter("not keep").count() > 0 and packed.filter("ta is null").count() > 0
