@@ -24,7 +24,7 @@ def min_width_by_reach(b):
 @query("first_by_key", "SELECT hybas_id, wkbasin FROM basin_list")
 def first_by_key(b):
     """Working basin of every basin that has kept segments."""
-    return basins.basin_list(basins.basin_cells(inputs_of(b), OPTIONS))
+    return basins.basin_list(_cells(b))
 
 
 @query(
@@ -41,12 +41,12 @@ def area_by_wkbasin(b):
 def area_ratio(b):
     """Share of a basin in the area of its working basin."""
     i = inputs_of(b)
-    listed = basins.basin_list(basins.basin_cells(i, OPTIONS))
+    listed = basins.basin_list(_cells(b))
     return rounded(basins.basin_shares(listed, i), "hybas_id wkbasin", area_ratio=8)
 
 
 def _cells(b):
-    return basins.basin_cells(inputs_of(b), OPTIONS)
+    return basins.basin_cells(inputs_of(b), OPTIONS, kept=False)
 
 
 @query("basin_month_area", rounded_sql("hybas_id month", "obs_totals", area=6, dry=7, eff=6))

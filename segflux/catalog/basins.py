@@ -65,9 +65,9 @@ _ORDER = {"length_km": 8, "width_m": 5, "area_km2": 6, "dry_km2": 7, "dry_ratio"
           "dry_alt_ratio": 7, "k": 4, "co2": 4, "pco2": 3}
 
 
-def cells_of(b):
+def cells_of(b, kept=True):
     i = inputs_of(b)
-    return i, basins.basin_cells(i, OPTIONS)
+    return i, basins.basin_cells(i, OPTIONS, kept)
 
 
 def summary_of(b):
@@ -196,7 +196,7 @@ _ATTRIBUTES |= {f"{v}_{m}": 6 for v in ("gpp", "npp", "prs") for m in MONTHS}
 @query("basin_attributes", _ATTRIBUTES_SQL)
 def basin_attributes(b):
     """Location, zone, area and share, climate, annual and monthly productivity, monthly respiration."""
-    i, cells = cells_of(b)
+    i, cells = cells_of(b, kept=False)
     return rounded(basins.basin_attributes(cells, i), _PLACE, **_ATTRIBUTES)
 
 

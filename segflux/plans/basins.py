@@ -16,16 +16,18 @@ from segflux.sources import sink
 METRICS = ("area", "dry", "ice_area", "eff", "emission", "pco2", "k", "flux")
 
 
-def basin_cells(inputs: NetworkInputs, options: NetworkOptions | None = None) -> DataFrame:
+def basin_cells(inputs: NetworkInputs, options: NetworkOptions | None = None, kept: bool = True) -> DataFrame:
     """The segment-month table reduced once to basin x month x stream order, and kept.
 
     Fit depth, stream-order table, basin list and observed totals are all roll-ups of it, so the
-    large table is read a single time.
+    large table is read a single time.  Whoever takes a single roll-up need not have it ``kept``.
+
+    Segments are dealt out by basin before they become twelve rows each, so cells need no shuffle of their own.
     """
     check(inputs, options or NetworkOptions(), "wk_climate", "basin_centroid", "basin_area", "basin_annual", "basin_npp",
           "basin_soil_resp", "basin_ice")
-    cells = network.network_cells(reaches.observed_reach_months(inputs, options))
-    return sink.materialize(cells, "basin-cells")
+    cells = network.network_cells(reaches.observed_reach_months(inputs, options, place="hybas_id"))
+    return sink.materialize(cells, "basin-cells") if kept else cells
 
 
 def order_table(cells: DataFrame, inputs: NetworkInputs) -> DataFrame:
@@ -37,9 +39,9 @@ def extrapolated(cells: DataFrame, inputs: NetworkInputs) -> DataFrame:
 
 
 def basin_list(cells: DataFrame) -> DataFrame:
-    """Basins with kept segments and their working basin."""
+    """Basins with kept segments and their working basin, written as the shares read it twice."""
     kept = cells.filter(F.col("obs_n") > 0)
-    return kept.groupBy("hybas_id").agg(F.min("wkbasin").alias("wkbasin"))
+    return sink.materialize(kept.groupBy("hybas_id").agg(F.min("wkbasin").alias("wkbasin")), "basin-list")
 
 
 def basin_shares(basins: DataFrame, inputs: NetworkInputs) -> DataFrame:
